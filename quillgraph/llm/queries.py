@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import canonical, leakage, line_repeats, tokens
+from quillgraph.llm import canonical, leakage, line_repeats, mojibake, pii, tokens
 from quillgraph.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decoded(tokens.token_ids(table(spark, d, "documents")))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repaired_texts(table(spark, d, "documents")).filter("garbled").select("doc_id").distinct()
+
+
+@query("p5_restored")
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repaired_texts(table(spark, d, "documents")).select("doc_id", "text")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_data(table(spark, d, "documents"))
+
+
+@query("p9_redacted")
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"))
