@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import canonical, leakage, line_repeats, mojibake, pii, tokens
+from quillgraph.llm import canonical, leakage, line_repeats, mojibake, pii, scan_repair, tokens
 from quillgraph.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_redacted")
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.scan_faults(table(spark, d, "doc_lines"))
+
+
+@query("p3_paragraphs")
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.paragraphs(table(spark, d, "doc_lines"))
