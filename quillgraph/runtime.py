@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session; they may not have it installed."""
+    sc = spark.sparkContext
+    if _LOCAL.get("shipped") == sc.applicationId:
+        return
+    _LOCAL["shipped"] = sc.applicationId
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quillgraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/{root.name}.zip")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (one machine, as in tests) an own one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
