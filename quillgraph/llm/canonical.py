@@ -92,16 +92,25 @@ def tables() -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str], dict[in
 def canonical(text: str, known: dict[str, str]) -> str:
     """The canonical form; known keeps segments already normalised."""
     composing, alone, with_context, mapping = tables()
+    composes = False
 
     def fixed(m: re.Match[str]) -> str:
+        nonlocal composes
         segment = m[0]
         if (out := known.get(segment)) is None:
+            if not composes and composing.search(segment):
+                composes = True
+                return segment
             out = unicodedata.normalize("NFC", segment.replace("\r\n", "\n").translate(mapping))
-            if len(known) < 200_000 and len(segment) < 64:
+            if len(known) < 200_000 and len(segment) < 64 and not composes:
                 known[segment] = out
         return out
 
-    return (with_context if composing.search(text) else alone).sub(fixed, text)
+    out = alone.sub(fixed, text)
+    if composes:
+        # a mark may change the character before it: read again with that context
+        out = with_context.sub(fixed, text)
+    return out
 
 
 def canonical_texts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -68,18 +68,48 @@ EMAIL = re.compile(
     r"[A-Za-z0-9-]+(?:\s?(?:\.|[\[({<]\s*(?:dot|DOT|Dot)\s*[\])}>]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]+)*?\s?(?:\.|[\[({<]\s*(?:dot|DOT|Dot)\s*[\])}>]|\s(?:dot|DOT)\s)\s?[A-Za-z]{2,}(?![A-Za-z0-9])",
     re.ASCII,
 )
+#: An @ written out, with signs around it or a dot written out too.
+WRITTEN_AT = re.compile(r"[\[({<]\s*(?:at|At|AT)\s*[\])}>]|\s(?:dot|DOT)\s")
 NUMBER = re.compile(r"(?<![0-9A-Za-z.,/=^_#+-])(?:[A-Z]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[A-D](?![A-Za-z0-9])|(?:\+|00)?\(?[0-9](?:[ .()/–-]{0,2}[0-9]){5,20}[Xx]?)(?![0-9A-Za-z^_])(?:\s?(?:ext\.?|x|转|Durchwahl|poste)\s?[0-9]{1,5})?")
 DATE_IN_ID = re.compile(r"[0-9]{6}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]")
-ADDRESS = re.compile(
-    rf"(?:(?:Flat|Apt\.?|Unit|Suite)\s[0-9]+[A-Z]?,\s)?(?<![0-9A-Za-z.])(?:No\.\s)?[0-9]{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}(?P<en>(?:{STREETS})\b\.?)?"
-    rf"|(?<![0-9A-Za-z.])[0-9]{{1,4}}(?:\s(?:bis|ter))?,?\s(?P<fr>(?:{RUES}))\s(?:(?:de|du|des|la|le|l['’]|d['’])\s?)*{CAP}"
-    rf"|[{UP}][{LOW}-]+(?P<de>straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring)\s[0-9]{{1,4}}[a-z]?(?![0-9])"
-    rf"|(?:[{HAN}]{{2}}[省市])?(?:[{HAN}]{{2}}[市区县镇])?(?P<zh>[{HAN}]{{2,3}}(?:路|街|巷|道|弄|胡同|里|村)\s?[0-9]{{1,5}}\s?(?:号|弄)(?:\s?[0-9]{{1,5}}\s?(?:号|栋|幢|单元|楼|室))*)"
-)
+# each pattern begins with what is rare in a text, the rest is read from there
+STREET = re.compile(rf"[0-9]{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}(?P<kind>(?:{STREETS})\b\.?)?")
+BEFORE_STREET = re.compile(r"(?:(?:Flat|Apt\.?|Unit|Suite)\s[0-9]+[A-Z]?,\s)?(?:No\.\s)?$")
+RUE = re.compile(rf"[0-9]{{1,4}}(?:\s(?:bis|ter))?,?\s(?:{RUES})\s(?:(?:de|du|des|la|le|l['’]|d['’])\s?)*{CAP}")
+STRASSE = re.compile(rf"[{UP}][{LOW}-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring)\s[0-9]{{1,4}}[a-z]?(?![0-9])")
+LU = re.compile(r"(?:[路街巷道弄里村]|胡同)\s?[0-9]{1,5}\s?[号弄](?:\s?[0-9]{1,5}\s?(?:号|栋|幢|单元|楼|室))*")
+BEFORE_LU = re.compile(rf"(?:[{HAN}]{{2}}[省市])?(?:[{HAN}]{{2}}[市区县镇])?[{HAN}]{{2,3}}$")
+RUE_WORDS, STRASSE_WORDS = RUES.split("|"), ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring")
+
+
+def addresses(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, sure) of house numbers with a street; not sure where no kind of street is named."""
+    for m in STREET.finditer(text):
+        a, b = m.span()
+        if not (text[a - 1 : a].isalnum() or text[a - 1 : a] in (".", "=", "^", "_")):
+            a = BEFORE_STREET.search(text, max(0, a - 16), a).start()
+            yield a, b, m["kind"] is not None
+    if any(w in text for w in RUE_WORDS):
+        for m in RUE.finditer(text):
+            if not text[m.start() - 1 : m.start()].isalnum():
+                yield *m.span(), True
+    if any(w in text for w in STRASSE_WORDS):
+        for m in STRASSE.finditer(text):
+            yield *m.span(), True
+    for m in LU.finditer(text):
+        if before := BEFORE_LU.search(text, max(0, m.start() - 9), m.start()):
+            yield before.start(), m.end(), True
+
+
 STREET_IN_CAPS = re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,4}}[A-Z]?,?\s(?:[A-Z][A-Z-]+\s){{1,3}}(?:{STREETS.upper()})\b")
-RUN = re.compile(rf"(?:(?:{TITLES})\b\.?\s+)*(?:{CAP}|[{UP}]\.)(?:[ ]{{1,3}}(?:{CAP}|[{UP}]\.(?=\W|$)))*")
+#: Two words or initials in capitals, a title with a name, or a surname before its given name.
+RUN = re.compile(
+    rf"(?:{TITLES})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}(?:[ ]{{1,3}}{CAP})*"
+    rf"|(?:{CAP}|[{UP}]\.)(?:(?:[ ]{{1,3}}(?:{CAP}|[{UP}]\.(?=\W|$)))+|,[ ]{CAP}(?![ ](?:{CAP}|[{UP}]\.)|\w))"
+)
 TITLED = re.compile(rf"\b(?:{TITLES})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}")
-HAN_NAME = re.compile(rf"(?=((?:{'|'.join(COMPOUND)})|[{SINGLE}])([{HAN}]{{1,2}}))")
+SURNAME_START = re.compile(f"[{SINGLE}{''.join(x[0] for x in COMPOUND)}]")
+HAN_NAME = re.compile(rf"((?:{'|'.join(COMPOUND)})|[{SINGLE}])([{HAN}]{{1,2}})")
 HONORIFIC = re.compile(HONORIFICS)
 
 
@@ -123,7 +153,7 @@ Candidate = tuple[str, int, int, str, list[str], bool]
 def candidates(text: str) -> Iterator[Candidate]:
     """(kind, start, end, instance, parts, seed) of a text in canonical form."""
     taken: list[tuple[int, int]] = []
-    if "@" in text or "at" in text or "AT" in text:
+    if "@" in text or WRITTEN_AT.search(text):
         for m in EMAIL.finditer(text):
             taken.append(m.span())
             yield "email", *m.span(), re.sub(r"\s", "", m[0]).lower(), [], True
@@ -147,13 +177,10 @@ def candidates(text: str) -> Iterator[Candidate]:
         if 6 <= len(digits) <= 15 and shape != "999-99-9999":
             sure = raw.startswith("+") and len(digits) >= 9 or re.match(r"\(0[0-9]{2,4}\)\s?[0-9]{3}", raw) is not None or re.search(r"(ext|转)", raw) is not None
             yield "phone", a, b, digits, [], bool(sure)
-    for m in ADDRESS.finditer(text):
-        seed = m.lastgroup is not None
-        a, b = m.span()
-        if seed or any(ch.isalpha() for ch in m[0]):
-            if seed:
-                taken.append((a, b))
-            yield "address", a, b, re.sub(r"\s+", " ", m[0]).strip(), [], seed
+    for a, b, seed in addresses(text):
+        if seed:
+            taken.append((a, b))
+        yield "address", a, b, re.sub(r"\s+", " ", text[a:b]).strip(), [], seed
     for m in STREET_IN_CAPS.finditer(text):
         taken.append(m.span())
         yield "address", *m.span(), m[0].lower(), [], True
@@ -166,14 +193,12 @@ def candidates(text: str) -> Iterator[Candidate]:
 
     for m in RUN.finditer(text):
         a, b = m.span()
-        words = m[0].split()
-        if len(words) == 1:
-            # a surname before its given name
-            after = re.match(rf",[ ]({CAP})(?![ ]{CAP})", text[b : b + 40])
-            if after and free(a, b + after.end()):
-                yield "name", a, b + after.end(), f"{words[0]}, {after[1]}", [words[0], after[1]], False
+        if ", " in m[0]:
+            if free(a, b):
+                yield "name", a, b, m[0], m[0].split(", "), False
             continue
-        if not free(a, b) or text[a - 1 : a] in ("=", "^", "_", "(", "{", "\\", "©"):
+        words = m[0].split()
+        if len(words) < 2 or not free(a, b) or text[a - 1 : a] in ("=", "^", "_", "(", "{", "\\", "©"):
             continue
         if titled := TITLED.search(m[0]):
             yield "name", a + titled.start(), a + titled.end(), titled[0], [titled[0].split()[-1]], True
@@ -188,7 +213,9 @@ def candidates(text: str) -> Iterator[Candidate]:
             a, b = line.start() + m.start(), line.start() + m.end()
             if len(words) > 1 and free(a, b):
                 yield from caps_names(line[0].title(), line.start(), m.start(), words)
-    for m in HAN_NAME.finditer(text):
+    for first in () if text.isascii() else SURNAME_START.finditer(text):
+        if (m := HAN_NAME.match(text, first.start())) is None:
+            continue
         family, given = m[1], m[2]
         a = m.start()
         for n in range(1, len(given) + 1):
@@ -214,7 +241,7 @@ def candidate_table(documents: DataFrame) -> DataFrame:
     def run(held: pa.Table) -> pa.Table:
         out: dict[str, list] = {name.split()[0]: [] for name in CANDIDATES.split(", ")}
         for doc, stored in zip(held["doc_id"].to_pylist(), held["text"].to_pylist()):
-            text = canonical(stored.translate(BREAKS), known)
+            text = canonical(BREAK.sub(" ", stored), known)
             ends = [m.start() for m in LINE_END.finditer(text)]
             for kind, a, b, inst, parts, seed in candidates(text):
                 row = (doc, bisect_left(ends, a) + 1, a, b, kind, inst, parts, seed, left_words(text, a), right_words(text, b))
@@ -229,7 +256,7 @@ def candidate_table(documents: DataFrame) -> DataFrame:
 
 LINE_END = re.compile("\n")
 #: Other line ends are blanks here: lines are counted by the line feed alone.
-BREAKS = dict.fromkeys(map(ord, "\r\x0b\x0c\x85\u2028\u2029"), " ")
+BREAK = re.compile("[\r\x0b\x0c\x85\u2028\u2029]")
 
 
 def share_of(kind: Column) -> Column:
@@ -240,14 +267,15 @@ def share_of(kind: Column) -> Column:
 
 
 def patterns_of(mentions: DataFrame) -> DataFrame:
-    """(m, kind, inst, pattern): each mention's left, right and joint pattern; a bare line end is a pattern only jointly."""
+    """(m, kind, inst, side, pattern): each mention's left, right and joint pattern; a bare line end is a pattern only jointly."""
     # only a word or a colon, comma or dash beside the candidate says something by itself
     sides = F.array(
         F.when(F.col("l").rlike(r"[\p{L}:：,—-]$"), F.concat(F.lit("L "), "l")),
         F.when(F.col("r").rlike(r"^\p{L}") & F.col("kind").isin("name", "address"), F.concat(F.lit("R "), "r")),
         F.concat(F.lit("B "), "l", F.lit(" | "), "r"),
     )
-    return mentions.select("m", "kind", "inst", "parts", "seed", F.explode(F.array_compact(sides)).alias("pattern"))
+    exploded = mentions.select("m", "kind", "inst", F.explode(F.array_compact(sides)).alias("pattern"))
+    return exploded.withColumn("side", F.substring("pattern", 1, 1))
 
 
 def accepted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -255,21 +283,25 @@ def accepted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     key = ["kind", "inst", "l", "r", "seed"]
     mentions = found.filter("kind <> 'email'").groupBy(*key).agg(F.first("parts").alias("parts"))
     mentions = checkpoint(mentions.withColumn("m", F.xxhash64(*key)))
-    edges = checkpoint(patterns_of(mentions).select("m", "kind", F.xxhash64("inst").alias("i"), F.xxhash64("kind", "pattern").alias("p")))
+    edges = checkpoint(patterns_of(mentions).select("m", "kind", "side", F.xxhash64("inst").alias("i"), F.xxhash64("kind", "pattern").alias("p")))
     parts = mentions.filter("size(parts) > 0").select("m", "inst", F.size("parts").alias("of"), F.explode(F.array_distinct("parts")).alias("part"))
     parts = checkpoint(parts)
     sure = mentions.filter("seed").select("m")
-    known = evidence = checkpoint(sure)
+    ends = mentions.filter("size(parts) > 0").select("m", F.element_at("parts", 1).alias("first"), F.element_at("parts", -1).alias("last"))
+    known = checkpoint(sure)
+    # a pattern beside a candidate is borne out by the part of the name that stands next to it
+    all_sides = F.explode(F.array(*map(F.lit, "LRB")))
+    evidence = checkpoint(sure.select("m", all_sides.alias("side")))
     for _ in range(rounds):
         # patterns by the share of their instances that are known
-        marked = edges.join(evidence.distinct().withColumn("yes", F.lit(1)), "m", "left")
+        marked = edges.join(evidence.withColumn("yes", F.lit(1)), ["m", "side"], "left")
         instances = marked.groupBy("p", "kind", "i").agg(F.max("yes").alias("yes"))
         stats = instances.groupBy("p", "kind").agg(F.count("*").alias("n"), F.count("yes").alias("yes"))
         good = checkpoint(stats.filter((F.col("yes") >= LEAST_KNOWN) & (F.col("yes") >= F.col("n") * share_of(F.col("kind")))).select("p"))
         by_pattern = edges.join(broadcast_if_small(good, 16), "p", "left_semi").select("m").distinct()
         taken = by_pattern.union(sure).distinct()
-        # name parts by the share of their mentions that are accepted
-        marked = parts.join(taken.withColumn("yes", F.lit(1)), "m", "left")
+        # name parts by the share of their mentions that are accepted; a longer run may hold the first word of a sentence
+        marked = parts.join(taken.withColumn("yes", F.lit(1)), "m", "left").withColumn("yes", F.when(F.col("of") <= 2, F.col("yes")))
         rates = marked.groupBy("part").agg(F.count("*").alias("n"), F.count("yes").alias("yes"), F.count_distinct(F.when(F.col("yes") == 1, F.col("inst"))).alias("insts"))
         surname = F.col("part").rlike(HAN_START)
         share, least = F.when(surname, SURNAME_SHARE).otherwise(PART_SHARE), F.when(surname, SURNAME_INSTANCES).otherwise(PART_INSTANCES)
@@ -279,7 +311,10 @@ def accepted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         held = checkpoint(held)
         latin = mentions.filter(~F.col("inst").rlike(HAN_START)).select("m")
         known = checkpoint(taken.union(held.filter("k >= 2 or k = of").select("m").join(latin, "m", "left_semi")).distinct())
-        evidence = taken.union(held.filter("k = of").select("m"))
+        left = ends.join(broadcast_if_small(names.withColumnRenamed("part", "first"), 32), "first", "left_semi").select("m")
+        right = ends.join(broadcast_if_small(names.withColumnRenamed("part", "last"), 32), "last", "left_semi").select("m")
+        borne = left.withColumn("side", F.lit("L")).union(right.withColumn("side", F.lit("R"))).union(left.intersect(right).withColumn("side", F.lit("B")))
+        evidence = checkpoint(sure.select("m", all_sides.alias("side")).union(borne).distinct())
     rows = found.withColumn("m", F.xxhash64(*key))
     return rows.filter("kind = 'email'").unionByName(rows.filter("kind <> 'email'").join(known, "m", "left_semi"))
 
@@ -292,7 +327,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
 def offsets(stored: str, known: dict[str, str]) -> tuple[str, list[int], list[int]]:
     """The canonical text, and places of it with the places of the stored text they come from."""
     composing, alone, with_context, _ = tables()
-    text = stored.translate(BREAKS)
+    text = BREAK.sub(" ", stored)
     here, there, out, done = [0], [0], [], 0
     length = 0
     for m in (with_context if composing.search(text) else alone).finditer(text):
