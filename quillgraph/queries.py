@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import reconcile, shred
+from quillgraph import sqltext as sx
+from quillgraph.functions import ids
+from quillgraph.functions import textfeat as tf
+from quillgraph.operators import audit, glyphs, matching, outline, pairs, reconcile, sequence, shred, structure
 from quillgraph.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +64,352 @@ def p4_columns(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_nodes")
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return shred.outline_nodes(table(spark, d, "outline_raw")).withColumn("title", F.regexp_replace("title", r"(?U)^\s+|\s+$", ""))
+
+
+# Identifiers and text.
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return structure.book_lines(table(spark, d, "doc_lines"))
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return matching.book_entries(table(spark, d, "entries"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each book with the next one: a window over the ids of books alone, the smallest table."""
+    ids_ = table(spark, d, "docs").select("doc_id").distinct()
+    return ids_.select(F.col("doc_id").alias("q_doc"), F.lead("doc_id").over(Window.orderBy("doc_id")).alias("a_doc")).filter("a_doc is not null")
+
+
+LABEL_ID = f"{sx.normalize_id('''regexp_extract(coalesce(id, ''), '([0-9]{1,4}(?:[.．][0-9]{1,4})*)', 1)''')}"
+ENTRY_IDS = f"{sx.ENTRIES}, ei AS (SELECT *, {LABEL_ID} AS label_id FROM e)"
+
+
+@query("id_normalize", f"WITH e AS (SELECT DISTINCT doc_id, id FROM entries) SELECT doc_id, id, {sx.normalize_id('id')} AS canonical FROM e")
+def id_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entries").select("doc_id", "id").distinct().withColumn("canonical", ids.normalize_id(F.col("id")))
+
+
+@query(
+    "id_book_order",
+    f"""WITH e AS (SELECT DISTINCT doc_id, id, page FROM entries), c AS (SELECT *, {sx.normalize_id('id')} AS canonical FROM e)
+    SELECT doc_id, id, page, canonical, dense_rank() OVER (PARTITION BY doc_id ORDER BY page NULLS FIRST, CASE WHEN canonical = '' THEN []::INTEGER[] ELSE list_transform(string_split(canonical, '.'), lambda s: CAST(s AS INTEGER)) END) AS place FROM c""",
+)
+def id_book_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "entries").select("doc_id", "id", "page").distinct().withColumn("canonical", ids.normalize_id(F.col("id")))
+    return rows.withColumn("place", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.col("page").asc_nulls_first(), ids.id_segments(F.col("id")))))
+
+
+@query(
+    "label_parse_lines",
+    f"WITH {sx.LINES} SELECT doc_id, line_no, {sx.question_id('text')} AS label, {sx.question_body('text')} AS body, {sx.sub_id('text')} AS sub FROM lines WHERE {sx.is_question_line('text')} OR {sx.sub_id('text')} IS NOT NULL",
+)
+def label_parse_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d).select("doc_id", "line_no", ids.question_line(F.col("text")).alias("q"), ids.sub_question_line(F.col("text")).alias("s"))
+    return rows.filter("q is not null or s is not null").select("doc_id", "line_no", F.col("q.id").alias("label"), F.col("q.body").alias("body"), F.col("s.sub").alias("sub"))
+
+
+@query("title_ids", f"WITH o AS (SELECT DISTINCT doc_id, node_id, title FROM outline) SELECT doc_id, node_id, {sx.title_id('title')} AS question_id, {sx.descriptive_length('title')} AS descriptive FROM o")
+def title_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "outline").select("doc_id", "node_id", "title").distinct()
+    return rows.select("doc_id", "node_id", ids.title_id(F.col("title")).alias("question_id"), tf.descriptive_length(F.col("title")).alias("descriptive"))
+
+
+@query("answer_extract", f"WITH e AS (SELECT DISTINCT doc_id, id, text FROM entries) SELECT doc_id, id, {sx.extract_answer('text')} AS answer FROM e")
+def answer_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entries").select("doc_id", "id", "text").distinct().select("doc_id", "id", ids.extract_answer(F.col("text")).alias("answer"))
+
+
+@query("normalize_text", f"WITH e AS (SELECT DISTINCT doc_id, id, text FROM entries) SELECT doc_id, id, {sx.normalize_for_match('text')} AS norm FROM e")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entries").select("doc_id", "id", "text").distinct().select("doc_id", "id", tf.normalize_for_match(F.col("text")).alias("norm"))
+
+
+@query(
+    "bigram_profile",
+    f"WITH b AS (SELECT item_id, {sx.normalize_for_match('text')} AS norm FROM benchmark), g AS (SELECT item_id, unnest({sx.bigrams('norm')}) AS gram, length(norm) - 1 AS total FROM b) SELECT item_id, gram, CAST(total AS INTEGER) AS total, count(*) AS n FROM g GROUP BY ALL",
+)
+def bigram_profile(spark: SparkSession, d: str) -> DataFrame:
+    return matching.gram_table(table(spark, d, "benchmark").select("item_id", "text").distinct(), "item_id").withColumn("total", F.col("total").cast("int"))
+
+
+@query(
+    "math_fragments",
+    f"WITH e AS (SELECT DISTINCT doc_id, id, text FROM entries), n AS (SELECT doc_id, id, {sx.normalize_for_match('text')} AS norm FROM e) SELECT doc_id, id, len({sx.fragments('norm')}) AS fragments, array_to_string({sx.fragments('norm')}, ' ') AS math FROM n",
+)
+def math_fragments(spark: SparkSession, d: str) -> DataFrame:
+    found = tf.math_fragments(tf.normalize_for_match(F.col("text")))
+    return table(spark, d, "entries").select("doc_id", "id", "text").distinct().select("doc_id", "id", F.size(found).alias("fragments"), F.array_join(found, " ").alias("math"))
+
+
+@query(
+    "symbol_contexts",
+    f"""WITH e AS (SELECT DISTINCT text FROM entries), n AS (SELECT {sx.normalize_for_match('text')} AS norm FROM e), p AS (SELECT norm, '···' || norm || '···' AS padded, unnest(range(1, length(norm) + 1)) AS k FROM n)
+    SELECT substr(padded, k, 7) AS context, count(*) AS n FROM p WHERE {sx.matches('substr(norm, k, 1)', f'[{tf.SKELETON}()]')} GROUP BY 1""",
+)
+def symbol_contexts(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "entries").select("text").distinct()
+    return texts.select(F.explode(tf.symbol_contexts(tf.normalize_for_match(F.col("text")))).alias("context")).groupBy("context").agg(F.count("*").alias("n"))
+
+
+FORMULAS = f"list_filter(list_transform(list_filter({sx.fragments('norm')}, lambda f: length(f) >= 3), lambda f: regexp_replace(f, {sx.q(tf.PART_MARK)}, '\\1', 'g')), lambda f: length(f) >= 3 AND regexp_replace(f, {sx.q(f'[^{tf.SKELETON}]')}, '', 'g') <> '')"
+
+
+@query(
+    "formula_set",
+    f"""WITH e AS (SELECT DISTINCT doc_id, id, text FROM entries), n AS (SELECT *, {sx.normalize_for_match('text')} AS norm FROM e)
+    SELECT doc_id, id, len({FORMULAS}) AS expressions, array_to_string(list_transform({FORMULAS}, lambda f: regexp_replace(f, {sx.q(f'[^{tf.SKELETON}]')}, '', 'g')), ' ') AS skeletons,
+    {sx.count("coalesce(text, '')", '[(' + chr(92) + '[{]')} = {sx.count("coalesce(text, '')", '[)' + chr(92) + ']}]')} AS complete FROM n""",
+)
+def formula_set(spark: SparkSession, d: str) -> DataFrame:
+    found = tf.formula_fragments(F.col("text"))
+    rows = table(spark, d, "entries").select("doc_id", "id", "text").distinct()
+    return rows.select("doc_id", "id", F.size(found).alias("expressions"), F.array_join(F.transform(found, tf.skeleton), " ").alias("skeletons"), tf.brackets_balance(F.col("text")).alias("complete"))
+
+
+# Structure of the books.
+
+
+def _class(pattern: str) -> str:
+    return f"sum({sx.count('''coalesce(text, '')''', pattern)})"
+
+
+QUALITY_SQL = f"""
+    WITH {sx.LINES}, c AS (SELECT doc_id, sum(length(coalesce(text, ''))) AS chars, {_class(structure.CONTROL)} AS control, {_class(structure.ODD_SCRIPT)} AS odd, {_class(structure.HAN)} AS han,
+      {_class(structure.STRUCTURED)} AS structured, count(DISTINCT CASE WHEN {sx.trimmed("coalesce(text, '')")} <> '' THEN page END) AS pages_with_text FROM lines GROUP BY doc_id),
+    b AS (SELECT DISTINCT doc_id, CASE WHEN num_pages > 0 THEN num_pages END AS pages_read FROM docs)
+    SELECT b.doc_id, CAST(chars AS BIGINT) AS chars, CAST(control AS BIGINT) AS control, CAST(odd AS BIGINT) AS odd, CAST(han AS BIGINT) AS han, CAST(structured AS BIGINT) AS structured, pages_with_text, pages_read,
+      CASE WHEN chars IS NULL THEN 'SCANNED' WHEN chars = 0 THEN 'BLANK'
+        WHEN pages_read >= 8 AND (chars / pages_read < 20 OR pages_with_text / pages_read < 0.5) THEN 'SPARSE_LAYER'
+        WHEN chars >= 200 AND odd / chars > 0.03 THEN CASE WHEN structured / chars >= 0.25 THEN 'OPAQUE' ELSE 'CORRUPT' END
+        WHEN control / chars > 0.02 THEN 'CORRUPT' WHEN odd / chars > 0.01 OR control / chars > 0.005 THEN 'DEGRADED' ELSE 'USABLE' END AS quality
+    FROM b LEFT JOIN c ON b.doc_id = c.doc_id"""
+
+
+@query("text_quality", QUALITY_SQL)
+def text_quality(spark: SparkSession, d: str) -> DataFrame:
+    return structure.text_quality(table(spark, d, "doc_lines"), table(spark, d, "docs"))
+
+
+@query(
+    "alphabet_overlap",
+    f"""WITH {sx.LINES}, {sx.PAIRS}, ch AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM lines),
+    own AS (SELECT doc_id, ch FROM ch WHERE ch <> '' AND NOT {sx.matches('ch', ids.WS)} GROUP BY doc_id, ch HAVING count(*) >= 2), n AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
+    s AS (SELECT q_doc, a_doc, count(*) AS shared FROM pairs JOIN own x ON x.doc_id = q_doc JOIN own y ON y.doc_id = a_doc AND x.ch = y.ch GROUP BY ALL)
+    SELECT p.q_doc, p.a_doc, coalesce(shared, 0) AS shared, least(coalesce(x.n, 0), coalesce(y.n, 0)) AS total,
+      least(coalesce(x.n, 0), coalesce(y.n, 0)) >= 250 AND coalesce(shared, 0) >= 0.9 * least(coalesce(x.n, 0), coalesce(y.n, 0)) AS comparable
+    FROM pairs p LEFT JOIN s ON s.q_doc = p.q_doc AND s.a_doc = p.a_doc LEFT JOIN n x ON x.doc_id = p.q_doc LEFT JOIN n y ON y.doc_id = p.a_doc""",
+)
+def alphabet_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return structure.alphabet_overlap(table(spark, d, "doc_lines"), _pairs(spark, d))
+
+
+RUNNING_SQL = f"""{sx.LINES}, placed AS (SELECT *, {sx.boilerplate_form('text')} AS form, {sx.carries_label('text')} AS labelled,
+      row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS k, count(*) OVER (PARTITION BY doc_id, page) AS of_page FROM lines),
+    books AS (SELECT doc_id, count(DISTINCT coalesce(page, -1)) AS of_pages FROM lines GROUP BY doc_id),
+    forms AS (SELECT doc_id, form, count(DISTINCT page) AS pages, sum(CAST(k <= 2 OR of_page - k < 2 AS BIGINT)) AS edge, count(*) AS total FROM placed WHERE of_page >= 5 AND NOT labelled AND length(form) >= 4 GROUP BY doc_id, form HAVING count(DISTINCT page) >= 8),
+    running AS (SELECT forms.* FROM forms JOIN books ON forms.doc_id = books.doc_id WHERE pages >= 0.05 * of_pages AND edge >= 0.5 * total)"""
+
+
+@query("boilerplate_forms", f"WITH {RUNNING_SQL} SELECT doc_id, form, pages, CAST(edge AS BIGINT) AS edge, total FROM running")
+def boilerplate_forms(spark: SparkSession, d: str) -> DataFrame:
+    return structure.running_forms(table(spark, d, "doc_lines"))
+
+
+@query("boilerplate_strip", f"WITH {RUNNING_SQL} SELECT p.doc_id, p.line_no, p.text FROM placed p LEFT JOIN running r ON p.doc_id = r.doc_id AND p.form = r.form AND NOT p.labelled WHERE r.form IS NULL")
+def boilerplate_strip(spark: SparkSession, d: str) -> DataFrame:
+    return structure.without_running_lines(table(spark, d, "doc_lines")).select("doc_id", "line_no", "text")
+
+
+OPENS_SQL = f"""lab AS (SELECT *, {sx.is_question_line('text')} AS is_q, {sx.matches("coalesce(text, '')", tf.LINE_MARK)} AS marked,
+      {sx.trimmed(f"regexp_replace(coalesce(text, ''), {sx.q(ids.WS + '+')}, ' ', 'g')")} AS heading FROM lines),
+    rep AS (SELECT doc_id, heading FROM lab WHERE is_q GROUP BY doc_id, heading HAVING count(DISTINCT page) > 4),
+    mk AS (SELECT doc_id, sum(CAST(marked AS BIGINT)) >= 0.2 * count(*) AS marks FROM lab WHERE is_q GROUP BY doc_id),
+    opened AS (SELECT lab.*, is_q AND rep.heading IS NULL AND NOT (coalesce(marks, false) AND NOT marked AND {sx.descriptive_length('text')} >= 2) AS opens
+      FROM lab LEFT JOIN rep ON is_q AND lab.doc_id = rep.doc_id AND lab.heading = rep.heading LEFT JOIN mk ON lab.doc_id = mk.doc_id)"""
+
+
+@query("question_openers", f"WITH {sx.LINES}, {OPENS_SQL} SELECT doc_id, line_no, page FROM opened WHERE opens")
+def question_openers(spark: SparkSession, d: str) -> DataFrame:
+    return structure.opening_lines(table(spark, d, "doc_lines")).filter("opens").select("doc_id", "line_no", "page")
+
+
+SEGMENT_SQL = f"""{RUNNING_SQL}, {OPENS_SQL},
+    islands AS (SELECT o.*, r.form IS NOT NULL AS is_running, sum(CAST(opens AS BIGINT)) OVER (PARTITION BY o.doc_id ORDER BY line_no) - 1 AS ordinal
+      FROM opened o LEFT JOIN running r ON o.doc_id = r.doc_id AND {sx.boilerplate_form('o.text')} = r.form AND NOT {sx.carries_label('o.text')}),
+    pieces AS (SELECT *, nullif(CASE WHEN opens THEN {sx.question_body('text')} WHEN is_running THEN NULL
+        WHEN {sx.sub_id('text')} IS NOT NULL THEN {sx.trimmed(f"regexp_replace(substr(text, length({sx.part('text', ids.SUB, 1)}) + 1), {sx.q(ids.MARK_BY_WORD)}, '')")} ELSE text END, '') AS piece FROM islands WHERE ordinal >= 0),
+    segments AS (SELECT doc_id, ordinal, max(CASE WHEN opens THEN {sx.question_id('text')} END) AS label, arg_min(page, line_no) AS page, arg_max(page, line_no) AS end_page,
+      {sx.trimmed("coalesce(string_agg(piece, ' ' ORDER BY line_no), '')")} AS text, sum(CAST(NOT opens AND NOT is_running AND {sx.sub_id('text')} IS NOT NULL AS BIGINT)) AS subs FROM pieces GROUP BY doc_id, ordinal)"""
+
+
+@query("segment_entries", f"WITH {SEGMENT_SQL} SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, label, page, end_page, text, CAST(subs AS BIGINT) AS subs FROM segments WHERE text <> ''")
+def segment_entries(spark: SparkSession, d: str) -> DataFrame:
+    return structure.segmented_entries(table(spark, d, "doc_lines"))
+
+
+@query(
+    "toc_pages",
+    f"WITH {sx.ENTRIES} SELECT doc_id, page, count(DISTINCT label) AS labels, sum(CAST({sx.matches('''coalesce(text, '')''', tf.TOC_ROW)} AS BIGINT)) AS leaders FROM e GROUP BY doc_id, page HAVING count(DISTINCT label) >= 4",
+)
+def toc_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = _entries(spark, d).groupBy("doc_id", "page").agg(F.count_distinct("label").alias("labels"), F.sum(F.coalesce("text", F.lit("")).rlike(tf.TOC_ROW).cast("int")).alias("leaders"))
+    return pages.filter("labels >= 4")
+
+
+@query(
+    "page_offset_vote",
+    f"""WITH {ENTRY_IDS}, r AS (SELECT doc_id, label_id, printed_page FROM (SELECT DISTINCT entries.doc_id, id, ordinal, printed_page FROM entries WHERE printed_page IS NOT NULL) x JOIN (SELECT DISTINCT doc_id AS dd, id AS ii, label_id FROM ei) y ON doc_id = dd AND id IS NOT DISTINCT FROM ii),
+    f AS (SELECT doc_id, label_id, min(printed_page) AS printed FROM r WHERE label_id <> '' GROUP BY ALL), b AS (SELECT doc_id, label_id, min(page) AS page FROM ei WHERE label_id <> '' GROUP BY ALL),
+    v AS (SELECT doc_id, page - printed AS shift, count(*) AS n FROM f JOIN b USING (doc_id, label_id) WHERE page IS NOT NULL GROUP BY ALL)
+    SELECT doc_id, shift AS "offset", n AS votes, support FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS support, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, shift) AS k FROM v) WHERE k = 1 AND support >= 3 AND n >= 0.6 * support""",
+)
+def page_offset_vote(spark: SparkSession, d: str) -> DataFrame:
+    printed = table(spark, d, "entries").filter("printed_page is not null").select("doc_id", "id", "ordinal", "printed_page").distinct()
+    label = ids.normalize_id(F.regexp_extract(F.coalesce("id", F.lit("")), r"([0-9]{1,4}(?:[.．][0-9]{1,4})*)", 1))
+    rows = printed.select("doc_id", label.alias("label"), "printed_page", F.col("printed_page").alias("seq")).filter("label <> ''")
+    entries = _entries(spark, d).filter("label_id <> ''").select("doc_id", F.col("label_id").alias("label"), "page", F.coalesce("page", F.lit(1 << 30)).alias("seq"))
+    return structure.page_offsets(rows, entries, support=3)
+
+
+@query(
+    "page_samples",
+    f"""WITH {sx.LINES}, b AS (SELECT DISTINCT doc_id, num_pages FROM docs), h AS (SELECT l.*, num_pages FROM lines l JOIN b USING (doc_id) WHERE page BETWEEN 1 AND num_pages AND (page - 1) % greatest(1, num_pages // 12) = 0),
+    c AS (SELECT doc_id, page, n, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, page, count(*) AS n FROM h GROUP BY ALL))
+    SELECT doc_id, page, n FROM c WHERE before <= 4000""",
+)
+def page_samples(spark: SparkSession, d: str) -> DataFrame:
+    return structure.sampled_pages(table(spark, d, "doc_lines"), table(spark, d, "docs")).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+
+
+@query("range_scan", f"WITH {sx.LINES} SELECT doc_id, line_no, page, text FROM lines WHERE page BETWEEN 2 AND 4")
+def range_scan(spark: SparkSession, d: str) -> DataFrame:
+    return structure.book_lines(structure.page_range(table(spark, d, "doc_lines"), 2, 4)).select("doc_id", "line_no", "page", "text")
+
+
+# Outlines.
+
+SPAN_SQL = f"""o AS (SELECT DISTINCT doc_id, node_id, depth, title, page, end_page, child_count, coalesce(page, 0) AS p FROM outline WHERE doc_id IS NOT NULL AND title <> ''),
+    nx AS (SELECT x.doc_id, x.node_id, min(y.p) AS nextp FROM o x LEFT JOIN o y ON x.doc_id = y.doc_id AND y.p > x.p AND y.depth <= x.depth GROUP BY x.doc_id, x.node_id),
+    np AS (SELECT DISTINCT doc_id, CASE WHEN num_pages > 0 THEN num_pages END AS num_pages FROM docs),
+    sp AS (SELECT o.*, coalesce(nextp - 1, num_pages) AS e FROM o JOIN nx USING (doc_id, node_id) LEFT JOIN np USING (doc_id)),
+    nodes AS (SELECT doc_id, node_id, depth, title, page, child_count, CASE WHEN end_page IS NOT NULL THEN end_page WHEN e IS NOT NULL THEN greatest(p, e) END AS last,
+      CASE WHEN end_page IS NOT NULL THEN end_page - page + 1 WHEN e IS NULL THEN 1 ELSE greatest(1, e - p + 1) END AS span, {sx.title_id('title')} AS question_id FROM sp)"""
+LEVEL_SQL = f"""{SPAN_SQL},
+    ag AS (SELECT doc_id, depth, max(c) AS agree FROM (SELECT doc_id, depth, page - CAST(question_id AS INTEGER) AS shift, count(*) AS c FROM nodes WHERE regexp_full_match(question_id, '[0-9]+') AND page IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+    cn AS (SELECT doc_id, depth, count(*) AS n, count(*) FILTER (child_count > 0) AS parents, count(*) FILTER ({sx.matches('title', tf.SECTION_MARK)}) AS structural, count(*) FILTER ({sx.matches('title', tf.TYPE_MARK)}) AS typed,
+      count(*) FILTER ({sx.matches('title', tf.QUESTION_MARK)}) AS marked, count(*) FILTER (question_id <> '') AS with_id, count(*) FILTER ({sx.descriptive_length('title')} >= 2) AS descriptive,
+      count(*) FILTER (regexp_full_match(question_id, '[0-9]+') AND page IS NOT NULL) AS flat, list_sort(list(coalesce(span, 1))) AS spans, count(*) OVER (PARTITION BY doc_id) AS levels FROM nodes GROUP BY doc_id, depth),
+    lv AS (SELECT cn.doc_id, cn.depth, n, levels, CASE WHEN 2 * parents > n THEN 'SECTION' WHEN 2 * structural > n THEN 'SECTION' WHEN 2 * typed > n THEN 'QUESTION_TYPE' WHEN 2 * marked >= n THEN 'QUESTION' WHEN with_id = 0 THEN 'SECTION'
+      WHEN flat >= 10 AND 2 * flat >= with_id AND agree >= 0.9 * flat THEN 'PAGE_MARKER' WHEN 2 * descriptive >= n THEN 'SECTION' WHEN spans[n // 2 + 1] > 8 THEN 'SECTION' WHEN n >= 20 THEN 'QUESTION' ELSE 'UNKNOWN' END AS kind0
+      FROM cn LEFT JOIN ag ON cn.doc_id = ag.doc_id AND cn.depth = ag.depth),
+    levels AS (SELECT doc_id, depth, n, CASE WHEN depth = 0 AND levels > 1 AND kind0 = 'SECTION' THEN 'BOOK' ELSE kind0 END AS kind FROM lv),
+    kinds AS (SELECT nodes.*, CASE WHEN kind = 'QUESTION' AND child_count > 0 THEN 'SECTION' WHEN kind = 'QUESTION' AND question_id = '' THEN 'UNKNOWN' ELSE kind END AS kind FROM nodes JOIN levels USING (doc_id, depth))"""
+
+
+@query("outline_spans", f"WITH {SPAN_SQL} SELECT doc_id, node_id, CAST(last AS INTEGER) AS last, CAST(span AS INTEGER) AS span FROM nodes")
+def outline_spans(spark: SparkSession, d: str) -> DataFrame:
+    return outline.spanned(table(spark, d, "outline"), table(spark, d, "docs")).select("doc_id", "node_id", F.col("last").cast("int").alias("last"), F.col("span").cast("int").alias("span"))
+
+
+@query("outline_cohort", f"WITH {LEVEL_SQL} SELECT doc_id, depth, kind, n FROM levels")
+def outline_cohort(spark: SparkSession, d: str) -> DataFrame:
+    return outline.level_verdicts(outline.spanned(table(spark, d, "outline"), table(spark, d, "docs")))
+
+
+@query("outline_kinds", f"WITH {LEVEL_SQL} SELECT doc_id, node_id, kind, question_id FROM kinds")
+def outline_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return outline.classified(table(spark, d, "outline"), table(spark, d, "docs")).select("doc_id", "node_id", "kind", "question_id")
+
+
+@query("range_spans", f"WITH {LEVEL_SQL} SELECT doc_id, kind, count(*) AS nodes, CAST(sum(span) AS BIGINT) AS pages FROM kinds GROUP BY ALL")
+def range_spans(spark: SparkSession, d: str) -> DataFrame:
+    return outline.classified(table(spark, d, "outline"), table(spark, d, "docs")).groupBy("doc_id", "kind").agg(F.count("*").alias("nodes"), F.sum("span").cast("long").alias("pages"))
+
+
+@query(
+    "id_pairs_unique",
+    f"""WITH {LEVEL_SQL}, {sx.PAIRS}, qs AS (SELECT doc_id, question_id, node_id, page FROM kinds WHERE kind = 'QUESTION'),
+    l AS (SELECT doc_id, question_id, node_id AS q_node FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, question_id ORDER BY page DESC NULLS LAST, node_id DESC) AS k FROM qs) WHERE k = 1),
+    r AS (SELECT doc_id, question_id, min(node_id) AS a_node FROM qs GROUP BY ALL HAVING count(*) = 1)
+    SELECT q_doc, a_doc, l.question_id, q_node, a_node FROM pairs JOIN l ON l.doc_id = q_doc JOIN r ON r.doc_id = a_doc AND r.question_id = l.question_id""",
+)
+def id_pairs_unique(spark: SparkSession, d: str) -> DataFrame:
+    return outline.id_pairs(outline.classified(table(spark, d, "outline"), table(spark, d, "docs")), _pairs(spark, d))
+
+
+# Matching.
+
+
+@query(
+    "label_lookup",
+    f"""WITH {ENTRY_IDS}, {sx.PAIRS}, w AS (SELECT DISTINCT a_doc AS doc_id, label_id AS label FROM pairs JOIN ei ON ei.doc_id = q_doc),
+    h AS (SELECT doc_id, label_id, count(*) AS hits, min(ordinal) AS ordinal FROM ei WHERE label_id <> '' GROUP BY ALL), b AS (SELECT DISTINCT doc_id FROM ei)
+    SELECT w.doc_id, w.label, CASE WHEN b.doc_id IS NULL THEN 'NO_INDEX' WHEN w.label = '' OR hits IS NULL THEN 'NOT_FOUND' WHEN hits > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS status, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN ordinal END AS ordinal
+    FROM w LEFT JOIN h ON w.doc_id = h.doc_id AND w.label = h.label_id LEFT JOIN b ON w.doc_id = b.doc_id""",
+)
+def label_lookup(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d)
+    wanted = _pairs(spark, d).join(entries.select(F.col("doc_id").alias("q_doc"), F.col("label_id").alias("label")).distinct(), "q_doc").select(F.col("a_doc").alias("doc_id"), "label")
+    return matching.label_lookup(entries, wanted)
+
+
+@query(
+    "page_interval_join",
+    f"WITH {ENTRY_IDS}, p AS (SELECT DISTINCT doc_id, page AS asked FROM doc_lines WHERE page IS NOT NULL) SELECT p.doc_id, asked AS page, id, ordinal FROM p JOIN ei ON p.doc_id = ei.doc_id AND asked BETWEEN page AND coalesce(end_page, page)",
+)
+def page_interval_join(spark: SparkSession, d: str) -> DataFrame:
+    return matching.questions_on_pages(_entries(spark, d), table(spark, d, "doc_lines").filter("page is not null").select("doc_id", "page"))
+
+
+DICE_SQL = f"""
+    l AS (SELECT item_id, {sx.normalize_for_match('text')} AS norm FROM benchmark), r AS (SELECT a_item, {sx.normalize_for_match('text')} AS norm FROM (SELECT item_id AS a_item, text FROM benchmark)),
+    lg AS (SELECT item_id, gram, length(norm) - 1 AS total, count(*) AS n FROM (SELECT item_id, norm, unnest({sx.bigrams('norm')}) AS gram FROM l) GROUP BY ALL), rg AS (SELECT a_item, gram, length(norm) - 1 AS total, count(*) AS n FROM (SELECT a_item, norm, unnest({sx.bigrams('norm')}) AS gram FROM r) GROUP BY ALL),
+    sim AS (SELECT item_id, a_item, CAST(sum(least(lg.n, rg.n)) AS BIGINT) AS shared, 2.0 * sum(least(lg.n, rg.n)) / (lg.total + rg.total) AS similarity FROM lg JOIN rg USING (gram) GROUP BY item_id, a_item, lg.total, rg.total)"""
+
+
+@query("dice_topk", f"WITH {DICE_SQL} SELECT item_id, a_item, shared, round(similarity, 6) AS similarity, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, a_item) AS k FROM sim WHERE item_id <> a_item) WHERE k <= 5")
+def dice_topk(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark").select("item_id", "text").distinct()
+    met = matching.gram_similarity(items, items.withColumnRenamed("item_id", "a_item"), "item_id", "a_item").filter("item_id <> a_item")
+    ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("similarity", 9).desc(), "a_item")))
+    return ranked.filter("k <= 5").withColumn("similarity", F.round("similarity", 6))
+
+
+def _same_label(spark: SparkSession, d: str) -> DataFrame:
+    """Each question with the entries of the next book that bear its label, one text a question and candidate."""
+    entries = _entries(spark, d).filter("label_id <> '' and text <> ''")
+    left = entries.select(F.col("doc_id").alias("q_doc"), "label_id", F.col("ordinal").alias("q_ordinal"), F.col("text").alias("q_text"))
+    right = entries.select(F.col("doc_id").alias("a_doc"), "label_id", F.col("ordinal").alias("a_ordinal"), F.col("text").alias("a_text"))
+    return _pairs(spark, d).join(left, "q_doc").join(right, ["a_doc", "label_id"])
+
+
+def _dice_sql(a: str, b: str, grams_a: str, grams_b: str) -> str:
+    shared = f"list_sum(list_transform(list_distinct({grams_a}), lambda g: least(len(list_filter({grams_a}, lambda x: x = g)), len(list_filter({grams_b}, lambda x: x = g)))))"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * {shared} / (len({grams_a}) + len({grams_b})) END"
+
+
+def _context_list(norm: str) -> str:
+    kept = f"list_filter(range(1, length({norm}) + 1), lambda k: {sx.matches(f'substr({norm}, k, 1)', f'[{tf.SKELETON}()]')})"
+    return f"list_transform({kept}, lambda k: substr('···' || {norm} || '···', k, 7))"
+
+
+CONTENT_SQL = f"""{ENTRY_IDS}, {sx.PAIRS}, t AS (SELECT q_doc, a_doc, x.label_id, x.ordinal AS q_ordinal, y.ordinal AS a_ordinal, x.text AS q_text, y.text AS a_text FROM pairs JOIN ei x ON x.doc_id = q_doc JOIN ei y ON y.doc_id = a_doc AND x.label_id = y.label_id WHERE x.label_id <> '' AND x.text <> '' AND y.text <> ''),
+    n AS (SELECT *, {sx.normalize_for_match('q_text')} AS qn, {sx.normalize_for_match('a_text')} AS an FROM t),
+    f AS (SELECT *, {sx.normalize_for_match(f"array_to_string({sx.fragments('qn')}, ' ')")} AS qm, {sx.normalize_for_match(f"array_to_string({sx.fragments('an')}, ' ')")} AS am, {_context_list('qn')} AS qc, {_context_list('an')} AS ac, {sx.bigrams('qn')} AS qg, {sx.bigrams('an')} AS ag FROM n),
+    g AS (SELECT *, {sx.bigrams('qm')} AS qmg, {sx.bigrams('am')} AS amg FROM f),
+    s AS (SELECT *, {_dice_sql('qn', 'an', 'qg', 'ag')} AS prose, {_dice_sql('qm', 'am', 'qmg', 'amg')} AS fragments,
+      CASE WHEN len(qc) >= 2 AND len(ac) >= 2 THEN 2.0 * list_sum(list_transform(list_distinct(qc), lambda c: least(len(list_filter(qc, lambda x: x = c)), len(list_filter(ac, lambda x: x = c))))) / (len(qc) + len(ac)) END AS context FROM g),
+    scored AS (SELECT q_doc, a_doc, label_id, q_ordinal, a_ordinal, CASE WHEN qm = '' OR am = '' THEN prose ELSE 0.75 * CASE WHEN context IS NULL THEN fragments ELSE 0.6 * context + 0.4 * fragments END + 0.25 * prose END AS score FROM s)"""
+
+
+@query("content_similarity", f"WITH {CONTENT_SQL} SELECT q_doc, a_doc, label_id, q_ordinal, a_ordinal, round(score, 6) AS score FROM scored")
+def content_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).withColumn("score", F.round("score", 6))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _same_label(spark, d).withColumns({"qn": tf.normalize_for_match(F.col("q_text")), "an": tf.normalize_for_match(F.col("a_text"))})
+    return pairs.select("q_doc", "a_doc", "label_id", "q_ordinal", "a_ordinal", tf.content_similarity(F.col("qn"), F.col("an")).alias("score"))
