@@ -108,35 +108,7 @@ def fnv1a(text: Column) -> Column:
 # Similarity.
 
 
-def numbered(items: Column) -> Column:
-    """A multiset as a set: each member with the number of its occurrence."""
-    ordered = F.array_sort(items)
-    return F.transform(ordered, lambda x, k: F.concat(x, F.lit("#"), (k - F.array_position(ordered, x)).cast("string")))
-
-
-def multiset_dice(a: Column, b: Column) -> Column:
-    """Twice the shared members over all members; null if either side has none."""
-    shared = F.size(F.array_intersect(numbered(a), numbered(b)))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * shared / (F.size(a) + F.size(b)))
-
-
-def dice(a: Column, b: Column) -> Column:
-    """Similarity of two normalised texts over their bigrams, 0 to 1; equal texts 1, an empty one 0."""
-    short = (F.length(a) < 2) | (F.length(b) < 2)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(short, 0.0).otherwise(multiset_dice(bigrams(a), bigrams(b)))
-
-
+#: How formulas weigh against prose, and operator contexts against fragments.
 MATH_WEIGHT = 0.75
 SYMBOL_SHARE = 0.6
 LEAST_CONTEXTS = 2
-
-
-def content_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two normalised texts, weighted toward their formulas where both have some."""
-    ma, mb = (normalize_for_match(F.array_join(math_fragments(x), " ")) for x in (a, b))
-    ca, cb = symbol_contexts(a), symbol_contexts(b)
-    context = F.when((F.size(ca) >= LEAST_CONTEXTS) & (F.size(cb) >= LEAST_CONTEXTS), multiset_dice(ca, cb))
-    fragments = dice(ma, mb)
-    math = F.coalesce(SYMBOL_SHARE * context + (1 - SYMBOL_SHARE) * fragments, fragments)
-    prose = dice(a, b)
-    return F.when((ma == "") | (mb == ""), prose).otherwise(MATH_WEIGHT * math + (1 - MATH_WEIGHT) * prose)

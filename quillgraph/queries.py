@@ -331,13 +331,13 @@ def range_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "id_pairs_unique",
-    f"""WITH {LEVEL_SQL}, {sx.PAIRS}, qs AS (SELECT doc_id, question_id, node_id, page FROM kinds WHERE kind = 'QUESTION'),
+    f"""WITH {LEVEL_SQL}, pairs AS (SELECT * FROM (SELECT doc_id AS q_doc, lead(doc_id) OVER (ORDER BY doc_id) AS a_doc FROM (SELECT DISTINCT doc_id FROM outline)) WHERE a_doc IS NOT NULL), qs AS (SELECT doc_id, question_id, node_id, page FROM kinds WHERE kind = 'QUESTION'),
     l AS (SELECT doc_id, question_id, node_id AS q_node FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, question_id ORDER BY page DESC NULLS LAST, node_id DESC) AS k FROM qs) WHERE k = 1),
     r AS (SELECT doc_id, question_id, min(node_id) AS a_node FROM qs GROUP BY ALL HAVING count(*) = 1)
     SELECT q_doc, a_doc, l.question_id, q_node, a_node FROM pairs JOIN l ON l.doc_id = q_doc JOIN r ON r.doc_id = a_doc AND r.question_id = l.question_id""",
 )
 def id_pairs_unique(spark: SparkSession, d: str) -> DataFrame:
-    return outline.id_pairs(outline.classified(table(spark, d, "outline"), table(spark, d, "docs")), _pairs(spark, d))
+    return outline.id_pairs(_classified(spark, d), _outline_pairs(spark, d))
 
 
 # Matching.
@@ -411,5 +411,277 @@ def content_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _same_label(spark, d).withColumns({"qn": tf.normalize_for_match(F.col("q_text")), "an": tf.normalize_for_match(F.col("a_text"))})
-    return pairs.select("q_doc", "a_doc", "label_id", "q_ordinal", "a_ordinal", tf.content_similarity(F.col("qn"), F.col("an")).alias("score"))
+    entries = _entries(spark, d).filter("label_id <> '' and text <> ''")
+    texts = entries.select("doc_id", "ordinal", "label_id", "text", F.xxhash64("text").alias("t"))
+    left = texts.select(F.col("doc_id").alias("q_doc"), "label_id", F.col("ordinal").alias("q_ordinal"), F.col("t").alias("lt"))
+    right = texts.select(F.col("doc_id").alias("a_doc"), "label_id", F.col("ordinal").alias("a_ordinal"), F.col("t").alias("rt"))
+    candidates = _pairs(spark, d).join(left, "q_doc").join(right, ["a_doc", "label_id"])
+    once = texts.select("t", "text").distinct()
+    scored = matching.content_scores(candidates.select("lt", "rt").distinct(), once.withColumnRenamed("t", "lt"), once.withColumnRenamed("t", "rt"), "lt", "rt")
+    return candidates.join(scored, ["lt", "rt"]).select("q_doc", "a_doc", "label_id", "q_ordinal", "a_ordinal", "score")
+
+
+# Alignment and decisions.
+
+
+def _outline_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each book with an outline and the next such book."""
+    books = table(spark, d, "outline").select("doc_id").distinct()
+    return books.select(F.col("doc_id").alias("q_doc"), F.lead("doc_id").over(Window.orderBy("doc_id")).alias("a_doc")).filter("a_doc is not null")
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return outline.classified(table(spark, d, "outline"), table(spark, d, "docs"))
+
+
+@query("title_alignment")
+def title_alignment(spark: SparkSession, d: str) -> DataFrame:
+    sections = _classified(spark, d).filter(F.col("kind").isin(*outline.SECTIONS))
+    return sequence.aligned_titles(sections, _outline_pairs(spark, d))
+
+
+OUTLINE_PAIRS_SQL = "op AS (SELECT * FROM (SELECT doc_id AS q_doc, lead(doc_id) OVER (ORDER BY doc_id) AS a_doc FROM (SELECT DISTINCT doc_id FROM outline)) WHERE a_doc IS NOT NULL)"
+#: Sections paired by their place among their depth, where both books have one: an alignment that SQL can state.
+PLACED_SQL = f"""{LEVEL_SQL}, {OUTLINE_PAIRS_SQL}, sec AS (SELECT *, row_number() OVER (PARTITION BY doc_id, depth ORDER BY page, node_id) AS place FROM kinds WHERE kind IN ('SECTION', 'BOOK', 'QUESTION_TYPE') AND page > 0),
+    al AS (SELECT q_doc, a_doc, x.node_id AS q_node, x.page AS q_page, x.last AS q_last, x.depth AS q_depth, y.page AS a_page, y.last AS a_last, y.depth AS a_depth FROM op JOIN sec x ON x.doc_id = q_doc JOIN sec y ON y.doc_id = a_doc AND x.depth = y.depth AND x.place = y.place),
+    sq AS (SELECT *, row_number() OVER (PARTITION BY q_doc, a_doc ORDER BY q_page, q_node) AS seq FROM al),
+    nb AS (SELECT x.q_doc, x.a_doc, x.seq, arg_min(y.a_page, y.seq) AS next_page FROM sq x JOIN sq y ON x.q_doc = y.q_doc AND x.a_doc = y.a_doc AND y.seq > x.seq AND y.a_page > x.a_page AND y.a_depth <= x.a_depth GROUP BY ALL),
+    rg AS (SELECT sq.*, a_page AS from_page, greatest(a_page, coalesce(a_last, next_page - 1, num_pages, a_page)) AS to_page FROM sq LEFT JOIN nb USING (q_doc, a_doc, seq) LEFT JOIN np ON np.doc_id = a_doc),
+    asked AS (SELECT DISTINCT doc_id, page AS asked FROM doc_lines WHERE page IS NOT NULL),
+    hit AS (SELECT q_doc, a_doc, asked AS page, q_node, from_page, to_page, row_number() OVER (PARTITION BY q_doc, a_doc, asked ORDER BY q_depth DESC, seq DESC) AS k FROM asked JOIN rg ON doc_id = q_doc AND asked >= q_page AND (q_last IS NULL OR asked <= q_last))"""
+
+
+@query("region_locate", f"WITH {PLACED_SQL} SELECT q_doc, a_doc, page, q_node, CAST(from_page AS INTEGER) AS from_page, CAST(to_page AS INTEGER) AS to_page FROM hit WHERE k = 1")
+def region_locate(spark: SparkSession, d: str) -> DataFrame:
+    sections = _classified(spark, d).filter(F.col("kind").isin(*outline.SECTIONS) & (F.col("page") > 0))
+    sections = sections.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "depth").orderBy("page", "node_id")))
+    left = sections.select(F.col("doc_id").alias("q_doc"), F.col("node_id").alias("q_node"), F.col("page").alias("q_page"), F.col("last").alias("q_last"), F.col("depth").alias("q_depth"), "depth", "place")
+    right = sections.select(F.col("doc_id").alias("a_doc"), F.col("page").alias("a_page"), F.col("last").alias("a_last"), F.col("depth").alias("a_depth"), "depth", "place")
+    aligned = _outline_pairs(spark, d).join(left, "q_doc").join(right, ["a_doc", "depth", "place"])
+    pages = table(spark, d, "doc_lines").filter("page is not null").select(F.col("doc_id").alias("q_doc"), "page").distinct()
+    out = outline.section_regions(aligned, pages, table(spark, d, "docs"))
+    return out.withColumns({c: F.col(c).cast("int") for c in ("from_page", "to_page")})
+
+
+@query("sequence_alignment")
+def sequence_alignment(spark: SparkSession, d: str) -> DataFrame:
+    held = _entries(spark, d).filter("text <> ''").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "ordinal", "id")).cast("long"))
+    left = held.select(F.col("doc_id").alias("q_doc"), F.col("n").alias("q"), F.col("n").alias("q_seq"), "label_id", "text")
+    right = held.select(F.col("doc_id").alias("a_doc"), F.col("n").alias("a"), F.col("n").alias("a_seq"), "label_id", "text")
+    books = _pairs(spark, d)
+    return sequence.aligned_entries(books.join(left, "q_doc"), books.join(right, "a_doc"), ["q_doc", "a_doc"])
+
+
+@query("formula_compare")
+def formula_compare(spark: SparkSession, d: str) -> DataFrame:
+    texts = _same_label(spark, d).select(F.struct("q_doc", "a_doc", "label_id", "q_ordinal", "a_ordinal").alias("q"), "q_text", "a_text")
+    return sequence.formula_ceilings(texts).select("q.*", "total", "matched", "conflicts", "missing", "ceiling", "ceiling_reason")
+
+
+DECISION_SQL = f"""{CONTENT_SQL}, c AS (SELECT q_doc, a_doc, q_ordinal, label_id, a_ordinal, round(score, 9) AS score FROM scored),
+    r AS (SELECT *, count(*) OVER w AS hits, row_number() OVER (PARTITION BY q_doc, q_ordinal, label_id ORDER BY score DESC, a_ordinal) AS k, lead(score) OVER (PARTITION BY q_doc, q_ordinal, label_id ORDER BY score DESC, a_ordinal) AS second FROM c WINDOW w AS (PARTITION BY q_doc, q_ordinal, label_id)),
+    decided AS (SELECT q_doc, q_ordinal, label_id, hits, CASE WHEN hits = 1 THEN CASE WHEN score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END WHEN score >= 0.55 AND score - coalesce(second, 0) > 0.15 THEN 'MEDIUM' ELSE 'NONE' END AS confidence, a_ordinal FROM r WHERE k = 1)"""
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    scored = _scored(spark, d)
+    rows = scored.select(
+        F.struct("q_doc", "q_ordinal", "label_id").alias("q"),
+        F.col("a_ordinal").alias("cand"),
+        F.col("a_ordinal").alias("seq"),
+        F.lit(True).alias("label_hit"),
+        F.round("score", 9).alias("score"),
+        F.lit(False).alias("exact_id"),
+        F.lit(False).alias("section_aligned"),
+        F.lit(True).alias("comparable"),
+        F.lit(True).alias("carries"),
+    )
+    return matching.decided(rows)
+
+
+@query("match_confidence", f"WITH {DECISION_SQL} SELECT q_doc, q_ordinal, label_id, confidence, confidence <> 'NONE' AS matched, CASE WHEN confidence <> 'NONE' THEN a_ordinal END AS cand FROM decided")
+def match_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _decisions(spark, d).select("q.*", "confidence", "matched", "cand")
+
+
+@query(
+    "assign_rungs",
+    f"""WITH {DECISION_SQL}, st AS (SELECT *, CASE q_doc % 3 WHEN 0 THEN 'VERIFIED_PAIR' WHEN 1 THEN 'UNKNOWN_PAIR' ELSE 'REJECTED_PAIR' END AS status,
+      CASE WHEN confidence = 'MEDIUM' THEN 'AUTO_MATCH' WHEN confidence = 'LOW' THEN 'REVIEW' WHEN hits BETWEEN 1 AND 5 THEN 'REVIEW' ELSE 'REFUSED' END AS first FROM decided)
+    SELECT q_doc, q_ordinal, label_id, CASE WHEN status = 'REJECTED_PAIR' THEN 'BLOCKED' WHEN status = 'UNKNOWN_PAIR' AND first = 'AUTO_MATCH' THEN 'REVIEW' ELSE first END AS rung,
+      CASE WHEN status = 'REJECTED_PAIR' THEN 'PAIR_IDENTITY_MISMATCH' WHEN status = 'UNKNOWN_PAIR' AND first = 'AUTO_MATCH' THEN 'PAIR_IDENTITY_UNKNOWN' WHEN confidence = 'NONE' AND hits BETWEEN 1 AND 5 THEN 'AMBIGUOUS_LABEL' WHEN confidence = 'LOW' THEN 'LOW_CONFIDENCE' END AS capped_by FROM st""",
+)
+def assign_rungs(spark: SparkSession, d: str) -> DataFrame:
+    rest = F.pmod("q.q_doc", F.lit(3))
+    status = F.when(rest == 0, "VERIFIED_PAIR").when(rest == 1, "UNKNOWN_PAIR").otherwise("REJECTED_PAIR")
+    none = F.lit(None).cast("string")
+    rows = _decisions(spark, d).withColumns({"ceiling": none, "ceiling_reason": none, "has_region": F.lit(False), "pair_status": status})
+    return matching.with_rungs(rows).select("q.*", "rung", "capped_by")
+
+
+@query("rung_histogram", f"WITH {DECISION_SQL} SELECT q_doc, CASE WHEN confidence = 'MEDIUM' THEN 'AUTO_MATCH' WHEN confidence = 'LOW' THEN 'REVIEW' ELSE 'REFUSED' END AS rung, count(*) AS n FROM decided GROUP BY ALL")
+def rung_histogram(spark: SparkSession, d: str) -> DataFrame:
+    rows = _decisions(spark, d).select("q.q_doc", matching.rung_for(F.col("confidence"), F.col("matched")).alias("rung"))
+    return audit.rung_histogram(rows, ["q_doc"])
+
+
+@query(
+    "positional_support",
+    f"""WITH {DECISION_SQL}, w AS (SELECT *, confidence = 'MEDIUM' AS strong FROM decided)
+    SELECT q_doc, q_ordinal, label_id, CASE WHEN confidence = 'LOW' AND coalesce(lag(strong) OVER o, false) AND coalesce(lead(strong) OVER o, false) THEN 'MEDIUM' ELSE confidence END AS supported FROM w WINDOW o AS (PARTITION BY q_doc ORDER BY q_ordinal, label_id)""",
+)
+def positional_support(spark: SparkSession, d: str) -> DataFrame:
+    rows = _decisions(spark, d).select("q.*", "matched", "confidence").withColumn("place", F.struct("q_ordinal", "label_id"))
+    return matching.positional_support(rows, ["q_doc"], "place").select("q_doc", "q_ordinal", "label_id", "supported")
+
+
+@query(
+    "positional_window",
+    f"""WITH {sx.ENTRIES}, {sx.PAIRS}, n AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, ordinal FROM e) GROUP BY ALL), x AS (SELECT DISTINCT q_doc, a_doc, ordinal, a.n AS qn, b.n AS an FROM pairs JOIN e ON e.doc_id = q_doc JOIN n a ON a.doc_id = q_doc JOIN n b ON b.doc_id = a_doc WHERE ordinal >= 0 AND a.n > 1),
+    w AS (SELECT *, CAST(floor(ordinal * (an - 1) / (qn - 1) + 0.5) AS BIGINT) AS expected, greatest(4, CAST(ceil(an * 0.06) AS BIGINT)) AS half FROM x)
+    SELECT q_doc, a_doc, ordinal, greatest(0, expected - half) AS from_place, least(an - 1, expected + half) AS to_place FROM w""",
+)
+def positional_window(spark: SparkSession, d: str) -> DataFrame:
+    held = _entries(spark, d).select("doc_id", "ordinal").distinct()
+    sizes = held.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = _pairs(spark, d).join(held.withColumnRenamed("doc_id", "q_doc"), "q_doc")
+    rows = rows.join(sizes.withColumnsRenamed({"doc_id": "q_doc", "n": "qn"}), "q_doc").join(sizes.withColumnsRenamed({"doc_id": "a_doc", "n": "an"}), "a_doc")
+    rows = rows.withColumn("w", matching.positional_window(F.col("ordinal"), F.col("qn"), F.col("an"))).filter("w is not null")
+    return rows.select("q_doc", "a_doc", "ordinal", F.col("w.from").cast("long").alias("from_place"), F.col("w.to").cast("long").alias("to_place"))
+
+
+# Pairs of books.
+
+ROLE_SQL = f"""{sx.ENTRIES}, ra AS (SELECT doc_id, text, source, {sx.extract_answer('text')} AS found FROM e WHERE text <> ''),
+    rc AS (SELECT doc_id, count(*) AS n, count(*) FILTER ({sx.matches('text', pairs.SOLUTION)}) AS language, count(*) FILTER (found <> '' AND found <> text) AS answers, bool_or(source = 'OUTLINE') AS by_outline FROM ra GROUP BY doc_id),
+    roles AS (SELECT doc_id, n, language, answers, CASE WHEN n < 20 THEN 'UNKNOWN' WHEN language >= 0.97 * n AND answers >= 0.97 * n THEN 'ANSWER' WHEN by_outline THEN 'EXERCISE' ELSE 'UNKNOWN' END AS role FROM rc)"""
+FIRST_SQL = f"""{sx.LINES}, ft AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM lines),
+    tt AS (SELECT doc_id, title AS text FROM (SELECT DISTINCT doc_id, node_id, title FROM outline))"""
+
+
+@query("role_classify", f"WITH {ROLE_SQL} SELECT doc_id, n, language, answers, role FROM roles")
+def role_classify(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.roles(_entries(spark, d))
+
+
+YEAR_SQL = f"""{FIRST_SQL}, ys AS (SELECT doc_id, unnest(regexp_extract_all(text, '20[0-9]{{2}}')) AS year FROM (SELECT doc_id, text FROM ft WHERE k <= 4000 UNION ALL SELECT * FROM tt)),
+    yc AS (SELECT doc_id, year, count(*) AS n FROM ys GROUP BY ALL), yr AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, year) AS place FROM yc),
+    years AS (SELECT doc_id, CASE WHEN n >= 0.6 * total THEN year END AS year, n AS votes, total FROM yr WHERE place = 1)"""
+
+
+@query("doc_year", f"WITH {YEAR_SQL} SELECT * FROM years")
+def doc_year(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.years(table(spark, d, "doc_lines"), table(spark, d, "outline"))
+
+
+def _leader_sql(kind: str, least: int) -> str:
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS s, {kind}_{s} AS n FROM sc" for s in pairs.SUBJECTS)
+    return f"SELECT doc_id, s FROM (SELECT doc_id, s, n, lead(n) OVER (PARTITION BY doc_id ORDER BY n DESC, s DESC) AS second, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s DESC) AS k FROM ({rows})) WHERE k = 1 AND n >= {least} AND n >= 2 * second"
+
+
+_SUBJECT_COUNTS = ", ".join(f"count(*) FILTER ({sx.matches('text', p)}) AS {kind}_{s}" for s, both in pairs.SUBJECTS.items() for kind, p in zip(("n", "t"), both))
+SUBJECT_SQL = f"""sx AS (SELECT doc_id, text FROM ft WHERE k <= 3000 UNION ALL SELECT * FROM tt), sc AS (SELECT doc_id, {_SUBJECT_COUNTS} FROM sx WHERE text IS NOT NULL GROUP BY doc_id),
+    ln AS ({_leader_sql('n', 5)}), lt AS ({_leader_sql('t', 3)}), subjects AS (SELECT sc.doc_id, coalesce(ln.s, lt.s, 'MIXED') AS subject FROM sc LEFT JOIN ln USING (doc_id) LEFT JOIN lt USING (doc_id))"""
+
+
+@query("doc_subject", f"WITH {FIRST_SQL}, {SUBJECT_SQL} SELECT doc_id, subject FROM subjects")
+def doc_subject(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.subjects(table(spark, d, "doc_lines"), table(spark, d, "outline"))
+
+
+@query("anchor_agreement")
+def anchor_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.anchors(_entries(spark, d), _pairs(spark, d))
+
+
+@query("pair_verdict")
+def pair_verdict(spark: SparkSession, d: str) -> DataFrame:
+    entries, books = _entries(spark, d), _pairs(spark, d)
+    sources = entries.groupBy("doc_id").agg(F.bool_and(F.col("source") == "OUTLINE").alias("by_outline"))
+    lines, tree = table(spark, d, "doc_lines"), table(spark, d, "outline")
+    return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, tree), pairs.subjects(lines, tree), pairs.anchors(entries, books), sources)
+
+
+@query("pair_matrix")
+def pair_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return pair_verdict(spark, d).groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+@query("fingerprint")
+def fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.fingerprints(table(spark, d, "doc_lines"), _classified(spark, d), table(spark, d, "docs"))
+
+
+@query(
+    "fnv_digest",
+    f"""WITH t AS (SELECT DISTINCT doc_id, title FROM outline WHERE title <> ''), c AS (SELECT doc_id, title, list_transform(string_split(title, ''), lambda x: CAST(ord(x) AS HUGEINT)) AS codes FROM t)
+    SELECT doc_id, title, lpad(lower(to_hex(CAST(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), codes), lambda h, x: (CAST(xor(CAST(h AS BIGINT), CAST(x AS BIGINT)) AS HUGEINT) * 16777619) % 4294967296) AS BIGINT))), 8, '0') AS digest FROM c""",
+)
+def fnv_digest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "outline").filter("title <> ''").select("doc_id", "title").distinct().withColumn("digest", tf.fnv1a(F.col("title")))
+
+
+@query("binding_states")
+def binding_states(spark: SparkSession, d: str) -> DataFrame:
+    prints = fingerprint(spark, d)
+    books = _pairs(spark, d)
+    return pairs.binding_states(pairs.bindings(prints, books), prints, books)
+
+
+# Glyphs and audits.
+
+
+def _ciphered(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of Chinese books with each Chinese character replaced by a fixed other sign: a broken text layer with its readable twin."""
+    held = _lines(spark, d).filter("text is not null and page is not null")
+    pages = held.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("readable"))
+    code = F.transform(F.split("readable", ""), lambda c: F.when(c.rlike(structure.HAN), F.decode(F.unhex(F.lpad(F.hex(F.pmod(F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int"), F.lit(4096)) + 0x1000), 4, "0")), "UTF-16BE")).otherwise(c))
+    return pages.filter(F.col("readable").rlike(structure.HAN)).withColumn("broken", F.array_join(code, ""))
+
+
+@query("glyph_votes")
+def glyph_votes(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.votes(_ciphered(spark, d))
+
+
+@query("glyph_table")
+def glyph_table(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.glyph_table(glyphs.votes(_ciphered(spark, d)))
+
+
+@query(
+    "order_audit",
+    """WITH e AS (SELECT user_id, ts, event_id, event_type FROM events), r AS (SELECT *, dense_rank() OVER (ORDER BY event_type) AS rk, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e),
+    b AS (SELECT user_id, count(*) AS n, count(*) FILTER (rk < last) AS breaks FROM (SELECT *, lag(rk) OVER (PARTITION BY user_id ORDER BY k) AS last FROM r) GROUP BY user_id),
+    i AS (SELECT x.user_id, count(*) AS inversions FROM r x JOIN r y ON x.user_id = y.user_id AND y.k > x.k AND y.rk < x.rk GROUP BY ALL)
+    SELECT b.user_id, n, breaks, coalesce(inversions, 0) AS inversions FROM b LEFT JOIN i USING (user_id)""",
+)
+def order_audit(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    kinds = events.select("event_type").distinct().select("event_type", F.dense_rank().over(Window.orderBy("event_type")).alias("rk"))
+    return audit.order_audit(events.join(F.broadcast(kinds), "event_type"), ["user_id"], ["ts", "event_id"], "rk")
+
+
+@query(
+    "start_alignment",
+    f"""WITH {sx.LINES}, {ENTRY_IDS}, h AS (SELECT DISTINCT doc_id, {sx.question_id('text')} AS label, page FROM lines WHERE {sx.is_question_line('text')}),
+    ev AS (SELECT ei.doc_id, ei.label_id AS label, ei.page, h.label IS NOT NULL AS printed FROM ei LEFT JOIN h ON ei.doc_id = h.doc_id AND ei.label_id = h.label AND ei.page = h.page WHERE label_id <> '')
+    SELECT doc_id, count(*) FILTER (printed) AS starts, count(*) FILTER (NOT printed) AS continuations, count(DISTINCT label) AS labels, count(DISTINCT CASE WHEN printed THEN label END) AS start_labels FROM ev GROUP BY doc_id""",
+)
+def start_alignment(spark: SparkSession, d: str) -> DataFrame:
+    headings = _lines(spark, d).filter(ids.is_question_line(F.col("text"))).select("doc_id", ids.question_line(F.col("text"))["id"].alias("label"), "page")
+    return audit.start_alignment(_entries(spark, d).filter("label_id <> ''").select("doc_id", F.col("label_id").alias("label"), "page"), headings)
+
+
+@query(
+    "strict_metrics",
+    f"""WITH {ENTRY_IDS}, {sx.PAIRS}, tr AS (SELECT doc_id, label_id, min(page) AS from_page, max(coalesce(end_page, page)) AS to_page FROM ei WHERE label_id <> '' GROUP BY ALL HAVING count(*) = 1),
+    m AS (SELECT a_doc, label_id, page FROM pairs JOIN ei ON ei.doc_id = q_doc WHERE label_id <> '')
+    SELECT a_doc AS doc_id, count(*) AS accepted, count(*) FILTER (page BETWEEN from_page AND to_page) AS confirmed, count(*) FILTER (NOT (page BETWEEN from_page AND to_page)) AS wrong_page, count(*) FILTER (from_page IS NULL) AS unidentifiable
+    FROM m LEFT JOIN tr ON tr.doc_id = a_doc AND tr.label_id = m.label_id GROUP BY ALL""",
+)
+def strict_metrics(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d).filter("label_id <> ''")
+    truth = entries.groupBy("doc_id", F.col("label_id").alias("label")).agg(F.min("page").alias("from_page"), F.max(F.coalesce("end_page", "page")).alias("to_page"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    matches = _pairs(spark, d).join(entries.select(F.col("doc_id").alias("q_doc"), F.col("label_id").alias("label"), "page"), "q_doc").select(F.col("a_doc").alias("doc_id"), "label", "page")
+    return audit.strict_metrics(matches, truth, ["doc_id"])
