@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,11 @@ LEAST_VOTES, AGREE, LEAST_ANCHORS, LONGEST_SPAN, MOST_ANCHORS = 3, 0.8, 8, 24, 3
 
 def anchor_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence; on the way back the left side is left first."""
-    rows = [[0] * (len(b) + 1)]
+    right = np.array(b)
+    rows = [np.zeros(len(b) + 1, dtype=np.int32)]
     for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        last, row = rows[-1], np.zeros(len(b) + 1, dtype=np.int32)
+        np.maximum.accumulate(np.maximum(last[1:], last[:-1] + (right == x)), out=row[1:])
         rows.append(row)
     out, i, j = [], len(a), len(b)
     while i and j:
