@@ -75,7 +75,7 @@ def tables() -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str], dict[in
     unstable: list[list[int]] = []
     back: list[list[int]] = []
     for c in [*range(0x323B0), *range(0xE0000, 0xE0200)]:
-        if 0xD800 <= c < 0xE000 or 0x4E00 <= c < 0xA000 or 0x20 <= c < 0x7F or 0xAC00 <= c < 0xD7A4 or 0x20000 <= c < 0x2F800:
+        if c == 0x0D or 0xD800 <= c < 0xE000 or 0x4E00 <= c < 0xA000 or 0x20 <= c < 0x7F or 0xAC00 <= c < 0xD7A4 or 0x20000 <= c < 0x2F800:
             continue
         new = base(c)
         if new != chr(c):
@@ -86,7 +86,8 @@ def tables() -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str], dict[in
             elif holds:
                 ranges.append([c, c])
     one, two = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) for ranges in (back, unstable))
-    return re.compile(f"[{one}]"), re.compile(f"[{two}]+"), re.compile(f"[^{two}]?[{two}]+"), mapping
+    mapping[0x0D] = "\n"  # beside a line feed the two are one line end
+    return re.compile(f"[{one}]"), re.compile(f"\r\n?|[{two}]+"), re.compile(f"\r\n?|[^{two}\r]?[{two}]+"), mapping
 
 
 def canonical(text: str, known: dict[str, str]) -> str:

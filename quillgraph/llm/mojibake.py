@@ -34,6 +34,8 @@ SLOTS = 1 << 20
 CHARS = 0x110000
 #: A pair that adds less than this share to the corpus' mutual information is improbable.
 SHARE = 2e-4
+#: In a small corpus a pair that adds less than this is improbable too: some ten occurrences say nothing yet.
+LEAST_LEVEL = 200.0
 GAIN, LOSS = 1.0, 0.6
 #: How much better, in bits of the mean pair count, a restored run must fit.
 BETTER = 1.0
@@ -108,7 +110,7 @@ def model(documents: DataFrame) -> Model:
     chars, pairs = np.zeros(CHARS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
     chars[slot[kind == 0]], pairs[slot[kind == 1]] = n[kind == 0], n[kind == 1]
     # the corpus' mutual information is of the order of the pair total; the share is taken of that
-    return Model(chars, pairs, SHARE * float(pairs.sum()))
+    return Model(chars, pairs, max(LEAST_LEVEL, SHARE * float(pairs.sum())))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int]]:
