@@ -57,7 +57,7 @@ COMPOUND = (
 ).split()
 SINGLE = (
     "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦许吕施张孔曹严魏陶姜戚谢邹喻柏窦潘葛奚范彭郎鲁韦苗凤俞袁柳鲍唐费廉岑薛雷贺倪汤滕殷罗郝邬傅卞齐伍顾孟黄穆萧尹姚邵汪祁臧戴宋茅庞熊纪舒屈董梁杜阮蓝"
-    "闵贾娄郭梅刁钟徐邱骆夏蔡樊胡凌霍虞柯莫房裘缪宗邓郁杭洪崔龚嵇邢裴陆荀羊惠甄芮储靳汲邴糜宓蓬郗郦邰鄂赖蔺屠蒙乔胥翟谭逄姬扶冉雍璩桑濮扈燕冀浦庄晏瞿阎慕茹宦艾廖庾居匡寇阙殳隆厍聂晁敖訾阚乜鞠巢蒯荆权逯盖桓鄢闫覃尉岳帅缑亢郈琴仉墨哈谯笪佘佴伯赏"
+    "闵贾娄郭梅刁钟徐邱骆夏蔡樊胡凌霍虞柯莫房裘缪宗邓郁杭洪崔龚嵇邢裴陆荀羊惠甄芮储靳汲邴糜宓蓬郗郦邰鄂赖蔺屠蒙乔胥翟谭逄姬扶冉雍璩桑濮扈燕冀浦庄晏瞿阎慕茹宦艾廖庾居匡寇阙殳隆厍聂晁敖訾阚乜鞠巢蒯荆权逯盖桓鄢闫覃尉岳帅缑亢郈琴仉墨哈谯笪佘佴麴"
 )
 
 HAN = "㐀-䶿一-鿿"
@@ -70,7 +70,7 @@ EMAIL = re.compile(
 )
 #: An @ written out, with signs around it or a dot written out too.
 WRITTEN_AT = re.compile(r"[\[({<]\s*(?:at|At|AT)\s*[\])}>]|\s(?:dot|DOT)\s")
-NUMBER = re.compile(r"(?<![0-9A-Za-z.,/=^_#+-])(?:[A-Z]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[A-D](?![A-Za-z0-9])|(?:\+|00)?\(?[0-9](?:[ .()/–-]{0,2}[0-9]){5,20}[Xx]?)(?![0-9A-Za-z^_])(?:\s?(?:ext\.?|x|转|Durchwahl|poste)\s?[0-9]{1,5})?")
+NUMBER = re.compile(r"(?<![0-9A-Za-z.,/=^_#+-])(?:[A-Z]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[A-D](?![A-Za-z0-9])|(?:\+|00)?\(?[0-9](?:(?:[ ./–-]{0,2}|\)[ -]?|[ ]\()[0-9]){5,20}[Xx]?)(?![0-9A-Za-z^_])(?:\s?(?:ext\.?|x|转|Durchwahl|poste)\s?[0-9]{1,5})?")
 DATE_IN_ID = re.compile(r"[0-9]{6}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]")
 # each pattern begins with what is rare in a text, the rest is read from there
 STREET = re.compile(rf"[0-9]{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}(?P<kind>(?:{STREETS})\b\.?)?")
@@ -105,7 +105,7 @@ STREET_IN_CAPS = re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,4}}[A-Z]?,?\s(?:[A-Z][A
 #: Two words or initials in capitals, a title with a name, or a surname before its given name.
 RUN = re.compile(
     rf"(?:{TITLES})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}(?:[ ]{{1,3}}{CAP})*"
-    rf"|(?:{CAP}|[{UP}]\.)(?:(?:[ ]{{1,3}}(?:{CAP}|[{UP}]\.(?=\W|$)))+|,[ ]{CAP}(?![ ](?:{CAP}|[{UP}]\.)|\w))"
+    rf"|(?:{CAP}|[{UP}]\.)(?:(?:[ ]{{1,3}}(?:{CAP}|[{UP}]\.(?=\W|$)))+|,[ ](?!(?:{TITLES})\b){CAP}(?![ ](?:{CAP}|[{UP}]\.)|,[ ]{CAP}|\w))"
 )
 TITLED = re.compile(rf"\b(?:{TITLES})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}")
 SURNAME_START = re.compile(f"[{SINGLE}{''.join(x[0] for x in COMPOUND)}]")
@@ -198,6 +198,10 @@ def candidates(text: str) -> Iterator[Candidate]:
                 yield "name", a, b, m[0], m[0].split(", "), False
             continue
         words = m[0].split()
+        if text[a - 1 : a] in ("=", "^", "_", "{", "\\") and len(words[0]) == 2:
+            # the end of a formula before a name
+            a += len(words[0]) + 1
+            words = words[1:]
         if len(words) < 2 or not free(a, b) or text[a - 1 : a] in ("=", "^", "_", "(", "{", "\\", "©"):
             continue
         if titled := TITLED.search(m[0]):
@@ -270,7 +274,7 @@ def patterns_of(mentions: DataFrame) -> DataFrame:
     """(m, kind, inst, side, pattern): each mention's left, right and joint pattern; a bare line end is a pattern only jointly."""
     # only a word or a colon, comma or dash beside the candidate says something by itself
     sides = F.array(
-        F.when(F.col("l").rlike(r"[\p{L}:：,—-]$"), F.concat(F.lit("L "), "l")),
+        F.when(F.col("l").rlike(r"[\p{L}:：,—-]$") | (F.col("kind").isin("phone", "id_number") & F.col("l").rlike(r"(^| )\p{L}{1,4} \.$")), F.concat(F.lit("L "), "l")),
         F.when(F.col("r").rlike(r"^\p{L}") & F.col("kind").isin("name", "address"), F.concat(F.lit("R "), "r")),
         F.concat(F.lit("B "), "l", F.lit(" | "), "r"),
     )
