@@ -91,7 +91,7 @@ def top_items(parsed: Any) -> list[Any]:
 def shredded(payload: str | None) -> list[dict[str, list[tuple[int, int, Any]]]]:
     """The leaf columns by nesting level, from 1; none if the payload is no complete JSON."""
     try:
-        top = top_items(json.loads(payload)) if payload else []
+        top = top_items(json.loads(payload.lstrip("\ufeff"))) if payload else []
     except ValueError:
         return []
     levels: list[dict[str, list[tuple[int, int, Any]]]] = []

@@ -193,3 +193,29 @@ def page_offsets(rows: DataFrame, entries: DataFrame, support: int = OFFSET_SUPP
     best = votes.groupBy("doc_id").agg(F.sum("n").alias("support"), F.max(F.struct("n", (-F.col("offset")).alias("o"))).alias("b"))
     out = best.select("doc_id", (-F.col("b.o")).alias("offset"), F.col("b.n").alias("votes"), "support")
     return out.filter((F.col("support") >= support) & (F.col("votes") >= OFFSET_AGREEMENT * F.col("support")))
+
+
+def contents_locations(rows: DataFrame, entries: DataFrame, docs: DataFrame, support: int = OFFSET_SUPPORT) -> DataFrame:
+    """(doc_id, label, printed_page, predicted, state): what the body says of each label that the contents list.
+
+    state is corroborated if the body has the label on the very page, conflicted if
+    elsewhere or beyond the book, unseen if it has none; books without an agreed
+    shift give no rows.
+    """
+    first = rows.groupBy("doc_id", "label").agg(F.min_by("printed_page", "seq").alias("printed_page"))
+    body = entries.groupBy("doc_id", "label").agg(F.min_by("page", "seq").alias("body_page"))
+    shifts = page_offsets(rows, entries, support).select("doc_id", "offset")
+    books = docs.select("doc_id", F.when(F.col("num_pages") > 0, F.col("num_pages")).alias("num_pages")).distinct()
+    held = first.join(shifts, "doc_id").join(books, "doc_id", "left").join(body, ["doc_id", "label"], "left").withColumn("predicted", F.col("printed_page") + F.col("offset"))
+    beyond = (F.col("predicted") < 1) | F.coalesce(F.col("predicted") > F.col("num_pages"), F.lit(False))
+    state = F.when(beyond, "conflicted").when(F.col("body_page").isNull(), "unseen").when(F.col("body_page") != F.col("predicted"), "conflicted").otherwise("corroborated")
+    return held.select("doc_id", "label", "printed_page", "predicted", state.alias("state"))
+
+
+def located_entries(entries: DataFrame, locations: DataFrame) -> DataFrame:
+    """entries (doc_id, label, page, ...) with `confirmed`; where exactly one of a label's entries is confirmed, the others go."""
+    found = locations.filter("state = 'corroborated'").select("doc_id", "label", F.col("predicted").alias("located"))
+    held = entries.join(found, ["doc_id", "label"], "left").withColumn("confirmed", F.coalesce(F.col("located") == F.col("page"), F.lit(False)))
+    label = Window.partitionBy("doc_id", "label")
+    held = held.withColumns({"of": F.count("*").over(label), "sure": F.sum(F.col("confirmed").cast("int")).over(label)})
+    return held.filter((F.col("of") < 2) | (F.col("sure") != 1) | F.col("confirmed")).drop("located", "of", "sure")

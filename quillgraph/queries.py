@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quillgraph import sqltext as sx
 from quillgraph.functions import ids
 from quillgraph.functions import textfeat as tf
-from quillgraph.operators import audit, glyphs, matching, outline, pairs, reconcile, sequence, shred, structure
+from quillgraph.operators import audit, entrytext, glyphs, matching, outline, pairs, reconcile, sequence, shred, structure
+from quillgraph.plans import linkage
 from quillgraph.runtime import table
+from quillgraph.sources import lines as lines_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -685,3 +687,119 @@ def strict_metrics(spark: SparkSession, d: str) -> DataFrame:
     truth = entries.groupBy("doc_id", F.col("label_id").alias("label")).agg(F.min("page").alias("from_page"), F.max(F.coalesce("end_page", "page")).alias("to_page"), F.count("*").alias("n")).filter("n = 1").drop("n")
     matches = _pairs(spark, d).join(entries.select(F.col("doc_id").alias("q_doc"), F.col("label_id").alias("label"), "page"), "q_doc").select(F.col("a_doc").alias("doc_id"), "label", "page")
     return audit.strict_metrics(matches, truth, ["doc_id"])
+
+
+# Contents, texts of entries, sources, the whole linkage.
+
+
+def _printed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Printed pages by label, and the body's entries; of a label the smaller page counts first."""
+    printed = table(spark, d, "entries").filter("printed_page is not null").select("doc_id", "id", "printed_page").distinct()
+    label = ids.normalize_id(F.regexp_extract(F.coalesce("id", F.lit("")), r"([0-9]{1,4}(?:[.．][0-9]{1,4})*)", 1))
+    rows = printed.select("doc_id", label.alias("label"), "printed_page", F.col("printed_page").alias("seq")).filter("label <> ''")
+    body = _entries(spark, d).filter("label_id <> ''").select("doc_id", F.col("label_id").alias("label"), "id", "ordinal", "page", F.coalesce("page", F.lit(1 << 30)).alias("seq"))
+    return rows, body
+
+
+LOCATIONS_SQL = f"""{ENTRY_IDS}, pr AS (SELECT DISTINCT doc_id, {LABEL_ID} AS label, printed_page FROM entries WHERE printed_page IS NOT NULL AND doc_id IS NOT NULL), fp AS (SELECT doc_id, label, min(printed_page) AS printed_page FROM pr WHERE label <> '' GROUP BY ALL),
+    bp AS (SELECT doc_id, label_id AS label, min(page) AS body_page FROM ei WHERE label_id <> '' GROUP BY ALL),
+    vt AS (SELECT doc_id, body_page - printed_page AS shift, count(*) AS n FROM fp JOIN bp USING (doc_id, label) WHERE body_page IS NOT NULL GROUP BY ALL),
+    sh AS (SELECT doc_id, shift FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS support, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, shift) AS k FROM vt) WHERE k = 1 AND support >= 3 AND n >= 0.6 * support),
+    loc AS (SELECT fp.doc_id, fp.label, printed_page, printed_page + shift AS predicted, CASE WHEN printed_page + shift < 1 OR coalesce(printed_page + shift > CASE WHEN num_pages > 0 THEN num_pages END, false) THEN 'conflicted' WHEN body_page IS NULL THEN 'unseen' WHEN body_page <> printed_page + shift THEN 'conflicted' ELSE 'corroborated' END AS state
+      FROM fp JOIN sh USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id, num_pages FROM docs) USING (doc_id) LEFT JOIN bp USING (doc_id, label))"""
+
+
+@query("contents_locations", f"WITH {LOCATIONS_SQL} SELECT doc_id, label, printed_page, predicted, state FROM loc")
+def contents_locations(spark: SparkSession, d: str) -> DataFrame:
+    rows, body = _printed(spark, d)
+    return structure.contents_locations(rows, body, table(spark, d, "docs"), support=3)
+
+
+@query(
+    "located_entries",
+    f"""WITH {LOCATIONS_SQL}, b AS (SELECT doc_id, label_id AS label, id, ordinal, page FROM ei WHERE label_id <> ''), c AS (SELECT b.*, coalesce(predicted = page, false) AS confirmed FROM b LEFT JOIN loc ON loc.doc_id = b.doc_id AND loc.label = b.label AND state = 'corroborated'),
+    w AS (SELECT *, count(*) OVER (PARTITION BY doc_id, label) AS n, sum(CAST(confirmed AS BIGINT)) OVER (PARTITION BY doc_id, label) AS sure FROM c)
+    SELECT doc_id, label, id, ordinal, page, confirmed FROM w WHERE n < 2 OR sure <> 1 OR confirmed""",
+)
+def located_entries(spark: SparkSession, d: str) -> DataFrame:
+    rows, body = _printed(spark, d)
+    return structure.located_entries(body.drop("seq"), structure.contents_locations(rows, body, table(spark, d, "docs"), support=3))
+
+
+def _bounded_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries by label with the one that follows in book order."""
+    held = _entries(spark, d).filter("label_id <> '' and page is not null").groupBy("doc_id", F.col("label_id").alias("label")).agg(F.min("page").alias("page"), F.max(F.coalesce("end_page", "page")).alias("end_page"))
+    order = Window.partitionBy("doc_id").orderBy("page", ids.id_segments(F.col("label")))
+    return held.withColumns({"entry": F.col("label"), "next_label": F.lead("label").over(order), "next_page": F.lead("page").over(order)})
+
+
+BOUNDED_SQL = f"""{sx.LINES}, {ENTRY_IDS}, be AS (SELECT doc_id, label_id AS label, min(page) AS page, max(coalesce(end_page, page)) AS end_page FROM ei WHERE label_id <> '' AND page IS NOT NULL GROUP BY ALL),
+    bn AS (SELECT *, lead(label) OVER o AS next_label, lead(page) OVER o AS next_page FROM be WINDOW o AS (PARTITION BY doc_id ORDER BY page, list_transform(string_split(label, '.'), lambda s: CAST(s AS INTEGER)))),
+    hl AS (SELECT *, {sx.question_id('text')} AS heading FROM lines),
+    wd AS (SELECT bn.doc_id, label, next_label, bn.page AS first_page, end_page, line_no, hl.page, text, top, bottom, heading FROM bn JOIN hl ON hl.doc_id = bn.doc_id AND hl.page BETWEEN bn.page AND CASE WHEN next_page IS NOT NULL THEN greatest(end_page, next_page) ELSE end_page END),
+    st AS (SELECT *, min(line_no) FILTER (heading = label) OVER (PARTITION BY doc_id, label) AS start FROM wd),
+    sp2 AS (SELECT *, min(line_no) FILTER (heading = next_label AND line_no > start) OVER (PARTITION BY doc_id, label) AS stop FROM st),
+    own AS (SELECT * FROM sp2 WHERE (start IS NULL OR line_no >= start) AND (stop IS NULL OR line_no < stop)
+      AND NOT coalesce(regexp_full_match({sx.trimmed("coalesce(text, '')")}, '[0-9]{{1,6}}') AND TRY_CAST({sx.trimmed("coalesce(text, '')")} AS INTEGER) BETWEEN first_page AND end_page, false))"""
+
+
+@query("entry_text", f"WITH {BOUNDED_SQL} SELECT doc_id, label AS entry, {sx.trimmed("coalesce(string_agg(text, ' ' ORDER BY line_no), '')")} AS text, bool_or(start IS NOT NULL) AS scoped FROM own GROUP BY doc_id, label")
+def entry_text(spark: SparkSession, d: str) -> DataFrame:
+    return entrytext.entry_texts(table(spark, d, "doc_lines"), _bounded_entries(spark, d)).select("doc_id", "entry", "text", "scoped")
+
+
+@query(
+    "entry_spans",
+    f"WITH {BOUNDED_SQL} SELECT doc_id, label AS entry, page, min(top) AS top, max(bottom) AS bottom FROM own WHERE top IS NOT NULL AND bottom IS NOT NULL GROUP BY ALL",
+)
+def entry_spans(spark: SparkSession, d: str) -> DataFrame:
+    held = entrytext.entry_texts(table(spark, d, "doc_lines"), _bounded_entries(spark, d)).filter("spans is not null")
+    return held.select("doc_id", "entry", F.explode("spans").alias("s")).select("doc_id", "entry", "s.*")
+
+
+@query(
+    "region_select",
+    "WITH e AS (SELECT DISTINCT doc_id, id, ordinal, spans FROM entries WHERE doc_id IS NOT NULL) SELECT doc_id, id, ordinal FROM e WHERE len(list_filter(spans, lambda s: s.page = 2 AND s.bottom >= 100 AND s.top <= 300)) > 0",
+)
+def region_select(spark: SparkSession, d: str) -> DataFrame:
+    held = table(spark, d, "entries").filter("doc_id is not null").select("doc_id", "id", "ordinal", "spans").distinct()
+    return entrytext.within_region(held, F.lit(2), F.lit(100.0), F.lit(300.0)).select("doc_id", "id", "ordinal")
+
+
+@query(
+    "page_text",
+    f"WITH {sx.LINES} SELECT doc_id, page, string_agg(text, ' ' ORDER BY line_no) AS text, CASE WHEN trim(string_agg(text, ' ' ORDER BY line_no)) <> '' THEN 'LAYER' ELSE 'NONE' END AS origin FROM lines WHERE text IS NOT NULL AND page IS NOT NULL GROUP BY ALL",
+)
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    held = _lines(spark, d).filter("page is not null")
+    out = lines_source.layer_or_ocr(held, held.filter(F.lit(False)))
+    return out.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@query(
+    "ocr_repair",
+    f"""WITH {sx.LINES}, a AS (SELECT doc_id, line_no, translate(text, '０１２３４５６７８９（）．：；＝＋－', '0123456789().:;=+-') AS t FROM lines WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(t, {sx.q(f'({structure.HAN}){ids.WS}+({structure.HAN})')}, '\\1\\2', 'g'), {sx.q(f'({structure.HAN}){ids.WS}+({structure.HAN})')}, '\\1\\2', 'g') AS t FROM a)
+    SELECT doc_id, line_no, regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '^ | $', '', 'g') AS text FROM b""",
+)
+def ocr_repair(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).filter("text is not null").select("doc_id", "line_no", lines_source.repaired_ocr(F.col("text")).alias("text"))
+
+
+@query("glyph_coverage")
+def glyph_coverage(spark: SparkSession, d: str) -> DataFrame:
+    pages = _ciphered(spark, d)
+    learned = glyphs.glyph_table(glyphs.votes(pages))
+    return glyphs.coverage(pages.select(F.col("broken").alias("text")), learned)
+
+
+@query("glyph_repair")
+def glyph_repair(spark: SparkSession, d: str) -> DataFrame:
+    pages = _ciphered(spark, d)
+    learned = glyphs.glyph_table(glyphs.votes(pages))
+    return glyphs.repaired(pages.select("doc_id", "page", F.col("broken").alias("text")), learned)
+
+
+@query("linked_questions")
+def linked_questions(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.linked(_entries(spark, d), pair_verdict(spark, d))
