@@ -36,8 +36,7 @@ def normalize_for_match(text: Column) -> Column:
 
 def bigrams(norm: Column) -> Column:
     """All pairs of neighbouring characters, repeated ones as often as they stand."""
-    none = F.array().cast("array<string>")
-    return F.when(F.length(norm) < 2, none).otherwise(F.transform(F.sequence(F.lit(1), F.length(norm) - 1), lambda k: F.substring(norm, k, 2)))
+    return F.regexp_extract_all(norm, F.lit("(?s)(?=(..))"), 1)
 
 
 def math_fragments(norm: Column) -> Column:
@@ -48,9 +47,7 @@ def math_fragments(norm: Column) -> Column:
 def symbol_contexts(norm: Column, radius: int = RADIUS) -> Column:
     """Each operator with radius characters on either side, padded where the text ends."""
     padded = F.concat(F.lit(PAD * radius), norm, F.lit(PAD * radius))
-    places = F.when(F.length(norm) > 0, F.sequence(F.lit(1), F.length(norm))).otherwise(F.array().cast("array<int>"))
-    held = F.filter(places, lambda k: F.substring(norm, k, 1).rlike(f"[{SKELETON}()]"))
-    return F.transform(held, lambda k: F.substring(padded, k, 2 * radius + 1))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{radius}}}[{SKELETON}()].{{{radius}}}))"), 1)
 
 
 def skeleton(fragment: Column) -> Column:

@@ -152,8 +152,9 @@ def math_fragments(spark: SparkSession, d: str) -> DataFrame:
     SELECT substr(padded, k, 7) AS context, count(*) AS n FROM p WHERE {sx.matches('substr(norm, k, 1)', f'[{tf.SKELETON}()]')} GROUP BY 1""",
 )
 def symbol_contexts(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "entries").select("text").distinct()
-    return texts.select(F.explode(tf.symbol_contexts(tf.normalize_for_match(F.col("text")))).alias("context")).groupBy("context").agg(F.count("*").alias("n"))
+    # normalised in an aggregate's input, so that the lambda over places sees a column and not the whole expression
+    texts = table(spark, d, "entries").select("text").distinct().groupBy("text").agg(F.first(tf.normalize_for_match(F.col("text"))).alias("norm"))
+    return texts.select(F.explode(tf.symbol_contexts(F.col("norm"))).alias("context")).groupBy("context").agg(F.count("*").alias("n"))
 
 
 FORMULAS = f"list_filter(list_transform(list_filter({sx.fragments('norm')}, lambda f: length(f) >= 3), lambda f: regexp_replace(f, {sx.q(tf.PART_MARK)}, '\\1', 'g')), lambda f: length(f) >= 3 AND regexp_replace(f, {sx.q(f'[^{tf.SKELETON}]')}, '', 'g') <> '')"
