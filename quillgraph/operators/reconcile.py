@@ -202,7 +202,11 @@ def solved(va: list[int], vb: list[int], extra: int, bound: int) -> tuple[list[i
 
 
 def sketched(elements: DataFrame, bound: int) -> DataFrame:
-    """(bucket, side, n, values) of elements (bucket, side, x), each bucket whole in one partition."""
+    """(bucket, side, n, values) of elements (bucket, side, x).
+
+    Elements, not sketches, are brought together by bucket: a sketch of few rows is
+    larger than the rows. A bucket cut by a batch gives two sketches, which multiply.
+    """
     n = bound + 2 + CHECK_POINTS
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,7 +216,7 @@ def sketched(elements: DataFrame, bound: int) -> DataFrame:
                 names, size, values = bucket_products(part["bucket"].to_numpy(), part["x"].to_numpy(), z)
                 yield pd.DataFrame({"bucket": names, "side": side, "n": size, "values": list(values.astype(np.int64))})
 
-    return elements.select("bucket", "side", "x").mapInPandas(run, "bucket long, side int, n long, values array<long>")
+    return elements.select("bucket", "side", "x").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "bucket long, side int, n long, values array<long>")
 
 
 def recovered(sketches: DataFrame, bound: int) -> DataFrame:
