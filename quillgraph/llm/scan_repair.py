@@ -239,9 +239,9 @@ class Lexicon:
     def __init__(self, words: dict[str, int], pairs: dict[str, int], grams: dict[str, int]):
         self.words, self.pairs, self.grams = words, pairs, grams
         self.deletes: dict[str, list[str]] = defaultdict(list)
-        #: Words that need no repair.
         self.fits: dict[str, dict[str, float]] = {}
-        self.fine = {w for w, n in words.items() if n >= 2_000 and w.isalpha()}
+        #: Words that were looked at and have no repair; how frequent a word is says nothing by itself.
+        self.fine: set[str] = set()
         for w in words:
             if len(w) > 4 and w.isalpha():
                 for k in range(len(w)):
@@ -339,6 +339,18 @@ class Lexicon:
         return out
 
 
+#: The lexicon last built in this process, beside what it was built from.
+BUILT: list[Any] = []
+
+
+def lexicon_of(shared: Any) -> Lexicon:
+    """The lexicon of a broadcast, built once a process and not once a task."""
+    parts = shared.value
+    if not BUILT or BUILT[0] is not parts:
+        BUILT[:] = parts, Lexicon(*parts)
+    return BUILT[1]
+
+
 def lexicon(found: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[str, int]]:
     """The three parts of the lexicon, each with its bound."""
     counts = checkpoint(lexicon_rows(found))
@@ -466,6 +478,8 @@ def line_misreads(text: str, lex: Lexicon, skip_first: bool, skip_last: bool) ->
         new = lex.repair(w, found[k - 1][0] if k else "")
         if new is not None:
             out.append((m.start(), m.end(), new))
+        elif len(lex.fine) < 200_000:
+            lex.fine.add(w)
     return out
 
 
@@ -487,12 +501,9 @@ def plain_page(text: str, lex: Lexicon) -> bool:
 
 def read_pages(pages: DataFrame, shared: Any) -> DataFrame:
     """Misread lines, divided words with the lines that may go on with them, and the first lines of each page."""
-    held: dict[str, Lexicon] = {}
 
     def run(table: pa.Table) -> pa.Table:
-        if "lex" not in held:
-            held["lex"] = Lexicon(*shared.value)
-        lex = held["lex"]
+        lex = lexicon_of(shared)
         rows: list[tuple] = []
         for doc, page, numbers, texts in zip(*(table[c].to_pylist() for c in ("doc_id", "page", "line_no", "text"))):
             full = [t for t in texts if t]
@@ -538,12 +549,9 @@ def joined_words(read: DataFrame, marks: DataFrame, shared: Any) -> DataFrame:
     steps = parts.select("doc_id", "line_no", "word", "mark", "before", F.posexplode("next").alias("k", "x")).select("doc_id", "line_no", "word", "mark", "before", "k", F.col("x.line_no").alias("to"), F.col("x.word").alias("rest"))
     steps = steps.join(marks.select("doc_id", F.col("line_no").alias("to")), ["doc_id", "to"], "left_anti")
     pairs = steps.groupBy("doc_id", "line_no").agg(F.min_by(F.struct("word", "mark", "before", "to", "rest"), "k").alias("x")).select("doc_id", "line_no", "x.*")
-    held: dict[str, Lexicon] = {}
 
     def run(table: pa.Table) -> pa.Table:
-        if "lex" not in held:
-            held["lex"] = Lexicon(*shared.value)
-        lex = held["lex"]
+        lex = lexicon_of(shared)
         docs, numbers, faults = [], [], []
 
         def add(doc: int, line: int, fault: str) -> None:
@@ -600,14 +608,12 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     rows = pages.filter(f"kind = {PAGE_ROW}").select("doc_id", "page", F.posexplode(F.arrays_zip("line_no", "text")).alias("k", "x")).select("doc_id", "page", "k", F.col("x.line_no").alias("line_no"), F.col("x.text").alias("text"))
     kept = rows.join(drop, ["doc_id", "line_no"], "left").filter("drop is null and text is not null")
     kept = kept.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("body"))
-    held: dict[str, Lexicon] = {}
 
     def run(table: pa.Table) -> pa.Table:
-        if "lex" not in held:
-            held["lex"] = Lexicon(*shared.value)
+        lex = lexicon_of(shared)
         out: list[tuple] = []
         for doc, page, body in zip(*(table[c].to_pylist() for c in ("doc_id", "page", "body"))):
-            for k, text in enumerate(flowing([x["text"] for x in body], held["lex"])):
+            for k, text in enumerate(flowing([x["text"] for x in body], lex)):
                 out.append((doc, page, k, text))
         columns = list(zip(*out)) if out else [()] * 4
         types = [pa.int64(), pa.int32(), pa.int32(), pa.string()]

@@ -75,3 +75,12 @@ def test_weighted_repairs():
     lex = S.Lexicon(words, {"the kernel": 50}, {})
     assert lex.repair("c0nvergence") == "convergence" and lex.repair("unlform") == "uniform" and lex.repair("cornpared") == "compared"
     assert lex.repair("kernel") is None and lex.repair("zzzz") is None and lex.repair("48x") is None
+
+
+def test_frequent_misreadings_are_repaired_at_every_size():
+    text = "tbat tbat that"
+    for times in (1, 30, 1_000):
+        lex = S.Lexicon({"that": 14_863 * times, "tbat": 72 * times}, {}, {})
+        assert S.line_misreads(text, lex, False, False) == [(0, 4, "that"), (5, 9, "that")]
+        assert S.doubtful({"tbat", "that"}, lex) == {"tbat"} and not S.plain_page(text, lex)
+        assert S.flowing([text], lex) == ["that that that"]
