@@ -11,7 +11,8 @@ from quillgraph.operators.matching import gram_similarity
 
 TITLE_GAP, TITLE_LEAST = -0.05, 0.45
 GAP, LEAST_PAIR, LABEL_BONUS, MOST_CANDIDATES, BAND = -0.18, 0.12, 0.45, 400, 64
-#: Cells of one alignment, in place of a clock; a larger one leaves all unpaired and says so.
+#: Cells of one alignment of entries, in place of a clock; a larger one leaves all unpaired and says so, unless asked for whole.
+#: Titles are aligned at every size: beyond so many cells over the scored pairs alone.
 MOST_CELLS = 4_000_000
 SAME_EXPRESSION = 0.8
 
@@ -40,6 +41,47 @@ def aligned(n: int, m: int, scores: dict[tuple[int, int], float], gap: float, le
     return out[::-1]
 
 
+def chained(n: int, m: int, scores: dict[tuple[int, int], float], gap: float, least: float, band: int | None = None) -> list[tuple[int, int]]:
+    """What aligned() finds, in memory of the scored pairs instead of all cells.
+
+    Every pair saves two gaps, so the best alignment is the heaviest chain of
+    pairs that ascend on both sides; ties are settled as on aligned()'s way back.
+    """
+    width = max(band, abs(n - m) + 1) if band is not None else max(n, m)
+    rows: dict[int, list[tuple[int, float]]] = {}
+    for (i, j), s in scores.items():
+        if s >= least and s > 2 * gap and abs(i - j) <= width:
+            rows.setdefault(i, []).append((j, s - 2 * gap))
+    tree = [0.0] * (m + 1)
+    before: dict[tuple[int, int], float] = {}
+    level: dict[float, list[tuple[int, int]]] = {}
+    for i in sorted(rows):
+        new = []
+        for j, w in rows[i]:
+            top, k = 0.0, j
+            while k > 0:
+                top = max(top, tree[k])
+                k &= k - 1
+            before[i, j] = top
+            level.setdefault(top + w, []).append((i, j))
+            new.append((j, top + w))
+        for j, total in new:
+            k = j + 1
+            while k <= m:
+                tree[k] = max(tree[k], total)
+                k += k & -k
+    out: list[tuple[int, int]] = []
+    i, j, total = n - 1, m - 1, max(level, default=0.0)
+    while total > 0:
+        held = [x for x in level[total] if x[0] <= i and x[1] <= j]
+        # a pair in the last column is met on the way up, else the first row that reaches the total is searched from its end
+        i, j = max((x for x in held if x[1] == j), default=None) or min(held, key=lambda x: (x[0], -x[1]))
+        out.append((i, j))
+        total = before[i, j]
+        i, j = i - 1, j - 1
+    return out[::-1]
+
+
 def aligned_titles(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     """(q_doc, a_doc, depth, q_node, a_node, score): sections of two books aligned in order, of each depth by itself.
 
@@ -64,7 +106,7 @@ def aligned_titles(sections: DataFrame, pairs: DataFrame) -> DataFrame:
         q_at, a_at = {x: k for k, x in enumerate(q)}, {x: k for k, x in enumerate(a)}
         s = frame[frame.kind == "s"]
         scores = {(q_at[x], a_at[y]): v for x, y, v in zip(s.x, s.y, s.v)}
-        found = aligned(len(q), len(a), scores, TITLE_GAP, TITLE_LEAST) if len(q) * len(a) <= MOST_CELLS else []
+        found = (aligned if len(q) * len(a) <= MOST_CELLS else chained)(len(q), len(a), scores, TITLE_GAP, TITLE_LEAST)
         head = frame.iloc[0]
         return pd.DataFrame([(head.q_doc, head.a_doc, head.depth, q[i], a[j], scores[i, j]) for i, j in found], columns=["q_doc", "a_doc", "depth", "q_node", "a_node", "score"])
 

@@ -30,6 +30,28 @@ def test_alignment_equals_brute_force():
         assert got == sorted(got) and len({i for i, _ in got}) == len(got)
 
 
+def test_chains_equal_the_alignment():
+    rng = random.Random(4)
+    for k in range(400):
+        n, m = rng.randrange(0, 9), rng.randrange(0, 9)
+        scores = {(i, j): rng.choice([0.25, 0.5, 0.75]) for i in range(n) for j in range(m) if rng.random() < 0.5}
+        assert sequence.chained(n, m, scores, -0.125, 0.5) == sequence.aligned(n, m, scores, -0.125, 0.5)
+        # at a band's edge ties may fall otherwise
+        got, want = (sum(scores[p] + 0.25 for p in f(n, m, scores, -0.125, 0.5, 1 + k % 2)) for f in (sequence.chained, sequence.aligned))
+        assert got == want
+
+
+def test_large_books_are_aligned(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "MOST_CELLS", 4)
+    titles = ["limits of sequences", "continuity and compactness", "derivatives", "improper integrals", "power series"]
+    rows = [(d, k, 1, t, k + 1) for d, own in ((1, titles), (2, [titles[0], "a new part", *titles[1:]])) for k, t in enumerate(own)]
+    sections = spark.createDataFrame(rows, "doc_id long, node_id long, depth int, title string, page int")
+    got = sequence.aligned_titles(sections, spark.createDataFrame([(1, 2)], "q_doc long, a_doc long")).collect()
+    assert sorted((r.q_node, r.a_node) for r in got) == [(0, 0), (1, 2), (2, 3), (3, 4), (4, 5)]
+    n = 2_500
+    assert sequence.chained(n, n, {(i, j): 1.0 if i == j else 0.5 for i in range(n) for j in range(max(0, i - 1), min(n, i + 2))}, -0.05, 0.45) == [(i, i) for i in range(n)]
+
+
 def test_formulas_conflict_and_miss():
     sk = {"a+b=c": "+=", "a+b=d": "+=", "zzzzz=9": "=", "x^2": "^"}
     assert sequence.compared_formulas(["a+b=c"], ["a+b=c"], sk) == (1, 0, 0)
