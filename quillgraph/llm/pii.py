@@ -59,6 +59,8 @@ SINGLE = (
     "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦许吕施张孔曹严魏陶姜戚谢邹喻柏窦潘葛奚范彭郎鲁韦苗凤俞袁柳鲍唐费廉岑薛雷贺倪汤滕殷罗郝邬傅卞齐伍顾孟黄穆萧尹姚邵汪祁臧戴宋茅庞熊纪舒屈董梁杜阮蓝"
     "闵贾娄郭梅刁钟徐邱骆夏蔡樊胡凌霍虞柯莫房裘缪宗邓郁杭洪崔龚嵇邢裴陆荀羊惠甄芮储靳汲邴糜宓蓬郗郦邰鄂赖蔺屠蒙乔胥翟谭逄姬扶冉雍璩桑濮扈燕冀浦庄晏瞿阎慕茹宦艾廖庾居匡寇阙殳隆厍聂晁敖訾阚乜鞠巢蒯荆权逯盖桓鄢闫覃尉岳帅缑亢郈琴仉墨哈谯笪佘佴麴"
 )
+#: Frequent surnames that are common words too: candidates as the others, but an honorific alone makes no seed of them.
+COMMON = "刘马何高林曾田于余叶程苏丁任卢金石方白江段史万武龙黎常文康易安乔钱侯洪龚詹关解应单包左吉车仇甘景游宁符尤聂焦阳盛池简饶沙丰查时皮卜成童路牛辛耿申卓翁甄"
 
 HAN = "㐀-䶿一-鿿"
 UP, LOW = "A-ZÀ-ÖØ-ÞŠŽŒ", "a-zß-öø-ÿšžœ"
@@ -108,8 +110,11 @@ RUN = re.compile(
     rf"|(?:{CAP}|[{UP}]\.)(?:(?:[ ]{{1,3}}(?:{CAP}|[{UP}]\.(?=\W|$)))+|,[ ](?!(?:{TITLES})\b){CAP}(?![ ](?:{CAP}|[{UP}]\.)|,[ ]{CAP}|\w))"
 )
 TITLED = re.compile(rf"\b(?:{TITLES})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}")
-SURNAME_START = re.compile(f"[{SINGLE}{''.join(x[0] for x in COMPOUND)}]")
-HAN_NAME = re.compile(rf"((?:{'|'.join(COMPOUND)})|[{SINGLE}])([{HAN}]{{1,2}})")
+SURNAME_START = re.compile(f"[{SINGLE}{COMMON}{''.join(x[0] for x in COMPOUND)}]")
+HAN_NAME = re.compile(rf"((?:{'|'.join(COMPOUND)})|[{SINGLE}{COMMON}])([{HAN}]{{1,2}})")
+#: Whatever stands alone behind a colon may be a name of any surname; a surname may stand alone before an honorific.
+HAN_ALONE = re.compile(rf"(?<=[：:])[ 　]?([{HAN}]{{2,4}})(?![{HAN}])")
+BARE_SURNAME = re.compile(rf"(?<![{HAN}])({'|'.join(COMPOUND)}|[{SINGLE}{COMMON}])(?={HONORIFICS})")
 HONORIFIC = re.compile(HONORIFICS)
 
 
@@ -217,7 +222,10 @@ def candidates(text: str) -> Iterator[Candidate]:
             a, b = line.start() + m.start(), line.start() + m.end()
             if len(words) > 1 and free(a, b):
                 yield from caps_names(line[0].title(), line.start(), m.start(), words)
-    for first in () if text.isascii() else SURNAME_START.finditer(text):
+    if text.isascii():
+        return
+    found: set[tuple[int, int]] = set()
+    for first in SURNAME_START.finditer(text):
         if (m := HAN_NAME.match(text, first.start())) is None:
             continue
         family, given = m[1], m[2]
@@ -225,14 +233,21 @@ def candidates(text: str) -> Iterator[Candidate]:
         for n in range(1, len(given) + 1):
             b = a + len(family) + n
             if HONORIFIC.match(text, b):
-                yield "name", a, b, family + given[:n], [family], True
+                found.add((a, b))
+                yield "name", a, b, family + given[:n], [family], family not in COMMON
                 break
         else:
             b = a + len(family) + len(given)
             right = text[b : b + 1]
+            found |= {(a, b), (a, b - 1)} if len(given) == 2 and right else {(a, b)}
             yield "name", a, b, family + given, [family], False
             if len(given) == 2 and right:
                 yield "name", a, b - 1, family + given[:1], [family], False
+    for shape in (HAN_ALONE, BARE_SURNAME):
+        for m in shape.finditer(text):
+            if m.span(1) not in found and not HONORIFIC.search(m[1]):
+                found.add(m.span(1))
+                yield "name", *m.span(1), m[1], [m[1][0]], False
 
 
 CANDIDATES = "doc_id long, line_no int, a int, b int, kind string, inst string, parts array<string>, seed boolean, l string, r string"

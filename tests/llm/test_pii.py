@@ -49,3 +49,14 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert P.personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_names_of_any_surname(spark):
+    # the first are known by their honorific and bear out the words before them
+    rows = [(k, f"联系人：{n}老师\n联系人：{n}") for k, n in enumerate(["王建国", "李晓红", "张伟", "陈思远"])]
+    rows += [(10 + k, f"联系人：{n}") for k, n in enumerate(["林晓明", "刘洋", "马超", "何文", "的卢飞", "仰天"])]
+    got = {(r.doc_id, r.line_no, r.kind) for r in P.personal_data(spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)).collect()}
+    assert {(10 + k, 1, "name") for k in range(6)} <= got
+    spans = {text[a:b] for text in ("答疑：何老师", "感谢林晓明老师", "12 号的同学") for _, a, b, *_ in P.candidates(text)}
+    assert {"何", "林晓明"} <= spans and "号的" not in spans
+    assert not any(seed for *_, seed in P.candidates("任课老师和高中同学"))
