@@ -4,9 +4,10 @@ Method: adjacent character pairs are scored by their contribution to the mutual
 information of neighbouring characters in the whole corpus, n(xy) log(n(xy) n /
 (n(x) n(y))). Pairs that contribute less than a small share of the total are
 improbable. Maximum-scoring segments over these scores isolate improbable runs,
-and only inside those (widened to the whole stretch of foreign characters) are
-inverse mappings tested: encode with a wrongly used codec, decode with the right
-one. A mapping is taken if it decodes and its result fits the corpus better.
+and only there are inverse mappings tested, on the whole stretch of foreign
+characters and else on the segments inside it: encode with a wrongly used codec,
+decode with the right one. A mapping is taken if it decodes and its result fits
+the corpus better.
 
 The pair counts are kept in a table of fixed size (hashed slots), so what is
 broadcast does not grow with the corpus.
@@ -246,6 +247,40 @@ def known_characters(codec: str) -> frozenset[str]:
     return frozenset(map(chr, byte_map(codec))) | {"�"} | frozenset(map(chr, range(0x80)))
 
 
+def parts_of(x: re.Match[str], odd: np.ndarray, a: int) -> list[tuple[int, int]]:
+    """Where inside a stretch the improbable runs lie, the longest first; odd are the stretch's pairs, the first of them at the text's place a."""
+    out = set()
+    found = segments(np.where(odd, GAIN, -LOSS))
+    for s, e in {*found, (found[0][0], found[-1][1])}:
+        # a pair's number is that of its left character; the outermost pairs may reach over to sound text
+        for left in (a + s, a + s + 1):
+            for right in (a + e, a + e + 1):
+                span = max(left, x.start()), min(right, x.end())
+                if span[1] > span[0] and span != x.span():
+                    out.add(span)
+    return sorted(out, key=lambda p: (p[0] - p[1], p))
+
+
+def restored_parts(text: str, x: re.Match[str], parts: list[tuple[int, int]], m: Model, held: list[Mapping]) -> str | None:
+    """The stretch with those of its parts restored that map without a loss."""
+    done: list[tuple[int, int, str]] = []
+    for a, b in parts:
+        if any(a < d and c < b for c, d, _ in done):
+            continue
+        tried = list(held)
+        new = restored(text[max(0, a - 1) : a], text[a:b], text[b : b + 1], m, tried)
+        if new is not None and new.count("�") <= text.count("�", a, b):
+            done.append((a, b, new))
+            held += [w for w in tried if w not in held]
+    if not done:
+        return None
+    out, at = [], x.start()
+    for a, b, new in sorted(done):
+        out += [text[at:a], new]
+        at = b
+    return "".join([*out, text[at : x.end()]])
+
+
 def repaired(texts: list[str], m: Model, plain: set[tuple[str, str, str]] | None = None) -> list[str]:
     """Each text with its garbled runs restored; a text without one comes back as the same object.
 
@@ -270,14 +305,14 @@ def repaired(texts: list[str], m: Model, plain: set[tuple[str, str, str]] | None
         for x in FOREIGN.finditer(text):
             # plain ASCII between two stretches costs more than they gain: each is scored on its own
             a, b = start + max(0, x.start() - 1), start + x.end()
-            if counts[b] > counts[a] and segments(np.where(odd[a:b], GAIN, -LOSS)):
-                spots.append(x)
+            if counts[b] > counts[a]:
+                spots.append((x, a, b))
         for again in range(2):
             # a second look, once a mapping is known, finds the short runs
             if again and not held:
                 break
             changed, done = [], 0
-            for x in spots:
+            for x, a, b in spots:
                 if x.start() < done:
                     continue
                 before, after = text[max(0, x.start() - 1) : x.start()], text[x.end() : x.end() + 1]
@@ -292,6 +327,9 @@ def repaired(texts: list[str], m: Model, plain: set[tuple[str, str, str]] | None
                     # a two-byte codec may have taken a plain character in
                     changed += [text[done : x.start()], both]
                     done = x.end() + 1
+                elif len(x[0]) > 1 and (some := restored_parts(text, x, parts_of(x, odd[a:b], a - start), m, held)) is not None:
+                    changed += [text[done : x.start()], some]
+                    done = x.end()
                 elif not held and len(plain) < 200_000:
                     plain.add(place)
         out.append("".join([*changed, text[done:]]) if changed else text)

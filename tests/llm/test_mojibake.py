@@ -52,3 +52,12 @@ def test_table(spark):
 def test_segments_are_maximal():
     assert M.segments(np.array([1.0, -0.5, 1.0, -3.0, 2.0])) == [(0, 3), (4, 5)]
     assert M.segments(np.array([-1.0, -2.0])) == []
+
+
+def test_a_garbled_part_beside_sound_text(model):
+    for sound, right in (("已知函数在闭区间上一致连续", "naïve"), ("从而极限存在且有限", "Größe"), ("例题", "énoncé")):
+        word = right.encode().decode("latin-1")
+        at = next(k for k, c in enumerate(word) if c > "\x7f")
+        bad = word[at:]
+        assert M.repaired([sound + bad + " ends"], model) == [sound + bad.encode("latin-1").decode() + " ends"]
+    assert M.repaired(["从而极限存在" + "“the".encode().decode("cp1252") + " lemma"], model) == ["从而极限存在“the lemma"]
