@@ -113,9 +113,11 @@ def aligned_titles(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.groupBy(*block).applyInPandas(run, "q_doc long, a_doc long, depth int, q_node long, a_node long, score double")
 
 
-def aligned_entries(questions: DataFrame, answers: DataFrame, block: list[str]) -> DataFrame:
+def aligned_entries(questions: DataFrame, answers: DataFrame, block: list[str], whole: bool = False) -> DataFrame:
     """(block, q, a, score, timed_out): questions and answer entries aligned in book order within a block.
 
+    whole: all entries are candidates and no size is refused.
+
     questions: (block, q, q_seq, label_id, text), answers: (block, a, a_seq, label_id, text);
     q and a are numbers. A question without a partner has a null a.
     """
@@ -133,12 +135,13 @@ def aligned_entries(questions: DataFrame, answers: DataFrame, block: list[str])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         q = frame[frame.kind == "q"].sort_values(["v", "x"]).x.tolist()
-        a = frame[frame.kind == "a"].sort_values(["v", "x"]).x.tolist()[:MOST_CANDIDATES]
+        a = frame[frame.kind == "a"].sort_values(["v", "x"]).x.tolist()[: None if whole else MOST_CANDIDATES]
         q_at, a_at = {x: k for k, x in enumerate(q)}, {x: k for k, x in enumerate(a)}
         s = frame[(frame.kind == "s") & frame.y.isin(a_at)]
         scores = {(q_at[x], a_at[y]): v for x, y, v in zip(s.x, s.y, s.v)}
-        late = len(q) * len(a) > MOST_CELLS
-        found = {} if late else {i: j for i, j in aligned(len(q), len(a), scores, GAP, LEAST_PAIR, BAND)}
+        large = len(q) * len(a) > MOST_CELLS
+        late = large and not whole
+        found = {} if late else dict((chained if large else aligned)(len(q), len(a), scores, GAP, LEAST_PAIR, BAND))
         head = tuple(frame.iloc[0][block])
         rows = [(*head, x, a[found[i]] if i in found else None, scores[i, found[i]] if i in found else 0.0, late) for i, x in enumerate(q)]
         return pd.DataFrame(rows, columns=names).astype({"a": "Int64"})

@@ -803,4 +803,4 @@ def glyph_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query("linked_questions")
 def linked_questions(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.linked(_entries(spark, d), pair_verdict(spark, d))
+    return linkage.linked(_entries(spark, d), pair_verdict(spark, d), _classified(spark, d), table(spark, d, "docs"))
