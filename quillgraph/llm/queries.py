@@ -84,6 +84,11 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decoded(tokens.token_ids(table(spark, d, "documents")))
 
 
+@query("p5_method")
+def p5_method(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_runs(table(spark, d, "documents"))
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repaired_texts(table(spark, d, "documents")).filter("garbled").select("doc_id").distinct()

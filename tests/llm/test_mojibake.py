@@ -61,3 +61,35 @@ def test_a_garbled_part_beside_sound_text(model):
         bad = word[at:]
         assert M.repaired([sound + bad + " ends"], model) == [sound + bad.encode("latin-1").decode() + " ends"]
     assert M.repaired(["从而极限存在" + "“the".encode().decode("cp1252") + " lemma"], model) == ["从而极限存在“the lemma"]
+
+
+def test_accents_of_one_codec_read_as_another(model):
+    bad = PLAIN[3].replace("’", "'").encode("cp1252").decode("mac_roman")
+    assert bad != PLAIN[3] and M.repaired([bad], model) == [PLAIN[3].replace("’", "'")]
+    assert M.repaired(["a lone Ç stays"], model) == ["a lone Ç stays"]
+
+
+def test_segments_bound_the_runs(spark):
+    bad = PLAIN[1].encode().decode("latin-1")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(PLAIN)] + [(900, "已知函数" + bad), (901, None)], "doc_id long, text string")
+    rows = M.garbled_runs(df).collect()
+    assert rows and {r.doc_id for r in rows} == {900}
+    text = "已知函数" + bad
+    assert all(text[r.start : r.end] == r.was and r.was.encode(r.codec).decode(r.right) == r.now for r in rows)
+    assert M.odd_segments(np.array([3, 4, 6, 20, 21])) == [(3, 7), (20, 22)]
+
+
+def test_information_is_exact_and_bounded(spark):
+    import math
+    from collections import Counter
+
+    texts = ["éa éb éa ça", "éa", None, "", "ab"]
+    got = {r.code: r for r in M.pair_information(M.counted(spark.createDataFrame([(t,) for t in texts], "text string"))).collect()}
+    pairs = Counter(x + y for t in texts if t for x, y in zip(t, t[1:]) if x > "\x7f" or y > "\x7f")
+    left, right = Counter(), Counter()
+    for p, n in pairs.items():
+        left[p[0]] += n
+        right[p[1]] += n
+    total = sum(pairs.values())
+    want = {ord(p[0]) << 21 | ord(p[1]): max(0.0, n * math.log2(n * total / (left[p[0]] * right[p[1]]))) for p, n in pairs.items()}
+    assert set(got) == set(want) and all(abs(got[c].bits - want[c]) < 1e-9 for c in want)
