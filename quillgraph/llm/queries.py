@@ -109,6 +109,11 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"))
 
 
+@query("p3_method")
+def p3_method(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.scan_repairs(table(spark, d, "doc_lines"))
+
+
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.scan_faults(table(spark, d, "doc_lines"))

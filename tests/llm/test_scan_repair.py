@@ -64,23 +64,85 @@ def test_odd_rows(spark):
     assert found(spark, rows) == set()
 
 
-def test_long_pages_are_cut(spark):
-    rows = [(1, k, 1, f"line {k}", None, None, None) for k in range(2 * S.MOST_LINES + 5)]
-    pages = S.pages_of(spark.createDataFrame(rows + rows[:10], SCHEMA)).filter(f"kind = {S.PAGE_ROW}").collect()
-    assert sorted(len(p.line_no) for p in pages) == [5, S.MOST_LINES, S.MOST_LINES]
+def test_long_pages_come_in_pieces(spark):
+    n = 2 * S.MOST_LINES + 5
+    rows = [(1, k, 1, f"line {k}", None, None, None) for k in range(n)]
+    lines = spark.createDataFrame(rows + rows[:10], SCHEMA)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for x in S.pieces(batches):
+            yield pa.RecordBatch.from_pydict({"n": [len(x.numbers)], "k": [x.number], "first": [x.first], "last": [x.last]})
+
+    got = S.by_page(S.placed_lines(lines, "top"), "text").mapInArrow(run, "n long, k long, first boolean, last boolean").collect()
+    assert sorted((r.k, r.n, r.first, r.last) for r in got) == [(0, S.MOST_LINES, True, False), (1, n - S.MOST_LINES, False, True)]
+
+
+def test_words_divided_between_pieces_blocks_and_pages(spark):
+    known = [(9, k, 1, "the convergence of closed interval and remainder", None, None, None) for k in range(30)]
+    long_page = [(1, k, 1, "plain words here", None, None, None) for k in range(2 * S.MOST_LINES + 5)]
+    long_page[S.MOST_LINES - 1] = (1, S.MOST_LINES - 1, 1, "the conver-", None, None, None)
+    long_page[S.MOST_LINES] = (1, S.MOST_LINES, 1, "gence of it", None, None, None)
+    no_page = [(2, k, None, "plain words here", None, None, None) for k in range(130)]
+    no_page[63] = (2, 63, None, "on the inter-", None, None, None)
+    no_page[64] = (2, 64, None, "val", None, None, None)
+    over = [(3, 1, 1, "the remain-", None, None, None), (3, 2, 2, " ", None, None, None), (3, 3, 3, "der of it", None, None, None), (3, 4, 4, "all", None, None, None)]
+    spread = [(4, 1, 1, "the remain-", None, None, None), *((4, k, 1, "", None, None, None) for k in range(2, 12)), (4, 12, 1, "der of it", None, None, None)]
+    got = found(spark, known + long_page + no_page + over + spread)
+    assert {(d, n) for d, n, f in got if f == "hyphen"} == {(1, S.MOST_LINES - 1), (2, 63), (3, 1), (4, 1)}
+
+
+def repaired(words, asked):
+    out = {}
+    for w in asked:
+        fits = {c: x for c, n in words.items() if (x := S.repair_cost(w, words.get(w, 1), c, n)) is not None}
+        out[w] = min(fits, key=lambda c: (fits[c], -words[c])) if fits else None
+    return out
+
+
+def test_weighted_repairs(spark):
+    words = {"convergence": 900, "uniform": 800, "kernel": 900, "compared": 500, "limit": 900, "residual": 900}
+    asked = {"c0nvergence": "convergence", "unlform": "uniform", "cornpared": "compared", "unixorm": "uniform", "unifrm": "uniform", "unifform": "uniform", "residuaal": "residual", "limxt": "limit", "kemcl": "kernel"}
+    asked |= {"kernels": None, "zzzz": None, "48x": None, "limits": None, "uni": None}
+    assert repaired(words, asked) == asked
+    # the index brings together what the distance accepts
+    df = [spark.createDataFrame(list(x.items()), "word string, n long") for x in ({w: 1 for w in asked} | words, words)]
+    got = {r.word: r.printed for r in S.repairs(*df).collect()}
+    assert got == {w: c for w, c in asked.items() if c}
+
+
+def test_frequent_misreadings_are_repaired_at_every_size(spark):
+    for times in (1, 30, 1_000):
+        words = spark.createDataFrame([("that", 14_863 * times), ("tbat", 72 * times)], "word string, n long")
+        found = S.repairs(words, words).collect()
+        assert [(r.word, r.printed) for r in found] == [("tbat", "that")]
+    held = S.Held({"tbat": [(0.3, "that")]}, {})
+    assert [x[:2] for x in S.word_repairs("tbat tbat that", held, False, False)] == [(0, 4), (5, 9)]
 
 
-def test_weighted_repairs():
-    words = {"convergence": 900, "uniform": 800, "kernel": 900, "compared": 500}
-    lex = S.Lexicon(words, {"the kernel": 50}, {})
-    assert lex.repair("c0nvergence") == "convergence" and lex.repair("unlform") == "uniform" and lex.repair("cornpared") == "compared"
-    assert lex.repair("kernel") is None and lex.repair("zzzz") is None and lex.repair("48x") is None
+def test_slices_give_the_same_repairs(spark):
+    words = spark.createDataFrame([(f"w{k}", 1, "the", 99, 0.3) for k in range(50)], "word string, n long, printed string, printed_n long, cost double")
+    triples = spark.createDataFrame([("甲乙丙", k, "丁") for k in range(3)], "word string, place int, printed string")
+    parts = [b.value for b in S.slices(words, triples, most=10)]
+    assert len(parts) == 6 and sorted(w for h in parts for w in h.words) == sorted(f"w{k}" for k in range(50))
+    assert sum(len(h.triples) for h in parts) == 3
 
 
-def test_frequent_misreadings_are_repaired_at_every_size():
-    text = "tbat tbat that"
-    for times in (1, 30, 1_000):
-        lex = S.Lexicon({"that": 14_863 * times, "tbat": 72 * times}, {}, {})
-        assert S.line_misreads(text, lex, False, False) == [(0, 4, "that"), (5, 9, "that")]
-        assert S.doubtful({"tbat", "that"}, lex) == {"tbat"} and not S.plain_page(text, lex)
-        assert S.flowing([text], lex) == ["that that that"]
+def test_context_picks_between_repairs(spark):
+    known = ["the hand holds"] * 30 + ["a band plays"] * 30 + ["one land"] * 2
+    rows = [(1, k, 1, t, None, None, None, None) for k, t in enumerate([*known, "a hancl plays", "the bancl"])]
+    got = {(r.line_no, r.seen, r.printed) for r in S.scan_repairs(spark.createDataFrame(rows, SCHEMA.replace("double, fault", "double, clash string, fault"))).collect()}
+    assert (62, "hancl", "hand") in got and (63, "bancl", "band") in got
+
+
+def test_chinese_characters_by_their_triples(spark):
+    right = "设函数在区间上连续，故函数有界。"
+    rows = [(1, k, 1, right, None, None, None) for k in range(40)] + [(1, 100 + k, 1, right.replace("函数在", "函教在").replace("故函数有", "故函教有"), None, None, None) for k in range(3)]
+    got = found(spark, [(*r,) for r in rows])
+    assert {n for _, n, f in got if f == "misread"} == {100, 101, 102}
+
+
+def test_method_over_odd_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert S.scan_repairs(empty).count() == 0 and S.paragraphs(empty).count() == 0
