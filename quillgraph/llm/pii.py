@@ -50,7 +50,7 @@ TITLES = "Dr|Prof|Professor|Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Madame|Monsieur"
 HONORIFICS = "老师|同学|先生|女士|教授|博士|小姐|师傅"
 STREETS = "Street|St|Lane|Ln|Road|Rd|Avenue|Ave|Close|Crescent|Terrace|Way|Drive|Court|Square|Place|Row|Boulevard|Blvd|Gardens|Hill|Mews|Walk"
 RUES = "rue|avenue|boulevard|allée|place|chemin|impasse|quai|route|cours|passage|square"
-# Chinese surnames of two characters, and of one those that are hardly words of their own.
+# Chinese surnames that seed the search, of two characters and of one those that are hardly words of their own; other surnames are discovered.
 COMPOUND = (
     "欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶 太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 闾丘 子车 "
     "亓官 司寇 巫马 公西 颛孙 壤驷 公良 漆雕 乐正 宰父 谷梁 拓跋 夹谷 轩辕 令狐 段干 百里 呼延 东郭 南门 羊舌 微生 梁丘 左丘 西门 第五"
@@ -59,9 +59,6 @@ SINGLE = (
     "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦许吕施张孔曹严魏陶姜戚谢邹喻柏窦潘葛奚范彭郎鲁韦苗凤俞袁柳鲍唐费廉岑薛雷贺倪汤滕殷罗郝邬傅卞齐伍顾孟黄穆萧尹姚邵汪祁臧戴宋茅庞熊纪舒屈董梁杜阮蓝"
     "闵贾娄郭梅刁钟徐邱骆夏蔡樊胡凌霍虞柯莫房裘缪宗邓郁杭洪崔龚嵇邢裴陆荀羊惠甄芮储靳汲邴糜宓蓬郗郦邰鄂赖蔺屠蒙乔胥翟谭逄姬扶冉雍璩桑濮扈燕冀浦庄晏瞿阎慕茹宦艾廖庾居匡寇阙殳隆厍聂晁敖訾阚乜鞠巢蒯荆权逯盖桓鄢闫覃尉岳帅缑亢郈琴仉墨哈谯笪佘佴麴"
 )
-#: Frequent surnames that are common words too: candidates as the others, but an honorific alone makes no seed of them.
-COMMON = "刘马何高林曾田于余叶程苏丁任卢金石方白江段史万武龙黎常文康易安乔钱侯洪龚詹关解应单包左吉车仇甘景游宁符尤聂焦阳盛池简饶沙丰查时皮卜成童路牛辛耿申卓翁甄"
-
 HAN = "㐀-䶿一-鿿"
 UP, LOW = "A-ZÀ-ÖØ-ÞŠŽŒ", "a-zß-öø-ÿšžœ"
 CAP = rf"[{UP}][{LOW}]+(?:[-'’][{UP}]?[{LOW}]+)*"
@@ -110,12 +107,14 @@ RUN = re.compile(
     rf"|(?:{CAP}|[{UP}]\.)(?:(?:[ ]{{1,3}}(?:{CAP}|[{UP}]\.(?=\W|$)))+|,[ ](?!(?:{TITLES})\b){CAP}(?![ ](?:{CAP}|[{UP}]\.)|,[ ]{CAP}|\w))"
 )
 TITLED = re.compile(rf"\b(?:{TITLES})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}")
-SURNAME_START = re.compile(f"[{SINGLE}{COMMON}{''.join(x[0] for x in COMPOUND)}]")
-HAN_NAME = re.compile(rf"((?:{'|'.join(COMPOUND)})|[{SINGLE}{COMMON}])([{HAN}]{{1,2}})")
-#: Whatever stands alone behind a colon may be a name of any surname; a surname may stand alone before an honorific.
+SURNAME_START = re.compile(f"[{SINGLE}{''.join(x[0] for x in COMPOUND)}]")
+HAN_NAME = re.compile(rf"((?:{'|'.join(COMPOUND)})|[{SINGLE}])([{HAN}]{{1,2}})")
+#: Whatever stands alone behind a colon, or before an honorific, may be a name of any surname.
 HAN_ALONE = re.compile(rf"(?<=[：:])[ 　]?([{HAN}]{{2,4}})(?![{HAN}])")
-BARE_SURNAME = re.compile(rf"(?<![{HAN}])({'|'.join(COMPOUND)}|[{SINGLE}{COMMON}])(?={HONORIFICS})")
 HONORIFIC = re.compile(HONORIFICS)
+HAN_ONLY = re.compile(rf"[{HAN}]+")
+# Characters that stand in no name, as particles and pronouns.
+NO_NAME = re.compile("[的了和与及或在是有为对把被从各位你我他她它们这那个之不]")
 
 
 def left_words(text: str, a: int) -> str:
@@ -155,6 +154,21 @@ def caps_names(line: str, start: int, at: int, words: list[str]) -> Iterator[Can
 Candidate = tuple[str, int, int, str, list[str], bool]
 
 
+def before_honorifics(text: str, found: set[tuple[int, int]]) -> Iterator[Candidate]:
+    """One to three characters of any kind before an honorific: what they are is left to the words before them."""
+    for m in HONORIFIC.finditer(text):
+        b = m.start()
+        for n in (1, 2, 3):
+            a = b - n
+            if a < 0 or not HAN_ONLY.fullmatch(text, a, b) or NO_NAME.search(text, a, b):
+                break
+            bounded = a == 0 or not HAN_ONLY.match(text[a - 1])
+            # a bare surname needs a clear beginning
+            if (a, b) not in found and (n > 1 or bounded) and not HONORIFIC.search(text, a, b):
+                found.add((a, b))
+                yield "name", a, b, text[a:b], [], False
+
+
 def candidates(text: str) -> Iterator[Candidate]:
     """(kind, start, end, instance, parts, seed) of a text in canonical form."""
     taken: list[tuple[int, int]] = []
@@ -234,7 +248,7 @@ def candidates(text: str) -> Iterator[Candidate]:
             b = a + len(family) + n
             if HONORIFIC.match(text, b):
                 found.add((a, b))
-                yield "name", a, b, family + given[:n], [family], family not in COMMON
+                yield "name", a, b, family + given[:n], [family], True
                 break
         else:
             b = a + len(family) + len(given)
@@ -243,11 +257,11 @@ def candidates(text: str) -> Iterator[Candidate]:
             yield "name", a, b, family + given, [family], False
             if len(given) == 2 and right:
                 yield "name", a, b - 1, family + given[:1], [family], False
-    for shape in (HAN_ALONE, BARE_SURNAME):
-        for m in shape.finditer(text):
-            if m.span(1) not in found and not HONORIFIC.search(m[1]):
-                found.add(m.span(1))
-                yield "name", *m.span(1), m[1], [m[1][0]], False
+    for m in HAN_ALONE.finditer(text):
+        if m.span(1) not in found and not HONORIFIC.search(m[1]):
+            found.add(m.span(1))
+            yield "name", *m.span(1), m[1], [m[1][0]], False
+    yield from before_honorifics(text, found)
 
 
 CANDIDATES = "doc_id long, line_no int, a int, b int, kind string, inst string, parts array<string>, seed boolean, l string, r string"
@@ -290,7 +304,8 @@ def patterns_of(mentions: DataFrame) -> DataFrame:
     # only a word or a colon, comma or dash beside the candidate says something by itself
     sides = F.array(
         F.when(F.col("l").rlike(r"[\p{L}:：,—-]$") | (F.col("kind").isin("phone", "id_number") & F.col("l").rlike(r"(^| )\p{L}{1,4} \.$")), F.concat(F.lit("L "), "l")),
-        F.when(F.col("r").rlike(r"^\p{L}") & F.col("kind").isin("name", "address"), F.concat(F.lit("R "), "r")),
+        # what stands before an honorific is no name for that alone
+        F.when(F.col("r").rlike(r"^\p{L}") & ((F.col("kind") == "address") | (F.col("kind") == "name") & (F.size("parts") > 0)), F.concat(F.lit("R "), "r")),
         F.concat(F.lit("B "), "l", F.lit(" | "), "r"),
     )
     exploded = mentions.select("m", "kind", "inst", F.explode(F.array_compact(sides)).alias("pattern"))
@@ -300,7 +315,7 @@ def patterns_of(mentions: DataFrame) -> DataFrame:
 def accepted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The rows of candidate_table() that the bootstrapping accepts."""
     key = ["kind", "inst", "l", "r", "seed"]
-    mentions = found.filter("kind <> 'email'").groupBy(*key).agg(F.first("parts").alias("parts"))
+    mentions = found.groupBy(*key).agg(F.first("parts").alias("parts"))
     mentions = checkpoint(mentions.withColumn("m", F.xxhash64(*key)))
     edges = checkpoint(patterns_of(mentions).select("m", "kind", "side", F.xxhash64("inst").alias("i"), F.xxhash64("kind", "pattern").alias("p")))
     parts = mentions.filter("size(parts) > 0").select("m", "inst", F.size("parts").alias("of"), F.explode(F.array_distinct("parts")).alias("part"))
@@ -334,8 +349,13 @@ def accepted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         right = ends.join(broadcast_if_small(names.withColumnRenamed("part", "last"), 32), "last", "left_semi").select("m")
         borne = left.withColumn("side", F.lit("L")).union(right.withColumn("side", F.lit("R"))).union(left.intersect(right).withColumn("side", F.lit("B")))
         evidence = checkpoint(sure.select("m", all_sides.alias("side")).union(borne).distinct())
-    rows = found.withColumn("m", F.xxhash64(*key))
-    return rows.filter("kind = 'email'").unionByName(rows.filter("kind <> 'email'").join(known, "m", "left_semi"))
+    return found.withColumn("m", F.xxhash64(*key)).join(known, "m", "left_semi")
+
+
+def accepted_mentions(documents: DataFrame) -> DataFrame:
+    """(doc_id, line_no, kind, start, end, inst, l, r): every mention that the graph of patterns and instances accepts; places are of the canonical text."""
+    out = accepted(checkpoint(candidate_table(documents)))
+    return out.select("doc_id", "line_no", "kind", F.col("a").alias("start"), F.col("b").alias("end"), "inst", "l", "r").distinct()
 
 
 def personal_data(documents: DataFrame) -> DataFrame:

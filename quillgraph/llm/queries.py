@@ -99,6 +99,11 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repaired_texts(table(spark, d, "documents")).select("doc_id", "text")
 
 
+@query("p9_method")
+def p9_method(spark: SparkSession, d: str) -> DataFrame:
+    return pii.accepted_mentions(table(spark, d, "documents"))
+
+
 @query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_data(table(spark, d, "documents"))

@@ -64,7 +64,7 @@ CONTEXT = 0.25
 
 # What a scan reads for what is printed.
 CONFUSIONS = (
-    "c:e e:c l:i i:l 1:l 1:i l:t t:l 0:o 5:s 8:b 6:b 9:g 2:z rn:m m:rn ii:u ri:n ni:m cl:d li:h h:b b:h f:t t:f q:g g:q o:c c:o u:v v:u nn:m vv:w "
+    "c:e e:c l:i i:l 1:l 1:i l:t t:l 0:o 5:s 8:b 6:b 9:g b:ß 2:z rn:m m:rn ii:u ii:ü ri:n ni:m cl:d li:h h:b b:h f:t t:f q:g g:q o:c c:o u:v v:u nn:m vv:w "
     "ln:in a:o o:a n:ri u:ii d:cl a:ä o:ö u:ü e:é e:è e:ê i:î a:à u:ù o:ô c:ç"
 )
 SEEN: dict[str, list[str]] = defaultdict(list)
@@ -554,6 +554,13 @@ def edge_faults(found: DataFrame) -> DataFrame:
 # Divided and misread words.
 
 
+def misread_words(text: str, held: Held, skip_first: bool, skip_last: bool, early: bool) -> bool:
+    """Does the line hold a misread word; early in a page its first word may be the rest of a divided one, so only a confusion pair counts there."""
+    found = word_repairs(text, held, skip_first, skip_last)
+    first = STARTS.match(text)
+    return any(not early or first is None or a > first.start(1) or options[0][0] < EDITED for a, _, _, options in found)
+
+
 def structure_rows(x: Piece) -> list[tuple]:
     """The edges and the first lines of a piece, as rows of READ."""
     rows: list[tuple] = []
@@ -581,10 +588,11 @@ def read_piece(x: Piece, held: Held, structure: bool) -> list[tuple]:
     odd = (s := held.suspect()) is not None and not full.isascii() and s.search(full) is not None
     if not doubts and not (structure and divided) and not odd:
         return rows
-    cut = True
+    cut, early = True, FOLLOWING
     for k, t in enumerate(x.texts):
         if not t or t.isspace():
             continue
+        early -= 1
         m = DIVIDED.search(t) if divided and t.rstrip()[-1:] in MARKS else None
         # divided words are judged whole, later: their parts are left out here
         if m and structure:
@@ -599,7 +607,7 @@ def read_piece(x: Piece, held: Held, structure: bool) -> list[tuple]:
             key = None if len(following) == FOLLOWING else x.number if x.page is None or not x.last else LAST_PIECE
             rows.append((DIVIDED_ROW, x.doc, x.page, key, x.numbers[k], m[1], m[2], before[-1] if before else "", following, None, None))
         low = t.lower() if doubts else ""
-        if any(w in low for w in doubts) and word_repairs(t, held, cut, m is not None) or odd and not t.isascii() and misread_chars(t, held):
+        if any(w in low for w in doubts) and misread_words(t, held, cut, m is not None, early >= 0) or odd and not t.isascii() and misread_chars(t, held):
             rows.append((MISREAD_ROW, x.doc, x.page, None, x.numbers[k], None, None, None, None, None, None))
         cut = m is not None
     return rows

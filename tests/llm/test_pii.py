@@ -60,3 +60,17 @@ def test_names_of_any_surname(spark):
     spans = {text[a:b] for text in ("答疑：何老师", "感谢林晓明老师", "12 号的同学") for _, a, b, *_ in P.candidates(text)}
     assert {"何", "林晓明"} <= spans and "号的" not in spans
     assert not any(seed for *_, seed in P.candidates("任课老师和高中同学"))
+
+
+def test_a_surname_of_no_list_beside_an_honorific(spark):
+    assert "仝" not in P.SINGLE and "翀" not in P.SINGLE
+    rows = [(k, f"如有疑问请联系{n}老师。", None, None) for k, n in enumerate(["王建国", "李晓红", "张伟", "陈思远", "仝晓明"])] + [(9, "请联系数学老师，任课老师和高中同学都在。", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.doc_id, r.inst) for r in P.accepted_mentions(df).collect() if r.kind == "name"}
+    assert {(0, "王建国"), (4, "仝晓明")} <= got
+    assert {d for d, _ in got if d < 9} == {0, 1, 2, 3, 4}
+
+
+def test_emails_pass_through_the_graph(spark):
+    df = spark.createDataFrame([(1, "write to a.b@mail.example", None, None), (2, "a.b@mail.example again", None, None)], SCHEMA)
+    assert {(r.doc_id, r.kind, r.l) for r in P.accepted_mentions(df).collect()} == {(1, "email", "write to"), (2, "email", "^")}
