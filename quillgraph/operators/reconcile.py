@@ -5,11 +5,12 @@ becomes one element of GF(2^61 - 1), a 60-bit hash of its key and fields. Rows
 fall into buckets by their key; of each bucket and copy only the values of the
 characteristic polynomial prod(z - x) at a few points z are kept. The quotient of
 the two copies' values is a rational function whose numerator and denominator
-have the elements of one copy only as roots. It is interpolated under a bound on
-the degree, checked at points that were not used, and factored. Buckets that fail
-the check are taken again with the bound doubled; as the bound passes the number
-of elements in the bucket, every bucket ends. The recovered hashes fetch the rows
-that differ, and those are compared field by field.
+have the elements of one copy only as roots. It is reconstructed by the extended
+Euclidean algorithm in quadratic time, checked by points beyond the bound on its
+degree, and factored. Buckets that fail the check are taken again with the bound
+doubled; as the bound passes the number of elements in a bucket, a sketch would be
+larger than they are, so they are compared themselves and every bucket ends. The
+recovered hashes fetch the rows that differ, and those are compared field by field.
 
 Defined cases: null and blank keys name no row; null and blank fields are equal;
 repeated rows count once; empty tables give one-sided rows only or none.
@@ -17,6 +18,8 @@ repeated rows count once; empty tables give one-sided rows only or none.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import random
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import checkpoint
+from quillgraph.runtime import checkpoint, spread
 
 P = (1 << 61) - 1
 #: Elements are below 2^60, points above, so no point is ever an element.
@@ -109,50 +112,59 @@ def value(a: list[int], z: int) -> int:
     return out
 
 
-def interpolated(z: list[int], v: list[int], extra: int, bound: int) -> tuple[list[int], list[int]] | None:
-    """Monic numerator and denominator of least degree with num/den = v at z, within the bound.
+@functools.cache
+def newton(n: int) -> tuple[list[int], list[list[int]], list[int]]:
+    """The first n points, the inverses of their differences, and the product of all x - z."""
+    z = [int(x) for x in points(n)]
+    inverses = [[pow(z[k] - z[j], -1, P) for j in range(k)] for k in range(n)]
+    whole = [1]
+    for x in z:
+        whole = [(c - x * d) % P for c, d in zip([0, *whole], [*whole, 0])]
+    return z, inverses, whole
+
+
+def through(v: list[int]) -> list[int]:
+    """The polynomial of least degree with the values v at the points."""
+    z, inverses, _ = newton(len(v))
+    slopes: list[int] = []
+    for k, y in enumerate(v):
+        for j in range(k):
+            y = (y - slopes[j]) * inverses[k][j] % P
+        slopes.append(y)
+    out: list[int] = []
+    for x, c in zip(reversed(z), reversed(slopes)):
+        out = [(a - x * b) % P for a, b in zip([0, *out], [*out, 0])]
+        out[0] = (out[0] + c) % P
+    return trim(out)
+
+
+def reconstructed(v: list[int], extra: int) -> tuple[list[int], list[int]] | None:
+    """Monic numerator and denominator of least degree with num/den = v at the points.
 
-    extra is the elements of the first copy less those of the second.
+    extra is the elements of the first copy less those of the second, the
+    difference of the degrees; null if no fraction of less degree than points allow has it.
     """
-    bound += (bound + extra) % 2
-    if abs(extra) > bound:
+    n = len(v)
+    if abs(extra) >= n:
         return None
-    na, nb = (bound + extra) // 2, (bound - extra) // 2
-    rows = []
-    for x, y in zip(z[: na + nb], v):
-        row, power = [0] * (na + nb + 1), 1
-        for k in range(max(na, nb) + 1):
-            if k < na:
-                row[k] = power
-            elif k == na:
-                row[-1] = (row[-1] - power) % P
-            if k < nb:
-                row[na + k] = -y * power % P
-            elif k == nb:
-                row[-1] = (row[-1] + y * power) % P
-            power = power * x % P
-        rows.append(row)
-    pivots, done = [], 0
-    for col in range(na + nb):
-        at = next((r for r in range(done, len(rows)) if rows[r][col]), None)
-        if at is None:
-            continue
-        rows[done], rows[at] = rows[at], rows[done]
-        inv = pow(rows[done][col], -1, P)
-        rows[done] = [c * inv % P for c in rows[done]]
-        for r in range(len(rows)):
-            if r != done and (factor := rows[r][col]):
-                rows[r] = [(c - factor * d) % P for c, d in zip(rows[r], rows[done])]
-        pivots.append(col)
-        done += 1
-    if any(row[-1] for row in rows[done:]):
+    most = (n - 1 + extra) // 2
+    r0, r1 = newton(n)[2], through(v)
+    t0: list[int] = []
+    t1 = [1]
+    while len(r1) - 1 > most:
+        q, r = divided(r0, r1)
+        step = product(q, t1)
+        size = max(len(t0), len(step))
+        t = trim([((t0[k] if k < len(t0) else 0) - (step[k] if k < len(step) else 0)) % P for k in range(size)])
+        r0, r1, t0, t1 = r1, r, t1, t
+    if not r1 or not t1 or len(r1) - len(t1) != extra:
         return None
-    solved = [0] * (na + nb)
-    for row, col in zip(rows, pivots):
-        solved[col] = row[-1]
-    num, den = [*solved[:na], 1], [*solved[na:], 1]
-    shared = common(num, den)
-    return divided(num, shared)[0], divided(den, shared)[0]
+    out = []
+    for side in (r1, t1):
+        inv = pow(side[-1], -1, P)
+        out.append([c * inv % P for c in side])
+    # both sides are monic, as the copies' polynomials are
+    return (out[0], out[1]) if r1[-1] == t1[-1] else None
 
 
 def roots(a: list[int], rng: random.Random) -> list[int] | None:
@@ -187,60 +199,68 @@ def solved(va: list[int], vb: list[int], extra: int, bound: int) -> tuple[list[i
     v = [x * pow(y, -1, P) % P for x, y in zip(va, vb)]
     if extra == 0 and all(x == 1 for x in v):
         return [], []
-    z = [int(x) for x in points(len(v))]
-    tried = 2
-    while tried <= bound:
-        if (found := interpolated(z, v, extra, tried)) is not None:
-            num, den = found
-            if all(value(num, x) == y * value(den, x) % P for x, y in zip(z, v)):
-                rng = random.Random(len(v))
-                left, right = roots(num, rng), roots(den, rng)
-                if left is not None and right is not None:
-                    return left, right
-        tried *= 2
-    return None
-
-
-def sketched(elements: DataFrame, bound: int) -> DataFrame:
-    """(bucket, side, n, values) of elements (bucket, side, x).
-
-    Elements, not sketches, are brought together by bucket: a sketch of few rows is
-    larger than the rows. A bucket cut by a batch gives two sketches, which multiply.
-    """
-    n = bound + 2 + CHECK_POINTS
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = points(n)
-        for frame in frames:
-            for side, part in frame.groupby("side"):
-                names, size, values = bucket_products(part["bucket"].to_numpy(), part["x"].to_numpy(), z)
-                yield pd.DataFrame({"bucket": names, "side": side, "n": size, "values": list(values.astype(np.int64))})
+    found = reconstructed(v, extra)
+    # every point beyond the degrees is a check
+    if found is None or len(found[0]) + len(found[1]) - 2 > bound:
+        return None
+    num, den = found
+    if any(value(num, x) != y * value(den, x) % P for x, y in zip(newton(len(v))[0], v)):
+        return None
+    rng = random.Random(len(v))
+    left, right = roots(num, rng), roots(den, rng)
+    return None if left is None or right is None else (left, right)
+
+
+def reconciled(bucket: np.ndarray, side: np.ndarray, x: np.ndarray, bound: int, outright: bool) -> list[tuple[int, int, int]]:
+    """(bucket, side, x) of the elements that one side only has; side -1 marks a bucket that the bound does not suffice for."""
+    z = points(bound + 2 + CHECK_POINTS)
+    names = np.unique(bucket)
+    size, values = np.zeros((2, len(names)), dtype=np.int64), np.ones((2, len(names), len(z)), dtype=np.uint64)
+    for k in (0, 1):
+        own, n, v = bucket_products(bucket[side == k], x[side == k], z)
+        at = np.searchsorted(names, own)
+        size[k, at], values[k, at] = n, v
+    same = (size[0] == size[1]) & (values[0] == values[1]).all(axis=1)
+    out: list[tuple[int, int, int]] = []
+    for k in np.flatnonzero(~same):
+        name = int(names[k])
+        if outright and size[:, k].sum() <= bound:
+            rows = [set(x[(bucket == name) & (side == j)].tolist()) for j in (0, 1)]
+            found: tuple[list[int], list[int]] | None = (list(rows[0] - rows[1]), list(rows[1] - rows[0]))
+        else:
+            found = solved(values[0, k].tolist(), values[1, k].tolist(), int(size[0, k] - size[1, k]), bound)
+        out += [(name, -1, 0)] if found is None else [(name, j, e) for j in (0, 1) for e in found[j]]
+    return out
 
-    return elements.select("bucket", "side", "x").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "bucket long, side int, n long, values array<long>")
 
+def recovered(elements: DataFrame, bound: int, outright: bool = False) -> DataFrame:
+    """(bucket, side, x) of the elements (bucket, side, x) of one copy only; side -1 marks an unsolved bucket.
 
-def recovered(sketches: DataFrame, bound: int) -> DataFrame:
-    """(bucket, side, x) of the elements of one copy only; side -1 marks an unsolved bucket."""
+    The elements of a bucket come together once; both copies' sketches are made
+    and divided where they lie. Buckets are even, as they are taken by hash.
+    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        z = len(frame["values"].iloc[0])
-        size, values = [0, 0], [np.ones(z, dtype=np.uint64), np.ones(z, dtype=np.uint64)]
-        for row in frame.itertuples():
-            size[row.side] += row.n
-            values[row.side] = mulmod(values[row.side], np.asarray(row.values).astype(np.uint64))
-        found = solved([int(x) for x in values[0]], [int(x) for x in values[1]], size[0] - size[1], bound)
-        bucket = frame["bucket"].iloc[0]
-        rows = [(bucket, -1, 0)] if found is None else [(bucket, side, x) for side in (0, 1) for x in found[side]]
-        return pd.DataFrame(rows, columns=["bucket", "side", "x"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for frame in itertools.chain(frames, [None]):
+            held = pd.concat([f for f in (rest, frame) if f is not None]) if rest is not None or frame is not None else None
+            if held is None or held.empty:
+                continue
+            # the last bucket may go on
+            going = held["bucket"] == held["bucket"].iloc[-1] if frame is not None else np.zeros(len(held), dtype=bool)
+            part, rest = held[~going], held[going]
+            if len(part):
+                rows = reconciled(part["bucket"].to_numpy(), part["side"].to_numpy(), part["x"].to_numpy(), bound, outright)
+                yield pd.DataFrame(rows, columns=["bucket", "side", "x"])
 
-    return sketches.groupBy("bucket").applyInPandas(run, "bucket long, side int, x long")
+    return spread(elements.select("bucket", "side", "x"), "bucket").sortWithinPartitions("bucket").mapInPandas(run, "bucket long, side int, x long")
 
 
 def differing_elements(elements: DataFrame, first_bound: int = FIRST_BOUND) -> DataFrame:
     """(bucket, side, x) of the elements that only one of the copies 0 and 1 has."""
     bound, left, out = first_bound, elements, None
     while True:
-        part = checkpoint(recovered(sketched(left, bound), bound))
+        part = checkpoint(recovered(left, bound, bound > first_bound))
         known = part.filter("side >= 0")
         out = known if out is None else out.unionByName(known)
         failed = part.filter("side < 0").select("bucket")

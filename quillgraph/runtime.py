@@ -80,6 +80,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by the hash of its keys in as many partitions as the session sets.
+
+    For steps in Python behind a small exchange: adaptive execution would merge it
+    by its bytes into one task, whatever the step costs.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark df for broadcast if its counted rows fit into limit bytes.
 

@@ -72,3 +72,19 @@ def test_bound_doubles_until_all_is_found(spark):
 def test_empty_tables(spark, rows):
     got = R.archive_differences(manifest(spark, rows), upload(spark, [])).collect()
     assert [(r.id, r.diff) for r in got] == [(r[0], "only_manifest") for r in rows]
+
+
+def test_copies_that_share_nothing(spark):
+    rows = [(k % 3, side, (k * 7919 + side) % (1 << 60)) for side in (0, 1) for k in range(400)]
+    got = {tuple(r) for r in R.differing_elements(spark.createDataFrame(rows, "bucket long, side int, x long"), 4).collect()}
+    sides = [{(b, x) for b, s, x in rows if s == k} for k in (0, 1)]
+    assert got == {(b, 0, x) for b, x in sides[0] - sides[1]} | {(b, 1, x) for b, x in sides[1] - sides[0]}
+    spark_few = spark.createDataFrame([(0, 0, 5), (0, 1, 5)], "bucket long, side int, x long")
+    assert R.differing_elements(spark_few).count() == 0
+
+
+def test_a_bound_too_small_is_seen():
+    z = R.points(4 + 2 + R.CHECK_POINTS)
+    a = np.arange(1, 20, dtype=np.uint64) * np.uint64(977)
+    _, _, v = R.bucket_products(np.zeros(len(a), dtype=np.int64), a, z)
+    assert R.solved(v[0].tolist(), [1] * len(z), len(a), 4) is None

@@ -60,3 +60,32 @@ def test_tables(spark):
     paths = {r.path for r in S.leaf_columns(raw).collect()}
     assert "items.title" in paths and "items.children.kind" in paths
     assert S.outline_nodes(raw.limit(0)).count() == 0
+
+
+def test_any_depth(spark):
+    deep = 10_000
+    payload = '[{"title":"n","children":' * deep + "null" + "}]" * deep
+    rows = spark.createDataFrame([(1, 1, payload), (2, 2, payload[:-1]), (3, 3, '["x"]')], "record_id long, doc_id long, payload string")
+    got = S.outline_nodes(rows).selectExpr("record_id", "depth", "length(node_path) n").groupBy("record_id").agg({"depth": "max", "n": "max", "*": "count"}).collect()
+    assert {(r.record_id, r["count(1)"], r["max(depth)"], r["max(n)"]) for r in got} == {(1, deep, deep - 1, 2 * deep - 1), (3, 1, 0, 1)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.text(max_size=3)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(max_size=2), x, max_size=3)), max_leaves=12))
+def test_the_reader_with_a_stack(held):
+    text = json.dumps(held, indent=1)
+    assert S.parsed_deep(text) == held
+    if isinstance(held, (list, dict)):
+        for broken in (text[:-1], text + "]", text.replace(":", "", 1) if isinstance(held, dict) and held else text[1:]):
+            try:
+                S.parsed_deep(broken)
+            except ValueError:
+                continue
+            raise AssertionError(broken)
+
+
+def test_bands_give_the_same_columns():
+    items = [{"title": "a", "children": [{"title": "b", "children": ["c", None]}, "d"]}, None, "e"]
+    top, count, height = S.tree(json.dumps(items))
+    whole = S.band(top, 1, height + 1)
+    assert height == 3 and [c for low in (1, 2, 3) for c in S.band(top, low, low + 1)] == whole
