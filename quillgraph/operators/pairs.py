@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ids
 from quillgraph.functions import textfeat as tf
+from quillgraph.operators import scoring
 from quillgraph.operators.structure import book_lines
+from quillgraph.runtime import checkpoint
 
 # Language of worked solutions, subjects by their names and by their topics.
 SOLUTION = rf"(答案|解答|解[：:]|证明|综上|因此|所以|故{ids.WS}|得证|证毕|由此可得)"
@@ -26,6 +30,8 @@ SUBJECTS = {
 LANGUAGE_SHARE, ANSWER_SHARE, LEAST_ENTRIES = 0.97, 0.97, 20
 ANCHOR_TOP, ANCHORS, LEAST_SHARED = 0.4, 24, 8
 YEAR_AGREES, LEAST_NAMES, LEAST_TOPICS, CLEAR = 0.6, 5, 3, 2
+#: Answer entries that are scored in one task.
+CHUNK = 2_048
 YEAR_LINES, SUBJECT_LINES, DIGEST_LINES = 4_000, 3_000, 400
 
 
@@ -88,34 +94,87 @@ def anchors(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """(q_doc, a_doc, shared, sampled, first): how often the most similar answer entry bears the question's label.
 
     Sampled are at most 24 questions with a label of the answer book, at equal
-    steps in book order. Similarities come from an inverted-index join within the
-    pair; a question whose texts share no bigram with any answer has no best one.
+    steps in book order; they are held against all entries of the answer book by
+    their content score, in chunks of bounded size. Ties fall to the first in book order.
     """
-    from quillgraph.operators.matching import gram_similarity
-
-    held = entries.filter("text <> '' and label_id <> ''").select("doc_id", "ordinal", "id", "label_id", "text")
-    labels = held.select(F.col("doc_id").alias("a_doc"), "label_id").distinct()
-    shared = pairs.join(held.withColumnRenamed("doc_id", "q_doc"), "q_doc").join(labels, ["a_doc", "label_id"], "left_semi")
+    held = entries.filter("text <> ''").select("doc_id", "ordinal", "id", "label_id", "text").distinct()
+    held = checkpoint(scoring.profiled(held.withColumn("e", F.xxhash64("doc_id", "ordinal", "id", "text"))))
+    labels = held.filter("label_id <> ''").select(F.col("doc_id").alias("a_doc"), "label_id").distinct()
+    shared = pairs.join(held.filter("label_id <> ''").withColumnRenamed("doc_id", "q_doc"), "q_doc").join(labels, ["a_doc", "label_id"], "left_semi")
     w = Window.partitionBy("q_doc", "a_doc")
-    shared = shared.withColumns({"k": F.row_number().over(w.orderBy("ordinal", "id")) - 1, "shared": F.count("*").over(w)})
+    places = shared.select("q_doc", "a_doc", "ordinal", "id", "norm", "e").withColumns({"k": F.row_number().over(w.orderBy("ordinal", "id", "norm")) - 1, "shared": F.count("*").over(w)})
     step = F.greatest(F.lit(1), F.floor(F.col("shared") / ANCHORS))
-    sampled = shared.filter((F.col("shared") >= LEAST_SHARED) & (F.pmod("k", step) == 0) & (F.col("k") / step < ANCHORS)).select("q_doc", "a_doc", "shared", "label_id", F.col("k").alias("q"), "text")
-    pool = pairs.join(sampled.select("q_doc", "a_doc").distinct(), ["q_doc", "a_doc"], "left_semi").join(held.withColumnsRenamed({"doc_id": "a_doc", "label_id": "a_label"}), "a_doc")
-    pool = pool.withColumn("a", F.struct("ordinal", "id"))
-    met = gram_similarity(sampled.select("q_doc", "a_doc", "q", "text"), pool.select("q_doc", "a_doc", "a", "text"), "q", "a", ["q_doc", "a_doc"])
-    best = met.groupBy("q_doc", "a_doc", "q").agg(F.max(F.struct(F.round("similarity", 12).alias("s"), (-F.col("a.ordinal")).alias("o"), F.col("a.id").alias("id"))).alias("b"))
-    named = best.select("q_doc", "a_doc", "q", (-F.col("b.o")).alias("ordinal"), F.col("b.id").alias("id")).join(pool.select("q_doc", "a_doc", "ordinal", "id", "a_label"), ["q_doc", "a_doc", "ordinal", "id"])
-    out = sampled.join(named.select("q_doc", "a_doc", "q", "a_label"), ["q_doc", "a_doc", "q"], "left")
+    places = places.filter((F.col("shared") >= LEAST_SHARED) & (F.pmod("k", step) == 0) & (F.col("k") / step < ANCHORS))
+    places = checkpoint(places.select("q_doc", "a_doc", "e", "shared", F.col("k").cast("long").alias("q")))
+    sampled = checkpoint(places.join(held.withColumnRenamed("doc_id", "q_doc"), ["q_doc", "e"]).select("q_doc", "a_doc", "shared", "q", "label_id", *scoring.PROFILE))
+    chunks = held.groupBy(F.col("doc_id").alias("a_doc")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    asked = sampled.join(chunks, "a_doc").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pool = sampled.select("q_doc", "a_doc").distinct().join(chunks, "a_doc").join(held.withColumnRenamed("doc_id", "a_doc"), "a_doc")
+    pool = pool.withColumn("chunk", F.pmod("e", F.col("chunks")).cast("int"))
+    block = ["q_doc", "a_doc", "chunk"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = [*block[:2], "q", "score", "ordinal", "id", "a_label"]
+        if left.empty or right.empty:
+            return pd.DataFrame([], columns=columns)
+        # nulls stand before all, as where the places were numbered
+        right = right.sort_values(["ordinal", "id", "norm"], na_position="first", kind="stable")
+        names: dict[str, int] = {}
+        scores = np.round(scoring.score_rows(scoring.side_of(left, names), scoring.side_of(right, names)), 9)
+        best = scores.argmax(axis=1)
+        rows = [(*left.iloc[i][block[:2]], q, scores[i, j], right["ordinal"].iloc[j], right["id"].iloc[j], right["label_id"].iloc[j]) for i, (q, j) in enumerate(zip(left["q"], best))]
+        return pd.DataFrame(rows, columns=columns).astype({"ordinal": "Int64"})
+
+    columns = [*block, *scoring.PROFILE]
+    # new names for the columns that both sides have from one table
+    right = pool.select(*columns, F.col("ordinal").cast("long"), "id", "label_id").toDF(*columns, "ordinal", "id", "label_id")
+    best = asked.select(*columns, "q").groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(run, "q_doc long, a_doc long, q long, score double, ordinal long, id string, a_label string")
+    best = best.groupBy("q_doc", "a_doc", "q").agg(F.min_by("a_label", F.struct((-F.col("score")).alias("s"), "ordinal", "id")).alias("a_label"))
+    out = sampled.select("q_doc", "a_doc", "shared", "q", "label_id").join(best, ["q_doc", "a_doc", "q"], "left")
     return out.groupBy("q_doc", "a_doc", "shared").agg(F.count("*").alias("sampled"), F.count_if(F.col("label_id") == F.col("a_label")).alias("first"))
 
 
-def verdicts(pairs: DataFrame, role: DataFrame, year: DataFrame, subject: DataFrame, anchor: DataFrame, sources: DataFrame) -> DataFrame:
-    """(q_doc, a_doc, status, reason): roles reject first, then year and subject, then anchors; missing evidence leaves unknown."""
+def text_gates(quality: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """(q_doc, a_doc, comparable, carries): what the books' text layers are good for.
+
+    Similar texts are evidence where both layers are usable or degraded, or opaque
+    in the same way; they carry a match alone where both are usable. overlaps: as
+    of structure.alphabet_overlap().
+    """
+    out = overlaps.select("q_doc", "a_doc", F.col("comparable").alias("alike"))
+    for side in ("q", "a"):
+        own = quality.select(F.col("doc_id").alias(f"{side}_doc"), F.col("quality").alias(side)).distinct()
+        out = out.join(own, f"{side}_doc", "left")
+
+    def good(side: str) -> Column:
+        return F.coalesce(F.col(side).isin("USABLE", "DEGRADED") | ((F.col(side) == "OPAQUE") & F.col("alike")), F.lit(False))
+
+    carries = F.coalesce((F.col("q") == "USABLE") & (F.col("a") == "USABLE"), F.lit(False))
+    return out.select("q_doc", "a_doc", (good("q") & good("a")).alias("comparable"), carries.alias("carries"))
+
+
+def may_be_comparable(quality: Column) -> Column:
+    """Is text of this quality attached to an index at all."""
+    return quality.isin("USABLE", "DEGRADED", "OPAQUE")
+
+
+def needs_recognizer(quality: Column) -> Column:
+    """Can nothing be matched before the pages have been recognised."""
+    return quality.isin("SCANNED", "SPARSE_LAYER", "BLANK", "CORRUPT")
+
+
+def verdicts(pairs: DataFrame, role: DataFrame, year: DataFrame, subject: DataFrame, anchor: DataFrame, sources: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """(q_doc, a_doc, status, reason): roles reject first, then year and subject, then anchors; missing evidence leaves unknown.
+
+    bound (q_doc, a_doc, state): stored bindings as of binding_states(). A valid one
+    verifies a pair whose anchors are missing or weak, never one that was rejected.
+    """
     out = pairs
     for side in ("q", "a"):
         for df, c in ((role, "role"), (year, "year"), (subject, "subject"), (sources, "by_outline")):
             out = out.join(df.select(F.col("doc_id").alias(f"{side}_doc"), F.col(c).alias(f"{side}_{c}")), f"{side}_doc", "left")
     out = out.join(anchor, ["q_doc", "a_doc"], "left")
+    out = out.withColumn("state", F.lit(None).cast("string")) if bound is None else out.join(bound.select("q_doc", "a_doc", "state"), ["q_doc", "a_doc"], "left")
     a_role, q_role = F.coalesce("a_role", F.lit("UNKNOWN")), F.coalesce("q_role", F.lit("UNKNOWN"))
     other_year = F.coalesce(F.col("q_year") != F.col("a_year"), F.lit(False))
     other_subject = F.coalesce((F.col("q_subject") != "MIXED") & (F.col("a_subject") != "MIXED") & (F.col("q_subject") != F.col("a_subject")), F.lit(False))
@@ -126,14 +185,14 @@ def verdicts(pairs: DataFrame, role: DataFrame, year: DataFrame, subject: DataFr
         .when(q_role == "ANSWER", "LEFT_ROLE_INVALID")
         .when(a_role == "UNKNOWN", "PAIR_IDENTITY_UNKNOWN")
         .when(other_year | other_subject | (weak & firm), "PAIR_IDENTITY_MISMATCH")
-        .when(weak | F.col("sampled").isNull(), "PAIR_IDENTITY_UNKNOWN")
+        .when(weak | F.col("sampled").isNull(), F.when(F.coalesce(F.col("state") == "VALID", F.lit(False)), "PAIR_BOUND_MANUALLY").otherwise("PAIR_IDENTITY_UNKNOWN"))
     )
-    status = F.when(reason.isNull(), "VERIFIED_PAIR").when(reason == "PAIR_IDENTITY_UNKNOWN", "UNKNOWN_PAIR").otherwise("REJECTED_PAIR")
+    status = F.when(reason.isNull() | (reason == "PAIR_BOUND_MANUALLY"), "VERIFIED_PAIR").when(reason == "PAIR_IDENTITY_UNKNOWN", "UNKNOWN_PAIR").otherwise("REJECTED_PAIR")
     return out.select("q_doc", "a_doc", status.alias("status"), reason.alias("reason"))
 
 
 def fingerprints(lines: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, pages, outline_shape, labels, content_digest) of each book.
+    """(doc_id, pages, outline_shape, labels, label_range, content_digest, id) of each book; id is the digest of the others.
 
     The digest is taken over at most 400 lines at equal steps; their places come
     from counts by blocks of lines, so no book is sorted as a whole.
@@ -150,12 +209,17 @@ def fingerprints(lines: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
     shape = nodes.groupBy("doc_id", "depth").agg(F.count("*").alias("n")).groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "n"))), lambda x: F.concat_ws(":", x["depth"].cast("string"), x["n"].cast("string"))), ",").alias("outline_shape")
     )
-    labels = nodes.filter("kind = 'QUESTION'").groupBy("doc_id").agg(F.count("*").alias("labels"))
+    # the first and the last label in the outline's order
+    named = nodes.filter("kind = 'QUESTION' and question_id <> ''").withColumn("place", F.struct("page", "node_id"))
+    labels = named.groupBy("doc_id").agg(F.count("*").alias("labels"), F.concat_ws("..", F.min_by("question_id", "place"), F.max_by("question_id", "place")).alias("label_range"))
     out = docs.select("doc_id", F.coalesce("num_pages", F.lit(0)).alias("pages")).distinct().join(shape, "doc_id", "left").join(labels, "doc_id", "left").join(digest, "doc_id", "left")
-    return out.select("doc_id", "pages", F.coalesce("outline_shape", F.lit("")).alias("outline_shape"), F.coalesce("labels", F.lit(0)).alias("labels"), F.coalesce("content_digest", F.lit("811c9dc5")).alias("content_digest"))
+    filled = {"outline_shape": F.lit(""), "labels": F.lit(0), "label_range": F.lit(""), "content_digest": F.lit("811c9dc5")}
+    out = out.select("doc_id", "pages", *[F.coalesce(c, x).alias(c) for c, x in filled.items()])
+    names = {"pages": "pages", "outline_shape": "outlineShape", "labels": "labels", "label_range": "labelRange", "content_digest": "contentDigest"}
+    return out.withColumn("id", tf.fnv1a(F.to_json(F.struct(*[F.col(c).alias(n) for c, n in names.items()]))))
 
 
-FINGERPRINT = ("pages", "outline_shape", "labels", "content_digest")
+FINGERPRINT = ("pages", "outline_shape", "labels", "label_range", "content_digest", "id")
 
 
 def bindings(prints: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ from quillgraph.runtime import checkpoint, spread
 P = (1 << 61) - 1
 #: Elements are below 2^60, points above, so no point is ever an element.
 ELEMENT_BITS = 60
-ROWS_PER_BUCKET = 64
-FIRST_BOUND = 16
+ROWS_PER_BUCKET = 16
+FIRST_BOUND = 8
 CHECK_POINTS = 2
 
 
@@ -167,13 +167,20 @@ def reconstructed(v: list[int], extra: int) -> tuple[list[int], list[int]] | Non
     return (out[0], out[1]) if r1[-1] == t1[-1] else None
 
 
-def roots(a: list[int], rng: random.Random) -> list[int] | None:
-    """All roots of a product of distinct linear factors; None if a is no such product."""
+def roots(a: list[int], rng: random.Random, splits: bool = False) -> list[int] | None:
+    """All roots of a product of distinct linear factors; None if a is no such product. splits: it is known to be one."""
     if len(a) <= 1:
         return []
     if len(a) == 2:
         return [-a[0] * pow(a[1], -1, P) % P]
 
+    if len(a) == 3:
+        # P is 3 mod 4, so a root of a square is a power of it
+        half = pow(2 * a[2], -1, P)
+        square = (a[1] * a[1] - 4 * a[0] * a[2]) % P
+        root = pow(square, (P + 1) // 4, P)
+        return [(root - a[1]) * half % P, (-root - a[1]) * half % P] if square and root * root % P == square else None
+
     def powered(base: list[int], n: int) -> list[int]:
         out: list[int] = [1]
         for bit in bin(n)[2:]:
@@ -182,15 +189,14 @@ def roots(a: list[int], rng: random.Random) -> list[int] | None:
                 out = divided(product(out, base), a)[1]
         return out
 
-    power = powered([0, 1], P)
-    if power != [0, 1]:
+    if not splits and powered([0, 1], P) != [0, 1]:
         return None
     while True:
         half = powered([rng.randrange(P), 1], (P - 1) // 2)
         half = trim([(c - (k == 0)) % P for k, c in enumerate(half or [0])])
         part = common(a, half) if half else a
         if 1 < len(part) < len(a):
-            left, right = roots(part, rng), roots(divided(a, part)[0], rng)
+            left, right = roots(part, rng, True), roots(divided(a, part)[0], rng, True)
             return None if left is None or right is None else left + right
 
 

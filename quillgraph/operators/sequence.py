@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import textfeat as tf
+from quillgraph.operators import scoring
 from quillgraph.operators.matching import gram_similarity
 
 TITLE_GAP, TITLE_LEAST = -0.05, 0.45
@@ -113,41 +115,64 @@ def aligned_titles(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.groupBy(*block).applyInPandas(run, "q_doc long, a_doc long, depth int, q_node long, a_node long, score double")
 
 
+def banded_scores(left: pd.DataFrame, right: pd.DataFrame, comparable: np.ndarray, width: int) -> dict[tuple[int, int], float]:
+    """Content scores with the bonus for a common label, of the pairs within the band that are worth a place."""
+    names: dict[str, int] = {}
+    a, b = scoring.side_of(left, names), scoring.side_of(right, names)
+    own, other = left["label_id"].to_numpy(dtype=object), right["label_id"].to_numpy(dtype=object)
+    out: dict[tuple[int, int], float] = {}
+    for at in range(0, len(left), scoring.ROWS):
+        to = min(len(left), at + scoring.ROWS)
+        low, high = max(0, at - width), min(len(right), to + width)
+        if low >= high:
+            continue
+        scores = scoring.score_rows(a.rows(at, to), b.rows(low, high)) * comparable[at:to, None]
+        same = (own[at:to, None] == other[None, low:high]) & (own[at:to, None] != "")
+        scores = scores + LABEL_BONUS * same
+        for i, j in zip(*np.nonzero(scores >= LEAST_PAIR)):
+            if abs(at + i - low - j) <= width:
+                out[int(at + i), int(low + j)] = float(scores[i, j])
+    return out
+
+
 def aligned_entries(questions: DataFrame, answers: DataFrame, block: list[str], whole: bool = False) -> DataFrame:
-    """(block, q, a, score, timed_out): questions and answer entries aligned in book order within a block.
+    """(block, q, a, score, timed_out, truncated): questions and answer entries aligned in book order within a block.
 
+    Scored by content, and a bonus for a common label, within the band.
     whole: all entries are candidates and no size is refused.
 
-    questions: (block, q, q_seq, label_id, text), answers: (block, a, a_seq, label_id, text);
-    q and a are numbers. A question without a partner has a null a.
+    questions: (block, q, q_seq, label_id, text) and, where texts may not be compared
+    everywhere, comparable; answers: (block, a, a_seq, label_id, text); q and a are
+    numbers. A question without a partner has a null a.
     """
-    met = gram_similarity(questions, answers, "q", "a", block).select(*block, "q", "a", "similarity")
-    same = questions.filter("label_id <> ''").select(*block, "q", "label_id").join(answers.select(*block, "a", "label_id"), [*block, "label_id"]).select(*block, "q", "a", F.lit(LABEL_BONUS).alias("bonus"))
-    score = met.join(same, [*block, "q", "a"], "full_outer").select(*block, "q", "a", (F.coalesce("similarity", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("v"))
-    zero = F.lit(0).cast("long")
-    rows = (
-        questions.select(*block, F.lit("q").alias("kind"), F.col("q").alias("x"), zero.alias("y"), F.col("q_seq").cast("double").alias("v"))
-        .unionByName(answers.select(*block, F.lit("a").alias("kind"), F.col("a").alias("x"), zero.alias("y"), F.col("a_seq").cast("double").alias("v")))
-        .unionByName(score.filter(F.col("v") >= LEAST_PAIR).select(*block, F.lit("s").alias("kind"), F.col("q").alias("x"), F.col("a").alias("y"), "v"))
-    )
-    names = [*block, "q", "a", "score", "timed_out"]
+    if "comparable" not in questions.columns:
+        questions = questions.withColumn("comparable", F.lit(True))
+    names = [*block, "q", "a", "score", "timed_out", "truncated"]
     types = dict(questions.dtypes)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        q = frame[frame.kind == "q"].sort_values(["v", "x"]).x.tolist()
-        a = frame[frame.kind == "a"].sort_values(["v", "x"]).x.tolist()[: None if whole else MOST_CANDIDATES]
-        q_at, a_at = {x: k for k, x in enumerate(q)}, {x: k for k, x in enumerate(a)}
-        s = frame[(frame.kind == "s") & frame.y.isin(a_at)]
-        scores = {(q_at[x], a_at[y]): v for x, y, v in zip(s.x, s.y, s.v)}
-        large = len(q) * len(a) > MOST_CELLS
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values(["q_seq", "q"], kind="stable")
+        right = right.sort_values(["a_seq", "a"], kind="stable")
+        truncated = not whole and len(right) > MOST_CANDIDATES
+        if truncated:
+            right = right.iloc[:MOST_CANDIDATES]
+        n, m = len(left), len(right)
+        large = n * m > MOST_CELLS
         late = large and not whole
-        found = {} if late else dict((chained if large else aligned)(len(q), len(a), scores, GAP, LEAST_PAIR, BAND))
-        head = tuple(frame.iloc[0][block])
-        rows = [(*head, x, a[found[i]] if i in found else None, scores[i, found[i]] if i in found else 0.0, late) for i, x in enumerate(q)]
+        found: dict[int, int] = {}
+        scores: dict[tuple[int, int], float] = {}
+        if n and m and not late:
+            scores = banded_scores(left, right, left["comparable"].fillna(False).to_numpy(dtype=bool), max(BAND, abs(n - m) + 1))
+            found = dict((chained if large else aligned)(n, m, scores, GAP, LEAST_PAIR, BAND))
+        head = tuple(left.iloc[0][block]) if n else ()
+        a = right["a"].tolist()
+        rows = [(*head, x, a[found[i]] if i in found else None, scores[i, found[i]] if i in found else 0.0, late, truncated) for i, x in enumerate(left["q"].tolist())]
         return pd.DataFrame(rows, columns=names).astype({"a": "Int64"})
 
-    schema = ", ".join([*[f"{b} {types[b]}" for b in block], "q long, a long, score double, timed_out boolean"])
-    return rows.groupBy(*block).applyInPandas(run, schema)
+    schema = ", ".join([*[f"{b} {types[b]}" for b in block], "q long, a long, score double, timed_out boolean, truncated boolean"])
+    sides = [scoring.profiled(df.select(*block, *columns, "label_id", "text")) for df, columns in ((questions, ("q", "q_seq", "comparable")), (answers, ("a", "a_seq")))]
+    right = sides[1].toDF(*sides[1].columns)
+    return sides[0].groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(run, schema)
 
 
 def bigram_dice(a: str, b: str) -> float:

@@ -34,13 +34,15 @@ def regions(held: DataFrame, open_pairs: DataFrame, nodes: DataFrame, docs: Data
     return out.select("q_doc", "a_doc", "q", F.coalesce("e_from", "from_page").alias("from"), F.when(is_exact, F.col("e_to")).otherwise(F.col("to_page")).alias("to"), is_exact.alias("exact"))
 
 
-def linked(entries: DataFrame, verdicts: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def linked(entries: DataFrame, verdicts: DataFrame, nodes: DataFrame, docs: DataFrame, gates: DataFrame | None = None) -> DataFrame:
     """One row a question and pair: the answer entry, the confidence and the rung that is left of it.
 
     A rejected pair is decided without touching texts. Questions with entries of
     their label are decided among those (among those in the question's region, if
     there are any); the rest of a pair is aligned in book order with the entries of
     its region, or of the whole book without one. nodes: as of outline.classified().
+    gates: what the text layers of a pair are good for, as of pairs.text_gates();
+    without them all texts are taken for usable.
     """
     held = checkpoint(entries.withColumn("n", F.monotonically_increasing_id()).filter("text <> ''"))
     left = held.select(F.col("doc_id").alias("q_doc"), F.col("n").alias("q"), F.struct("page", "ordinal", "id").alias("q_place"), "label_id", "text")
@@ -48,6 +50,9 @@ def linked(entries: DataFrame, verdicts: DataFrame, nodes: DataFrame, docs: Data
     key = ["q_doc", "a_doc", "q"]
     verdicts = checkpoint(verdicts.select("q_doc", "a_doc", "status"))
     open_pairs = checkpoint(verdicts.filter("status <> 'REJECTED_PAIR'").select("q_doc", "a_doc"))
+    if gates is None:
+        gates = open_pairs.withColumns({"comparable": F.lit(True), "carries": F.lit(True)})
+    gates = checkpoint(gates.select("q_doc", "a_doc", "comparable", "carries"))
     where = checkpoint(regions(held, open_pairs, checkpoint(nodes), docs))
     open_asked = open_pairs.join(left, "q_doc")
     same = open_asked.filter("label_id <> ''").select(*key, "label_id").join(right.drop("text"), ["a_doc", "label_id"]).join(where, key)
@@ -64,15 +69,16 @@ def linked(entries: DataFrame, verdicts: DataFrame, nodes: DataFrame, docs: Data
     pool = rest.select(*block).distinct().join(right, "a_doc").filter("lo < 0 or a_page between lo and hi")
     pool = pool.withColumn("a_seq", F.row_number().over(Window.partitionBy(*block).orderBy("a_place", "a")))
     pool = checkpoint(pool)
-    placed = sequence.aligned_entries(rest.select(*block, "q", "q_seq", "label_id", "text"), pool.select(*block, "a", "a_seq", "label_id", "text"), block, whole=True)
+    rest = rest.join(gates, ["q_doc", "a_doc"], "left")
+    placed = sequence.aligned_entries(rest.select(*block, "q", "q_seq", "label_id", "text", "comparable"), pool.select(*block, "a", "a_seq", "label_id", "text"), block, whole=True)
     by_order = placed.filter("a is not null").join(right.select("a", "a_place"), "a").select(*key, "a", "a_place", F.lit(False).alias("label_hit"), F.lit(False).alias("exact_id"), (F.col("lo") >= 0).alias("section_aligned"))
     rows = checkpoint(by_label.unionByName(by_order))
     once = held.select("n", "text")
     scored = matching.content_scores(rows.select("q", "a").distinct(), once.withColumnRenamed("n", "q"), once.withColumnRenamed("n", "a"), "q", "a")
-    yes = F.lit(True)
+    no = F.lit(False)
     decided = matching.decided(
-        rows.join(checkpoint(scored), ["q", "a"]).select(
-            F.struct(*key).alias("q"), F.col("a").alias("cand"), F.col("a").alias("seq"), "label_hit", F.round("score", 9).alias("score"), "exact_id", "section_aligned", yes.alias("comparable"), yes.alias("carries")
+        rows.join(checkpoint(scored), ["q", "a"]).join(gates, ["q_doc", "a_doc"], "left").select(
+            F.struct(*key).alias("q"), F.col("a").alias("cand"), F.col("a").alias("seq"), "label_hit", F.round("score", 9).alias("score"), "exact_id", "section_aligned", F.coalesce("comparable", no).alias("comparable"), F.coalesce("carries", no).alias("carries")
         )
     ).select("q.*", "matched", "confidence", "cand", "n_candidates")
     every = open_asked.select(*key).join(checkpoint(decided), key, "left").fillna({"matched": False, "confidence": "NONE", "n_candidates": 0})

@@ -209,6 +209,11 @@ def alphabet_overlap(spark: SparkSession, d: str) -> DataFrame:
     return structure.alphabet_overlap(table(spark, d, "doc_lines"), _pairs(spark, d))
 
 
+@query("text_gates")
+def text_gates(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.text_gates(text_quality(spark, d), alphabet_overlap(spark, d))
+
+
 RUNNING_SQL = f"""{sx.LINES}, placed AS (SELECT *, {sx.boilerplate_form('text')} AS form, {sx.carries_label('text')} AS labelled,
       row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS k, count(*) OVER (PARTITION BY doc_id, page) AS of_page FROM lines),
     books AS (SELECT doc_id, count(DISTINCT coalesce(page, -1)) AS of_pages FROM lines GROUP BY doc_id),
@@ -803,4 +808,4 @@ def glyph_repair(spark: SparkSession, d: str) -> DataFrame:
 
 @query("linked_questions")
 def linked_questions(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.linked(_entries(spark, d), pair_verdict(spark, d), _classified(spark, d), table(spark, d, "docs"))
+    return linkage.linked(_entries(spark, d), pair_verdict(spark, d), _classified(spark, d), table(spark, d, "docs"), text_gates(spark, d))
