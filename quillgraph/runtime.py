@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its counted rows times this many bytes a row stay below the bound.
+#: A side is broadcast only if its measured bytes stay below the bound.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -57,6 +57,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "folder" not in _LOCAL:
         _LOCAL["folder"] = tempfile.mkdtemp(prefix="quillgraph-")
         atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
@@ -90,12 +92,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark df for broadcast if its counted rows fit into limit bytes.
+    """Mark df for broadcast if its rows, measured, fit into limit bytes.
 
-    df should be cheap to count (a checkpoint or a small table). Beyond the
-    limit the plan stays a shuffled join.
+    A row counts with row_bytes at least, and with the bytes of its texts. df
+    should be cheap to read (a checkpoint or a small table). Beyond the limit the
+    plan stays a shuffled join.
     """
-    most = limit // row_bytes
-    if df.limit(most + 1).count() <= most:
-        return F.broadcast(df)
-    return df
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    texts += [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
+    fixed = 16 + 8 * len(df.columns)
+    size = F.greatest(F.lit(row_bytes), sum(texts, F.lit(fixed)))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
