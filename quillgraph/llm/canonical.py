@@ -36,6 +36,10 @@ LOOKALIKES = {
     "Cyrillic small": ("аеѕіјорсухѵүһԁԛԝ", "aesijopcyxvyhdqw"),
     "Greek capitals": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
     "Greek small": ("ονϲϳ", "ovcj"),
+    "Armenian": ("ՍՕօոսհց", "UOonuhg"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    "Coptic capitals": ("ⲎⲔⲘⲚⲞⲢⲤⲦⲬ", "HKMNOPCTX"),
+    "Coptic small": ("ⲟⲣⲥⲭ", "opcx"),
     "Latin": ("ɑɡ", "ag"),
     "signs": ("µ‐‑", "μ--"),
 }
@@ -44,7 +48,7 @@ LINE_ENDS = "\x0b\x0c\x85  "
 #: Beside format and control characters.
 UNSEEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0x2800, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 #: Ranges whose compatibility form looks the same.
-SAME_LOOK = [(0x2160, 0x2180), (0x2E80, 0x2FE0), (0xF900, 0xFB07), (0xFE30, 0xFE70), (0xFF01, 0xFFEF), (0x1D00, 0x1D00)]
+SAME_LOOK = [(0x2160, 0x2180), (0x2E80, 0x2FE0), (0xF900, 0xFB07), (0xFE30, 0xFE70), (0xFF01, 0xFFEF)]
 
 
 def base(c: int) -> str:
@@ -132,12 +136,16 @@ def digest(c: Column, salt: int) -> Column:
     return F.xxhash64(F.lit(salt), c)
 
 
-def lookalikes(documents: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, doc_id_a, doc_id_b): fields that look the same and are not the same string.
+#: Parts in which the documents of one form are expanded.
+SALTS = 16
 
-    Values go as 128-bit digests of the canonical and 64-bit ones of the stored
-    form. Only classes with two stored forms are paired, each with the others.
-    """
+
+def salt_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def field_forms(documents: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, doc_id, c1, c2, raw): 128-bit digests of the canonical form of each value and 64-bit ones of the stored form."""
     known: dict[str, str] = {}
 
     def run(held: pa.Table) -> pa.Table:
@@ -156,12 +164,39 @@ def lookalikes(documents: DataFrame, fields: list[str]) -> DataFrame:
         return pa.table({"field": fields_out, "doc_id": pa.array(ids, pa.int64()), "form": forms, "raw": raws})
 
     docs = documents.select("doc_id", *fields).filter("doc_id is not null")
-    values = mapped(docs, run, "field string, doc_id long, form string, raw string", 1_000).select(
-        "field", "doc_id", digest(F.col("form"), 1).alias("c1"), digest(F.col("form"), 2).alias("c2"), F.xxhash64("raw").alias("raw")
-    )
-    values = checkpoint(values)
-    mixed = values.groupBy("field", "c1", "c2").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).filter("a <> b").select("field", "c1", "c2")
-    members = checkpoint(values.join(broadcast_if_small(checkpoint(mixed), 48), ["field", "c1", "c2"], "left_semi"))
-    left, right = members.withColumnsRenamed({"doc_id": "doc_id_a", "raw": "raw_a"}), members.withColumnsRenamed({"doc_id": "doc_id_b", "raw": "raw_b"})
-    pairs = left.join(right, ["field", "c1", "c2"]).filter("raw_a <> raw_b and doc_id_a < doc_id_b")
-    return pairs.select("field", "doc_id_a", "doc_id_b")
+    values = mapped(docs, run, "field string, doc_id long, form string, raw string", 1_000)
+    return values.select("field", "doc_id", digest(F.col("form"), 1).alias("c1"), digest(F.col("form"), 2).alias("c2"), F.xxhash64("raw").alias("raw"))
+
+
+def lookalike_classes(documents: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, doc_id, class_id, form_id, forms, members): each value that has look-alikes, its class and its own form.
+
+    forms and members count the class; this grows with the documents, however large a class is.
+    """
+    values = checkpoint(field_forms(documents, fields))
+    key = ["field", "c1", "c2"]
+    # counted by form first, so a hot class comes as few rows
+    forms = values.groupBy(*key, "raw").agg(F.count_distinct("doc_id").alias("n"))
+    classes = forms.groupBy(*key).agg(F.count("*").alias("forms"), F.sum("n").alias("members")).filter("forms > 1")
+    held = values.distinct().join(broadcast_if_small(checkpoint(classes), 64), key)
+    return held.select("field", "doc_id", F.col("c1").alias("class_id"), F.col("raw").alias("form_id"), "forms", "members")
+
+
+def lookalikes(documents: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, doc_id_a, doc_id_b): fields that look the same and are not the same string.
+
+    The stored forms of a class are paired, and only then expanded into their
+    documents, so equal strings never meet. The documents of a frequent form are
+    spread over salts where a pair of forms is expanded first.
+    """
+    values = checkpoint(field_forms(documents, fields))
+    key = ["field", "c1", "c2"]
+    forms = values.select(*key, "raw").distinct()
+    mixed = forms.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    members = checkpoint(values.join(broadcast_if_small(checkpoint(mixed), 48), key, "left_semi").distinct())
+    own = members.select(*key, "raw").distinct()
+    pairs = own.withColumnRenamed("raw", "x").join(own.withColumnRenamed("raw", "y"), key).filter("x < y")
+    salted = checkpoint(pairs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = salted.join(members.withColumnsRenamed({"raw": "x", "doc_id": "i"}).withColumn("salt", salt_of("i")), [*key, "x", "salt"])
+    out = left.join(members.withColumnsRenamed({"raw": "y", "doc_id": "j"}), [*key, "y"]).filter("i <> j")
+    return out.select("field", F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b")).distinct()

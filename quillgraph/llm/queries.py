@@ -69,11 +69,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.lookalikes(table(spark, d, "documents"), ["text", "title"])
 
 
+@query("p6_classes")
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.lookalike_classes(table(spark, d, "documents"), ["text", "title"])
+
+
 @query("p6_canonical")
 def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"), "doc_id", ["text", "title"])
 
 
+@query("p7_method")
+def p7_method(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.folded_words(table(spark, d, "documents"))
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))

@@ -48,3 +48,14 @@ def test_pairs(spark):
 def test_columns(spark):
     df = spark.createDataFrame([(1, "Ａ" * 50_000, None)], "doc_id long, text string, title string")
     assert [tuple(r) for r in C.canonical_texts(df, "doc_id", ["text", "title"]).collect()] == [(1, "A" * 50_000, None)]
+
+
+def test_classes_and_hot_forms(spark):
+    rows = [(k, "Solution", None) for k in range(300)] + [(900, "Ｓolution", None), (901, "Solution​", None), (902, "other", "x")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, title string, form string")
+    got = {tuple(r) for r in C.lookalikes(df, ["text", "title"]).collect()}
+    assert got == {("text", k, j) for k in range(300) for j in (900, 901)} | {("text", 900, 901)}
+    classes = C.lookalike_classes(df, ["text", "title"]).collect()
+    assert {(r.field, r.doc_id, r.forms, r.members) for r in classes} == {("text", k, 3, 302) for k in (*range(300), 900, 901)}
+    assert len({r.class_id for r in classes}) == 1 and len({r.form_id for r in classes}) == 3
+    assert C.canonical("Ꭺ ⲟ Օ", {}) == "A o O"
