@@ -209,7 +209,11 @@ def alphabet_overlap(spark: SparkSession, d: str) -> DataFrame:
     return structure.alphabet_overlap(table(spark, d, "doc_lines"), _pairs(spark, d))
 
 
-@query("text_gates")
+@query(
+    "text_gates",
+    f"""WITH q AS ({SQL['text_quality']}), o AS ({SQL['alphabet_overlap']}), g AS (SELECT q_doc, a_doc, x.quality AS xq, y.quality AS yq, comparable AS alike FROM o LEFT JOIN (SELECT DISTINCT doc_id, quality FROM q) x ON x.doc_id = q_doc LEFT JOIN (SELECT DISTINCT doc_id, quality FROM q) y ON y.doc_id = a_doc)
+    SELECT q_doc, a_doc, coalesce((xq IN ('USABLE', 'DEGRADED') OR xq = 'OPAQUE' AND alike) AND (yq IN ('USABLE', 'DEGRADED') OR yq = 'OPAQUE' AND alike), false) AS comparable, coalesce(xq = 'USABLE' AND yq = 'USABLE', false) AS carries FROM g""",
+)
 def text_gates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.text_gates(text_quality(spark, d), alphabet_overlap(spark, d))
 
@@ -597,12 +601,43 @@ def doc_subject(spark: SparkSession, d: str) -> DataFrame:
     return pairs.subjects(table(spark, d, "doc_lines"), table(spark, d, "outline"))
 
 
-@query("anchor_agreement")
+def _counted_dice(a: str, b: str, shared: str, na: str, nb: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {a} = {b} THEN 1.0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0 ELSE 2.0 * {shared} / ({na} + {nb}) END"
+
+
+#: Sampled questions against all entries of the answer book; shared tokens by joins.
+ANCHOR_SQL = f"""{ENTRY_IDS}, {sx.PAIRS}, ae AS (SELECT DISTINCT doc_id, ordinal, id, label_id, text FROM ei WHERE text <> ''),
+    an AS (SELECT *, {sx.normalize_for_match('text')} AS norm FROM ae), af AS (SELECT *, {sx.normalize_for_match(f"array_to_string({sx.fragments('norm')}, ' ')")} AS formulas FROM an),
+    ak AS (SELECT *, row_number() OVER (ORDER BY doc_id, ordinal NULLS FIRST, id NULLS FIRST, norm NULLS FIRST) AS n FROM af),
+    atk AS (SELECT n, 'prose' AS channel, unnest({sx.bigrams('norm')}) AS token FROM ak UNION ALL SELECT n, 'math', unnest({sx.bigrams('formulas')}) FROM ak UNION ALL SELECT n, 'context', unnest({_context_list('norm')}) FROM ak WHERE formulas <> ''),
+    ac AS (SELECT n, channel, token, count(*) AS c FROM atk GROUP BY ALL), az AS (SELECT n, count(*) FILTER (channel = 'prose') AS prose, count(*) FILTER (channel = 'math') AS math, count(*) FILTER (channel = 'context') AS context FROM atk GROUP BY n),
+    ash AS (SELECT q_doc, a_doc, n, label_id, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY q_doc, a_doc) AS shared FROM pairs JOIN ak ON doc_id = q_doc WHERE label_id <> '' AND EXISTS (SELECT 1 FROM ak y WHERE y.doc_id = a_doc AND y.label_id = ak.label_id) WINDOW w AS (PARTITION BY q_doc, a_doc ORDER BY n)),
+    asm AS (SELECT *, greatest(1, shared // 24) AS step FROM ash WHERE shared >= 8), asd AS (SELECT * FROM asm WHERE k % step = 0 AND k // step < 24),
+    acand AS (SELECT q_doc, a_doc, asd.n AS qn, asd.label_id, shared, y.n AS an, y.label_id AS a_label FROM asd JOIN ak y ON y.doc_id = a_doc),
+    amet AS (SELECT qn, an, sum(least(x.c, y.c)) FILTER (x.channel = 'prose') AS prose, sum(least(x.c, y.c)) FILTER (x.channel = 'math') AS math, sum(least(x.c, y.c)) FILTER (x.channel = 'context') AS context FROM (SELECT DISTINCT qn, an FROM acand) JOIN ac x ON x.n = qn JOIN ac y ON y.n = an AND y.channel = x.channel AND y.token = x.token GROUP BY ALL),
+    avals AS (SELECT d.*, x.norm AS xn, y.norm AS yn, x.formulas AS xf, y.formulas AS yf, coalesce(m.prose, 0) AS sp, coalesce(m.math, 0) AS sm, coalesce(m.context, 0) AS sc, coalesce(u.prose, 0) AS up, coalesce(u.math, 0) AS um, coalesce(u.context, 0) AS uc, coalesce(v.prose, 0) AS vp, coalesce(v.math, 0) AS vm, coalesce(v.context, 0) AS vc
+      FROM acand d JOIN ak x ON x.n = qn JOIN ak y ON y.n = d.an LEFT JOIN amet m ON m.qn = d.qn AND m.an = d.an LEFT JOIN az u ON u.n = d.qn LEFT JOIN az v ON v.n = d.an),
+    adice AS (SELECT *, {_counted_dice('xn', 'yn', 'sp', 'up', 'vp')} AS prose, {_counted_dice('xf', 'yf', 'sm', 'um', 'vm')} AS fragments, CASE WHEN uc >= 2 AND vc >= 2 THEN 2.0 * sc / (uc + vc) END AS context FROM avals),
+    ascore AS (SELECT *, round(CASE WHEN xf = '' OR yf = '' THEN prose ELSE 0.75 * CASE WHEN context IS NULL THEN fragments ELSE 0.6 * context + 0.4 * fragments END + 0.25 * prose END, 9) AS score FROM adice),
+    abest AS (SELECT *, row_number() OVER (PARTITION BY q_doc, a_doc, qn ORDER BY score DESC, an) AS place FROM ascore),
+    anchors AS (SELECT q_doc, a_doc, shared, count(*) AS sampled, count(*) FILTER (label_id = a_label) AS first FROM abest WHERE place = 1 GROUP BY ALL)"""
+
+
+@query("anchor_agreement", f"WITH {ANCHOR_SQL} SELECT q_doc, a_doc, shared, sampled, first FROM anchors")
 def anchor_agreement(spark: SparkSession, d: str) -> DataFrame:
     return pairs.anchors(_entries(spark, d), _pairs(spark, d))
 
 
-@query("pair_verdict")
+#: Roles first, then years and subjects, then anchors.
+VERDICT_SQL = f"""{ANCHOR_SQL}, {ROLE_SQL.removeprefix(sx.ENTRIES + ', ')}, {YEAR_SQL}, {SUBJECT_SQL}, src AS (SELECT doc_id, bool_and(source = 'OUTLINE') AS by_outline FROM e GROUP BY doc_id),
+    facts AS (SELECT p.q_doc, p.a_doc, coalesce(qr.role, 'UNKNOWN') AS q_role, coalesce(ar.role, 'UNKNOWN') AS a_role, coalesce(qy.year <> ay.year, false) AS other_year, coalesce(qs.subject <> 'MIXED' AND asu.subject <> 'MIXED' AND qs.subject <> asu.subject, false) AS other_subject,
+      coalesce(first < 0.4 * sampled, false) AS weak, coalesce(qo.by_outline AND ao.by_outline, false) AS firm, sampled FROM pairs p LEFT JOIN roles qr ON qr.doc_id = p.q_doc LEFT JOIN roles ar ON ar.doc_id = p.a_doc LEFT JOIN years qy ON qy.doc_id = p.q_doc LEFT JOIN years ay ON ay.doc_id = p.a_doc
+      LEFT JOIN subjects qs ON qs.doc_id = p.q_doc LEFT JOIN subjects asu ON asu.doc_id = p.a_doc LEFT JOIN src qo ON qo.doc_id = p.q_doc LEFT JOIN src ao ON ao.doc_id = p.a_doc LEFT JOIN anchors x ON x.q_doc = p.q_doc AND x.a_doc = p.a_doc),
+    reasons AS (SELECT q_doc, a_doc, CASE WHEN a_role = 'EXERCISE' THEN 'RIGHT_ROLE_INVALID' WHEN q_role = 'ANSWER' THEN 'LEFT_ROLE_INVALID' WHEN a_role = 'UNKNOWN' THEN 'PAIR_IDENTITY_UNKNOWN' WHEN other_year OR other_subject OR (weak AND firm) THEN 'PAIR_IDENTITY_MISMATCH' WHEN weak OR sampled IS NULL THEN 'PAIR_IDENTITY_UNKNOWN' END AS reason FROM facts),
+    verdicts AS (SELECT q_doc, a_doc, CASE WHEN reason IS NULL THEN 'VERIFIED_PAIR' WHEN reason = 'PAIR_IDENTITY_UNKNOWN' THEN 'UNKNOWN_PAIR' ELSE 'REJECTED_PAIR' END AS status, reason FROM reasons)"""
+
+
+@query("pair_verdict", f"WITH {VERDICT_SQL} SELECT q_doc, a_doc, status, reason FROM verdicts")
 def pair_verdict(spark: SparkSession, d: str) -> DataFrame:
     entries, books = _entries(spark, d), _pairs(spark, d)
     sources = entries.groupBy("doc_id").agg(F.bool_and(F.col("source") == "OUTLINE").alias("by_outline"))
@@ -610,12 +645,22 @@ def pair_verdict(spark: SparkSession, d: str) -> DataFrame:
     return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, tree), pairs.subjects(lines, tree), pairs.anchors(entries, books), sources)
 
 
-@query("pair_matrix")
+@query("pair_matrix", f"WITH {VERDICT_SQL} SELECT status, reason, count(*) AS n FROM verdicts GROUP BY ALL")
 def pair_matrix(spark: SparkSession, d: str) -> DataFrame:
     return pair_verdict(spark, d).groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
-@query("fingerprint")
+#: Over the 32-bit digest of a text's characters.
+FNV_SQL = "lpad(lower(to_hex(CAST(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(list_filter(string_split({0}, ''), lambda x: x <> ''), lambda x: CAST(ord(x) AS HUGEINT))), lambda h, x: (CAST(xor(CAST(h AS BIGINT), CAST(x AS BIGINT)) AS HUGEINT) * 16777619) % 4294967296) AS BIGINT))), 8, '0')"
+PRINT_SQL = f"""{sx.LINES}, {LEVEL_SQL}, fl AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {sx.q(ids.WS + '+')}, '', 'g') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS of FROM lines),
+    fd AS (SELECT doc_id, string_agg(t, '' ORDER BY k) AS t FROM fl WHERE k % greatest(1, of // 400) = 0 AND k // greatest(1, of // 400) < 400 GROUP BY doc_id),
+    fs AS (SELECT doc_id, string_agg(depth || ':' || n, ',' ORDER BY depth) AS shape FROM (SELECT doc_id, depth, count(*) AS n FROM kinds GROUP BY ALL) GROUP BY doc_id),
+    fq AS (SELECT doc_id, count(*) AS labels, first(question_id ORDER BY page NULLS FIRST, node_id) || '..' || last(question_id ORDER BY page NULLS FIRST, node_id) AS label_range FROM kinds WHERE kind = 'QUESTION' AND question_id <> '' GROUP BY doc_id),
+    fp AS (SELECT d.doc_id, coalesce(num_pages, 0) AS pages, coalesce(shape, '') AS outline_shape, coalesce(labels, 0) AS labels, coalesce(label_range, '') AS label_range, {FNV_SQL.format("coalesce(fd.t, '')")} AS content_digest FROM (SELECT DISTINCT doc_id, num_pages FROM docs) d LEFT JOIN fs USING (doc_id) LEFT JOIN fq USING (doc_id) LEFT JOIN fd USING (doc_id)),
+    prints AS (SELECT *, {FNV_SQL.format("""'{"pages":' || pages || ',"outlineShape":"' || outline_shape || '","labels":' || labels || ',"labelRange":"' || label_range || '","contentDigest":"' || content_digest || '"}'""")} AS id FROM fp)"""
+
+
+@query("fingerprint", f"WITH {PRINT_SQL} SELECT doc_id, pages, outline_shape, labels, label_range, content_digest, id FROM prints")
 def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return pairs.fingerprints(table(spark, d, "doc_lines"), _classified(spark, d), table(spark, d, "docs"))
 
