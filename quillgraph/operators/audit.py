@@ -9,22 +9,31 @@ from pyspark.sql import functions as F
 def order_audit(events: DataFrame, by: list[str], order: list[str], rank: str) -> DataFrame:
     """(by, n, breaks, inversions): adjacent steps back, and pairs in the wrong order.
 
-    Inversions are counted by ranks: events of a rank are few kinds, so for each
-    event the later ones of a smaller rank come from counts by rank, not from pairs.
+    Two ranks differ first in one bit: of each bit, events that agree in the bits
+    above it form a group, in which an event without the bit counts the earlier
+    ones with it. That takes as many rows an event as ranks have bits.
     """
     w = Window.partitionBy(*by).orderBy(*order)
     held = events.withColumns({"k": F.row_number().over(w), "last": F.lag(rank).over(w)})
     breaks = held.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(rank) < F.col("last")).alias("breaks"))
-    ranks = events.select(*by, F.col(rank).alias("low")).distinct()
-    # of each smaller rank: how many events of it stand before; the rest stand after
-    spread = held.select(*by, "k", rank).join(ranks, by).withColumn("hit", (F.col(rank) == F.col("low")).cast("int"))
-    sofar = F.sum("hit").over(Window.partitionBy(*by, "low").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("hit").over(Window.partitionBy(*by, "low"))
-    later = spread.withColumn("later", total - sofar).filter(F.col("low") < F.col(rank))
-    inversions = later.groupBy(*by).agg(F.sum("later").alias("inversions"))
+    own = events.select(*by, rank).distinct().withColumn("_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(rank)) - 1)
+    bits = own.groupBy(*by).agg(F.length(F.bin(F.max("_rank").cast("long"))).alias("bits"))
+    placed = held.select(*by, "k", rank).join(own, [*by, rank]).join(bits, by)
+    spread = placed.withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+    spread = spread.select(*by, "k", "bit", F.expr("shiftright(_rank, bit + 1)").alias("above"), F.expr("shiftright(_rank, bit) & 1").alias("set"))
+    before = F.sum("set").over(Window.partitionBy(*by, "bit", "above").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    inversions = spread.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("set") == 0).groupBy(*by).agg(F.sum("before").alias("inversions"))
     return breaks.join(inversions, by, "left").fillna(0, ["inversions"])
 
 
+def break_examples(events: DataFrame, by: list[str], order: list[str], rank: str, most: int = 5) -> DataFrame:
+    """(by, k, last, rank): the first steps back of each group, at most `most` of them."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    held = events.withColumns({"k": F.row_number().over(w), "last": F.lag(rank).over(w)}).filter(F.col(rank) < F.col("last"))
+    first = held.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("k", "last", F.col(rank).alias("rank")))), 1, most).alias("x"))
+    return first.select(*by, F.explode("x").alias("x")).select(*by, "x.*")
+
+
 def start_alignment(events: DataFrame, headings: DataFrame) -> DataFrame:
     """(doc_id, starts, continuations, labels, start_labels) of events (doc_id, label, page) against pages that print the label."""
     flagged = events.join(headings.select("doc_id", "label", "page", F.lit(True).alias("printed")).distinct(), ["doc_id", "label", "page"], "left")

@@ -42,6 +42,26 @@ def entry_texts(lines: DataFrame, entries: DataFrame) -> DataFrame:
     return texts.select("doc_id", "entry", joined.alias("text"), "scoped").join(spans, ["doc_id", "entry"], "left")
 
 
+def section_title_forms(sections: DataFrame) -> DataFrame:
+    """(doc_id, form): titles of sections as printed, and without their number where two characters are left."""
+    title = ids.trimmed(F.coalesce("title", F.lit("")))
+    held = sections.select("doc_id", title.alias("title")).filter("title <> ''")
+    bare = ids.trimmed(F.regexp_replace("title", rf"^{ids.WS}*[0-9]+(?:[.．][0-9]+)*{ids.WS}*", ""))
+    both = F.array(F.col("title"), F.when(F.length(bare) >= 2, bare))
+    return held.select("doc_id", F.explode(F.array_compact(both)).alias("form")).distinct()
+
+
+def cleaning_patterns(titles: DataFrame, running: DataFrame, least: int = 4) -> DataFrame:
+    """(doc_id, patterns): what is taken out of a book's texts, titles from the longest on, then running forms.
+
+    titles: (doc_id, form), running: (doc_id, form) of structure.running_forms(). Blanks in a piece meet any number of blanks.
+    """
+    rows = titles.select("doc_id", "form", F.lit(0).alias("kind")).unionByName(running.filter(F.length("form") >= least).select("doc_id", "form", F.lit(1).alias("kind")))
+    pattern = F.regexp_replace(F.regexp_replace("form", r"([.*+?^${}()|\[\]\\])", r"\\$1"), f"{ids.WS}+", r"\\s*")
+    rows = rows.select("doc_id", F.struct("kind", (-F.length("form")).alias("o"), pattern.alias("pattern")).alias("x"))
+    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["pattern"]).alias("patterns"))
+
+
 def cleaned(text: Column, forms: Column) -> Column:
     """text without the given titles and running forms, each taken literally, longest first."""
     ordered = F.array_sort(forms, lambda a, b: F.length(b) - F.length(a))
@@ -49,6 +69,12 @@ def cleaned(text: Column, forms: Column) -> Column:
     return ids.trimmed(F.regexp_replace(out, f"{ids.WS}+", " "))
 
 
+def without_patterns(text: Column, patterns: Column) -> Column:
+    """text without what the patterns of cleaning_patterns() meet, one after another."""
+    out = F.aggregate(F.coalesce(patterns, F.array().cast("array<string>")), F.coalesce(text, F.lit("")), lambda acc, p: F.regexp_replace(acc, p, F.lit(" ")))
+    return ids.trimmed(F.regexp_replace(out, f"{ids.WS}+", " "))
+
+
 def within_region(entries: DataFrame, page: Column, top: Column, bottom: Column) -> DataFrame:
     """Entries whose spans meet a band of a page."""
     return entries.filter(F.exists("spans", lambda s: (s["page"] == page) & (s["bottom"] >= top) & (s["top"] <= bottom)))

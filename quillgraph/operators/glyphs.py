@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.ids import WS
+from quillgraph.runtime import broadcast_if_small, checkpoint
 
 # Characters that a broken font keeps, and plausible replacements.
 SURVIVES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+-*/=^_(){}[]<>|∫∑∏√±×÷≤≥≠∞→"
@@ -77,7 +78,32 @@ def repaired(lines: DataFrame, table: DataFrame) -> DataFrame:
     """lines with each glyph of the table substituted; the table is one row of a map, at most one entry a character."""
     packed = table.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("glyph", "cand"))).alias("glyphs"))
     each = F.transform(F.split("text", ""), lambda c: F.coalesce(F.try_element_at("glyphs", c), c))
-    return lines.join(F.broadcast(packed)).withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(each, ""))).drop("glyphs")
+    # one row: what joins to all lines is the map, whose size the characters bound
+    return lines.join(broadcast_if_small(checkpoint(packed), 64)).withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(each, ""))).drop("glyphs")
+
+
+def evidence(counted: DataFrame, most: int = 5) -> DataFrame:
+    """(glyph, cand, n, place): the replacements with most votes of each glyph, at most `most` of them."""
+    best = counted.groupBy("glyph").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "cand"))), 1, most).alias("x"))
+    return best.select("glyph", F.posexplode("x").alias("k", "x")).select("glyph", "x.cand", (-F.col("x.o")).alias("n"), (F.col("k") + 1).alias("place"))
+
+
+def progress(counted: DataFrame, table: DataFrame) -> DataFrame:
+    """(glyphs_seen, glyphs_confident, glyphs_pending, votes) of a learner: one row."""
+    seen = counted.groupBy("glyph").agg(F.sum("n").alias("n")).join(table.select("glyph", F.lit(1).alias("sure")), "glyph", "left")
+    return seen.agg(F.count("*").alias("glyphs_seen"), F.count("sure").alias("glyphs_confident"), (F.count("*") - F.count("sure")).alias("glyphs_pending"), F.coalesce(F.sum("n"), F.lit(0)).alias("votes"))
+
+
+def coverage_share(covered: DataFrame, most: int = 50) -> DataFrame:
+    """(covered, total, coverage, missing): one row; missing are the most frequent characters that the table lacks.
+
+    covered: as of coverage(), one row a character; the missing ones are picked by a top-k, so no list of all is made.
+    """
+    sums = covered.agg(F.coalesce(F.sum(F.when(F.col("covered"), F.col("n"))), F.lit(0)).alias("covered"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    top = covered.filter(~F.col("covered")).orderBy(F.desc("n"), "glyph").limit(most)
+    missing = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "glyph"))).alias("x")).select(F.transform("x", lambda v: v["glyph"]).alias("missing"))
+    share = F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("covered") / F.col("total"), 4))
+    return sums.join(missing).select("covered", "total", share.alias("coverage"), "missing")
 
 
 def coverage(lines: DataFrame, table: DataFrame) -> DataFrame:

@@ -197,6 +197,30 @@ def positional_support(matches: DataFrame, by: list[str], order: str) -> DataFra
     return held.withColumn("supported", lifted).drop("strong")
 
 
+def separated_by_position(candidates: DataFrame, key: list[str]) -> DataFrame:
+    """(key, ordinal, alternatives): the only candidate inside its window, and how many others there are.
+
+    candidates: (key, ordinal, from_place, to_place). Off by default: matching never calls it.
+    """
+    inside = F.col("ordinal").between(F.col("from_place"), F.col("to_place"))
+    held = candidates.groupBy(*key).agg(F.count_if(inside).alias("inside"), F.max(F.when(inside, F.col("ordinal"))).alias("ordinal"), (F.count("*") - 1).alias("alternatives"))
+    return held.filter("inside = 1").select(*key, "ordinal", "alternatives")
+
+
+def identities(entries: DataFrame) -> DataFrame:
+    """entries with entry_id, source:ordinal#label@page, and key; a missing part reads null."""
+    label = F.when(F.col("label_id") != "", F.col("label_id")).otherwise(F.coalesce("label", F.lit("")))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("source", "ordinal", "page")]
+    held = entries.withColumn("key", F.coalesce(F.nullif(ids.question_key(label, F.lit("")), F.lit("")), label))
+    return held.withColumn("entry_id", F.concat(parts[0], F.lit(":"), parts[1], F.lit("#"), label, F.lit("@"), parts[2]))
+
+
+def described_region(first: Column, last: Column, section: Column) -> Column:
+    """Where to look in the answer book, in words."""
+    where = F.when(first == last, F.concat(F.lit("答案册第 "), first, F.lit(" 页"))).otherwise(F.concat(F.lit("答案册第 "), first, F.lit("–"), last, F.lit(" 页")))
+    return F.when(first.isNull(), F.lit(None)).when(F.coalesce(section, F.lit("")) == "", where).otherwise(F.concat(section, F.lit(" · "), where))
+
+
 def positional_window(ordinal: Column, questions: Column, answers: Column, tolerance: float = 0.06, least: int = 4) -> Column:
     """STRUCT<from, to>: where in the answer index a question of this ordinal is expected; null without a scale."""
     expected = F.floor(ordinal * (answers - 1) / (questions - 1) + 0.5)

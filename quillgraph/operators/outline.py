@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ids
 from quillgraph.functions import textfeat as tf
+from quillgraph.runtime import checkpoint
 
 # Thresholds of the verdict on a level.
 LONGEST_QUESTION, BARE_QUESTIONS, PAGE_MARKERS, MARKERS_AGREE = 8, 20, 10, 0.9
@@ -105,6 +109,31 @@ def id_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def next_sections(frame: pd.DataFrame) -> pd.DataFrame:
+    """(q_doc, a_doc, seq, next_page): where in the answer book the next later section at or above a section's depth begins, behind it.
+
+    Read from the end; of each depth those sections are kept that begin behind all kept before them.
+    """
+    frame = frame.sort_values("seq")
+    kept: dict[int, tuple[list[int], list[int]]] = {}
+    out = []
+    for seq, page, depth in zip(frame["seq"].tolist()[::-1], frame["a_page"].tolist()[::-1], frame["a_depth"].tolist()[::-1]):
+        # the lists run from the farthest section to the nearest, pages falling
+        near = None
+        for of, (seqs, pages) in kept.items():
+            if of <= depth and (k := bisect_left(pages, -page)) > 0 and (near is None or seqs[k - 1] < near[0]):
+                near = seqs[k - 1], -pages[k - 1]
+        out.append((seq, near[1] if near else None))
+        seqs, pages = kept.setdefault(depth, ([], []))
+        while pages and -pages[-1] <= page:
+            seqs.pop()
+            pages.pop()
+        seqs.append(seq)
+        pages.append(-page)
+    head = frame.iloc[0]
+    return pd.DataFrame([(head["q_doc"], head["a_doc"], s, n) for s, n in out], columns=["q_doc", "a_doc", "seq", "next_page"]).astype({"next_page": "Int64"})
+
+
 def section_regions(sections: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
     """The answer region of each asked page: of the aligned sections around it the deepest, then the latest.
 
@@ -115,18 +144,16 @@ def section_regions(sections: DataFrame, pages: DataFrame, docs: DataFrame) -> D
     seq = Window.partitionBy("q_doc", "a_doc").orderBy("q_page", "q_node")
     ordered = sections.filter("q_page > 0 and a_page > 0").withColumn("seq", F.row_number().over(seq))
     answers = docs.select(F.col("doc_id").alias("a_doc"), F.col("num_pages").alias("a_pages")).distinct()
-    depths = ordered.select("q_doc", "a_doc", F.col("a_depth").alias("of")).distinct()
-    # the next later section at or above the depth, of each depth by a window
-    asks = ordered.select("q_doc", "a_doc", "seq", "a_page", "a_depth").join(depths, ["q_doc", "a_doc"]).filter("of <= a_depth")
-    marks = ordered.select("q_doc", "a_doc", "seq", "a_page", F.col("a_depth").alias("of"))
-    after = asks.alias("x").join(marks.alias("y"), (F.col("x.q_doc") == F.col("y.q_doc")) & (F.col("x.a_doc") == F.col("y.a_doc")) & (F.col("x.of") == F.col("y.of")) & (F.col("y.seq") > F.col("x.seq")) & (F.col("y.a_page") > F.col("x.a_page")))
-    bound = after.groupBy("x.q_doc", "x.a_doc", "x.seq").agg(F.min_by("y.a_page", "y.seq").alias("next_page"))
+    ordered = checkpoint(ordered)
+    places = ordered.select("q_doc", "a_doc", "seq", F.col("a_page").cast("long").alias("a_page"), F.col("a_depth").cast("int").alias("a_depth"))
+    bound = places.groupBy("q_doc", "a_doc").applyInPandas(next_sections, "q_doc long, a_doc long, seq long, next_page long")
     held = ordered.join(bound, ["q_doc", "a_doc", "seq"], "left").join(answers, "a_doc", "left")
     end = F.coalesce("a_last", F.col("next_page") - 1, F.when(F.col("a_pages") > 0, F.col("a_pages")), "a_page")
     held = held.withColumns({"from": F.col("a_page"), "to": F.greatest("a_page", end)})
-    last = F.coalesce("q_last", F.col("q_page") + 10_000)
-    buckets = F.explode(F.sequence(F.floor(F.col("q_page") / width), F.floor(F.least(last, F.col("q_page") + 10_000) / width)))
-    spread = held.withColumn("bucket", buckets)
+    # no section goes on beyond the last page that is asked for
+    asked_to = pages.groupBy("q_doc").agg(F.max("page").alias("asked_to"))
+    held = held.join(asked_to, "q_doc").withColumn("until", F.least(F.coalesce("q_last", "asked_to"), "asked_to")).filter("until >= q_page")
+    spread = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("q_page") / width), F.floor(F.col("until") / width))))
     asked = pages.withColumn("bucket", F.floor(F.col("page") / width))
     hit = asked.join(spread, ["q_doc", "bucket"]).filter((F.col("page") >= F.col("q_page")) & (F.col("q_last").isNull() | (F.col("page") <= F.col("q_last"))))
     best = hit.groupBy("q_doc", "a_doc", "page").agg(F.max_by(F.struct("q_node", "from", "to"), F.struct("q_depth", "seq")).alias("b"))

@@ -20,6 +20,8 @@ LEAST_CHARS, CHARS_PER_PAGE, PAGE_COVERAGE, LEAST_PAGES = 200, 20, 0.5, 8
 ALPHABET_LEAST, ALPHABET_SHARE = 250, 0.9
 # What makes a form a running line.
 RUNNING = {"pages": 8, "page_share": 0.05, "edge_share": 0.5, "edge_depth": 2, "page_lines": 5, "length": 4}
+#: Lines of a block, by number.
+BLOCK = 4_096
 QUESTION_PAGES, MARK_SHARE = 4, 0.2
 TOC_LABELS, TOC_SHARE = 4, 0.6
 OFFSET_SUPPORT, OFFSET_AGREEMENT = 20, 0.6
@@ -151,8 +153,14 @@ def segmented_entries(lines: DataFrame) -> DataFrame:
     """
     opened = opening_lines(lines).withColumns({"form": tf.boilerplate_form(F.col("text")), "labelled": tf.carries_label(F.col("text"))})
     running = running_forms(lines).select("doc_id", "form", F.lit(False).alias("labelled"), F.lit(True).alias("running"))
-    book = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = opened.join(running, ["doc_id", "form", "labelled"], "left").withColumn("ordinal", F.sum(F.col("opens").cast("int")).over(book) - 1).filter("ordinal >= 0")
+    # questions before a line: of the blocks before its own by their sums, then within the block, so no book is sorted as a whole
+    opened = opened.withColumns({"opening": F.col("opens").cast("int"), "block": F.floor(F.col("line_no") / BLOCK)})
+    blocks = opened.groupBy("doc_id", "block").agg(F.sum("opening").alias("opening"))
+    before = F.coalesce(F.sum("opening").over(Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("before", before).drop("opening")
+    within = F.sum("opening").over(Window.partitionBy("doc_id", "block").orderBy("line_no"))
+    rows = opened.join(running, ["doc_id", "form", "labelled"], "left").join(blocks, ["doc_id", "block"])
+    rows = rows.withColumn("ordinal", F.col("before") + within - 1).filter("ordinal >= 0").drop("opening", "block", "before")
     first = ids.question_line(F.col("text"))
     sub = ids.sub_question_line(F.col("text"))
     piece = F.when(F.col("opens"), first["body"]).when(F.col("running"), F.lit(None)).when(sub.isNotNull(), sub["body"]).otherwise(F.col("text"))
@@ -168,10 +176,16 @@ def segmented_entries(lines: DataFrame) -> DataFrame:
 
 
 def contents_pages(entries: DataFrame) -> DataFrame:
-    """(doc_id, page) of contents pages: several labels, mostly with leaders to a page number."""
+    """(doc_id, page, labels, n, leaders) of contents pages: several labels, mostly with leaders to a page number."""
     text = F.coalesce("text", F.lit(""))
     pages = entries.groupBy("doc_id", "page").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("n"), F.sum(text.rlike(tf.TOC_ROW).cast("int")).alias("leaders"))
-    return pages.filter((F.col("labels") >= TOC_LABELS) & (F.col("leaders") >= TOC_SHARE * F.col("n"))).select("doc_id", "page")
+    return pages.filter((F.col("labels") >= TOC_LABELS) & (F.col("leaders") >= TOC_SHARE * F.col("n")))
+
+
+def without_contents(entries: DataFrame) -> DataFrame:
+    """entries with `suppressed`: does the entry stand on a contents page; what is suppressed stays visible."""
+    pages = contents_pages(entries).select("doc_id", "page", F.lit(True).alias("suppressed"))
+    return entries.join(pages, ["doc_id", "page"], "left").fillna(False, ["suppressed"])
 
 
 def contents_rows(lines: DataFrame) -> DataFrame:

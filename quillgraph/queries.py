@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph import sqltext as sx
 from quillgraph.functions import ids
 from quillgraph.functions import textfeat as tf
-from quillgraph.operators import audit, entrytext, glyphs, matching, outline, pairs, reconcile, sequence, shred, structure
+from quillgraph.operators import audit, entrytext, evaluate, glyphs, matching, outline, pairs, reconcile, sequence, shred, structure
 from quillgraph.plans import linkage
 from quillgraph.runtime import table
 from quillgraph.sources import lines as lines_source
@@ -674,11 +674,35 @@ def fnv_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "outline").filter("title <> ''").select("doc_id", "title").distinct().withColumn("digest", tf.fnv1a(F.col("title")))
 
 
-@query("binding_states")
+BINDING_SQL = "SELECT q_doc, a_doc, CASE q_doc % 4 WHEN 0 THEN 'BINDING_ABSENT' WHEN 1 THEN 'BINDING_STALE' WHEN 2 THEN 'BINDING_MALFORMED' ELSE 'VALID' END AS state FROM (SELECT * FROM (SELECT doc_id AS q_doc, lead(doc_id) OVER (ORDER BY doc_id) AS a_doc FROM docs) WHERE a_doc IS NOT NULL)"
+
+
+@query("binding_states", BINDING_SQL)
 def binding_states(spark: SparkSession, d: str) -> DataFrame:
     prints = fingerprint(spark, d)
     books = _pairs(spark, d)
-    return pairs.binding_states(pairs.bindings(prints, books), prints, books)
+    return pairs.binding_states(_stored_bindings(prints, books), prints, books)
+
+
+def _stored_bindings(prints: DataFrame, books: DataFrame) -> DataFrame:
+    """Bindings as a user may hold them: none of every fourth book, one of other contents, one without a digest, the others as they are."""
+    rest = F.pmod("q_doc", F.lit(4))
+    stored = pairs.bindings(prints, books).filter(rest != 0)
+    changed = F.when(rest == 1, F.col("a_print").withField("content_digest", F.lit("00000000"))).when(rest == 2, F.col("a_print").withField("id", F.lit(None).cast("string")))
+    return stored.withColumn("a_print", F.coalesce(changed, "a_print"))
+
+
+@query(
+    "bound_verdicts",
+    f"""WITH {VERDICT_SQL}, bs AS ({BINDING_SQL}), r2 AS (SELECT f.q_doc, f.a_doc, CASE WHEN a_role = 'EXERCISE' THEN 'RIGHT_ROLE_INVALID' WHEN q_role = 'ANSWER' THEN 'LEFT_ROLE_INVALID' WHEN a_role = 'UNKNOWN' THEN 'PAIR_IDENTITY_UNKNOWN' WHEN other_year OR other_subject OR (weak AND firm) THEN 'PAIR_IDENTITY_MISMATCH' WHEN weak OR sampled IS NULL THEN CASE WHEN state = 'VALID' THEN 'PAIR_BOUND_MANUALLY' ELSE 'PAIR_IDENTITY_UNKNOWN' END END AS reason
+      FROM facts f LEFT JOIN bs ON bs.q_doc = f.q_doc AND bs.a_doc = f.a_doc)
+    SELECT q_doc, a_doc, CASE WHEN reason IS NULL OR reason = 'PAIR_BOUND_MANUALLY' THEN 'VERIFIED_PAIR' WHEN reason = 'PAIR_IDENTITY_UNKNOWN' THEN 'UNKNOWN_PAIR' ELSE 'REJECTED_PAIR' END AS status, reason FROM r2""",
+)
+def bound_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    entries, books = _entries(spark, d), _pairs(spark, d)
+    sources = entries.groupBy("doc_id").agg(F.bool_and(F.col("source") == "OUTLINE").alias("by_outline"))
+    lines, tree = table(spark, d, "doc_lines"), table(spark, d, "outline")
+    return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, tree), pairs.subjects(lines, tree), pairs.anchors(entries, books), sources, binding_states(spark, d))
 
 
 # Glyphs and audits.
@@ -854,3 +878,200 @@ def glyph_repair(spark: SparkSession, d: str) -> DataFrame:
 @query("linked_questions")
 def linked_questions(spark: SparkSession, d: str) -> DataFrame:
     return linkage.linked(_entries(spark, d), pair_verdict(spark, d), _classified(spark, d), table(spark, d, "docs"), text_gates(spark, d))
+
+
+# What is taken out of indexes and texts, identities, places.
+
+
+@query(
+    "contents_suppressed",
+    f"""WITH {ENTRY_IDS}, tp AS (SELECT doc_id, page FROM e GROUP BY ALL HAVING count(DISTINCT label) >= 4 AND sum(CAST({sx.matches("coalesce(text, '')", tf.TOC_ROW)} AS BIGINT)) >= 0.6 * count(*))
+    SELECT ei.doc_id, id, ordinal, ei.page, tp.page IS NOT NULL AS suppressed FROM ei LEFT JOIN tp ON tp.doc_id = ei.doc_id AND tp.page = ei.page""",
+)
+def contents_suppressed(spark: SparkSession, d: str) -> DataFrame:
+    return structure.without_contents(_entries(spark, d)).select("doc_id", "id", "ordinal", "page", "suppressed")
+
+
+TITLES_SQL = f"""{LEVEL_SQL}, st AS (SELECT doc_id, {sx.trimmed("coalesce(title, '')")} AS title FROM kinds WHERE kind IN ('SECTION', 'BOOK', 'QUESTION_TYPE')),
+    sb AS (SELECT doc_id, title, {sx.trimmed(f"regexp_replace(title, {sx.q(f'^{ids.WS}*[0-9]+([.．][0-9]+)*{ids.WS}*')}, '')")} AS bare FROM st WHERE title <> ''),
+    tf AS (SELECT DISTINCT doc_id, unnest(CASE WHEN length(bare) >= 2 THEN [title, bare] ELSE [title] END) AS form FROM sb)"""
+
+
+def _title_forms(spark: SparkSession, d: str) -> DataFrame:
+    return entrytext.section_title_forms(_classified(spark, d).filter(F.col("kind").isin(*outline.SECTIONS)))
+
+
+@query("section_title_forms", f"WITH {TITLES_SQL} SELECT doc_id, form FROM tf")
+def section_title_forms(spark: SparkSession, d: str) -> DataFrame:
+    return _title_forms(spark, d)
+
+
+@query(
+    "cleaned_entries",
+    f"""WITH {RUNNING_SQL}, {TITLES_SQL}, {ENTRY_IDS}, cp AS (SELECT doc_id, form, 0 AS kind FROM tf UNION ALL SELECT doc_id, form, 1 FROM running WHERE length(form) >= 4),
+    pt AS (SELECT doc_id, list(regexp_replace(regexp_replace(form, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), {sx.q(ids.WS + '+')}, '\\\\s*', 'g') ORDER BY kind, length(form) DESC, regexp_replace(regexp_replace(form, '([.*+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), {sx.q(ids.WS + '+')}, '\\\\s*', 'g')) AS patterns FROM cp GROUP BY doc_id)
+    SELECT ei.doc_id, id, ordinal, {sx.trimmed(f"regexp_replace(list_reduce(list_prepend(coalesce(text, ''), coalesce(patterns, [])), lambda a, p: regexp_replace(a, p, ' ', 'g')), {sx.q(ids.WS + '+')}, ' ', 'g')")} AS text FROM ei LEFT JOIN pt ON pt.doc_id = ei.doc_id""",
+)
+def cleaned_entries(spark: SparkSession, d: str) -> DataFrame:
+    patterns = entrytext.cleaning_patterns(_title_forms(spark, d), structure.running_forms(table(spark, d, "doc_lines")))
+    rows = _entries(spark, d).join(patterns, "doc_id", "left")
+    return rows.select("doc_id", "id", "ordinal", entrytext.without_patterns(F.col("text"), F.col("patterns")).alias("text"))
+
+
+@query(
+    "entry_identities",
+    f"""WITH {ENTRY_IDS}, x AS (SELECT *, CASE WHEN label_id <> '' THEN label_id ELSE coalesce(label, '') END AS name FROM ei)
+    SELECT doc_id, coalesce(source, 'null') || ':' || coalesce(CAST(ordinal AS VARCHAR), 'null') || '#' || name || '@' || coalesce(CAST(page AS VARCHAR), 'null') AS entry_id, CASE WHEN {sx.normalize_id('name')} <> '' THEN {sx.normalize_id('name')} ELSE name END AS key FROM x""",
+)
+def entry_identities(spark: SparkSession, d: str) -> DataFrame:
+    return matching.identities(_entries(spark, d)).select("doc_id", "entry_id", "key")
+
+
+@query(
+    "separated_by_position",
+    f"""WITH {ENTRY_IDS}, w AS ({SQL['positional_window']}), c AS (SELECT w.q_doc, w.a_doc, q.ordinal AS q_ordinal, q.label_id, a.ordinal, from_place, to_place FROM w JOIN (SELECT DISTINCT doc_id, ordinal, label_id FROM ei WHERE label_id <> '') q ON q.doc_id = w.q_doc AND q.ordinal = w.ordinal JOIN ei a ON a.doc_id = w.a_doc AND a.label_id = q.label_id)
+    SELECT q_doc, a_doc, q_ordinal, label_id, max(ordinal) FILTER (ordinal BETWEEN from_place AND to_place) AS ordinal, count(*) - 1 AS alternatives FROM c GROUP BY ALL HAVING count(*) FILTER (ordinal BETWEEN from_place AND to_place) = 1""",
+)
+def separated_by_position(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d).filter("label_id <> ''")
+    asked = entries.select(F.col("doc_id").alias("q_doc"), F.col("ordinal").alias("q_ordinal"), "label_id").distinct()
+    windows = positional_window(spark, d).withColumnRenamed("ordinal", "q_ordinal")
+    rows = windows.join(asked, ["q_doc", "q_ordinal"]).join(entries.select(F.col("doc_id").alias("a_doc"), "label_id", "ordinal"), ["a_doc", "label_id"])
+    return matching.separated_by_position(rows, ["q_doc", "a_doc", "q_ordinal", "label_id"])
+
+
+@query(
+    "region_texts",
+    f"""WITH {PLACED_SQL} SELECT q_doc, a_doc, page, {sx.trimmed("coalesce(title, '')")} AS section, CASE WHEN {sx.trimmed("coalesce(title, '')")} = '' THEN '' ELSE {sx.trimmed("coalesce(title, '')")} || ' · ' END || CASE WHEN from_page = to_page THEN '答案册第 ' || from_page || ' 页' ELSE '答案册第 ' || from_page || '–' || to_page || ' 页' END AS words
+    FROM hit JOIN (SELECT doc_id, node_id, title FROM kinds) t ON t.doc_id = q_doc AND t.node_id = q_node WHERE k = 1""",
+)
+def region_texts(spark: SparkSession, d: str) -> DataFrame:
+    titles = _classified(spark, d).select(F.col("doc_id").alias("q_doc"), F.col("node_id").alias("q_node"), ids.trimmed(F.coalesce("title", F.lit(""))).alias("section"))
+    return region_locate(spark, d).join(titles, ["q_doc", "q_node"]).select("q_doc", "a_doc", "page", "section", matching.described_region(F.col("from_page"), F.col("to_page"), F.col("section")).alias("words"))
+
+
+# Measures.
+
+#: Where a label stands in both books of a pair, if it stands once in either.
+TRUTH_SQL = f"""{ENTRY_IDS}, {sx.PAIRS}, one AS (SELECT doc_id, label_id, min(page) AS f, max(coalesce(end_page, page)) AS t FROM ei WHERE label_id <> '' GROUP BY ALL HAVING count(*) = 1),
+    tr AS (SELECT q_doc, a_doc, x.label_id AS label, x.f AS q_from, x.t AS q_to, y.f AS a_from, y.t AS a_to FROM pairs JOIN one x ON x.doc_id = q_doc JOIN one y ON y.doc_id = a_doc AND y.label_id = x.label_id)"""
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d).filter("label_id <> ''")
+    once = entries.groupBy("doc_id", F.col("label_id").alias("label")).agg(F.min("page").alias("f"), F.max(F.coalesce("end_page", "page")).alias("t"), F.count("*").alias("n")).filter("n = 1")
+    left, right = (once.select(F.col("doc_id").alias(f"{s}_doc"), "label", F.col("f").alias(f"{s}_from"), F.col("t").alias(f"{s}_to")) for s in ("q", "a"))
+    return _pairs(spark, d).join(left, "q_doc").join(right, ["a_doc", "label"])
+
+
+MATCHED_SQL = "mt AS (SELECT q_doc, a_doc, x.label_id AS label, x.page AS q_page, y.page AS a_page FROM pairs JOIN ei x ON x.doc_id = q_doc JOIN ei y ON y.doc_id = a_doc AND y.label_id = x.label_id WHERE x.label_id <> '')"
+
+
+def _label_matches(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d).filter("label_id <> ''")
+    left, right = (entries.select(F.col("doc_id").alias(f"{s}_doc"), F.col("label_id").alias("label"), F.col("page").alias(f"{s}_page")) for s in ("q", "a"))
+    return _pairs(spark, d).join(left, "q_doc").join(right, ["a_doc", "label"])
+
+
+@query(
+    "regime_metrics",
+    f"""WITH {TRUTH_SQL}, {MATCHED_SQL}, j AS (SELECT mt.*, coalesce(q_page BETWEEN q_from AND q_to, false) AS known, coalesce(a_page BETWEEN a_from AND a_to, false) AS there FROM mt LEFT JOIN tr USING (q_doc, a_doc, label)),
+    c AS (SELECT q_doc, a_doc, count(*) AS accepted, count(*) FILTER (known AND there) AS confirmed, count(*) FILTER (known AND NOT there) AS wrong_page, count(*) FILTER (NOT known) AS unidentifiable, count(DISTINCT CASE WHEN known AND there THEN label END) AS "distinct" FROM j GROUP BY ALL),
+    g AS (SELECT q_doc, a_doc, count(DISTINCT label) AS gold FROM tr GROUP BY ALL), f AS (SELECT coalesce(c.q_doc, g.q_doc) AS q_doc, coalesce(c.a_doc, g.a_doc) AS a_doc, coalesce(accepted, 0) AS accepted, coalesce(confirmed, 0) AS confirmed, coalesce(wrong_page, 0) AS wrong_page, coalesce(unidentifiable, 0) AS unidentifiable, coalesce("distinct", 0) AS "distinct", coalesce(gold, 0) AS gold FROM c FULL JOIN g ON c.q_doc = g.q_doc AND c.a_doc = g.a_doc)
+    SELECT *, round(CASE WHEN accepted > 0 THEN confirmed / accepted END, 6) AS strict, round(CASE WHEN gold > 0 THEN "distinct" / gold END, 6) AS recall FROM f""",
+)
+def regime_metrics(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.regime_metrics(_label_matches(spark, d), _truth(spark, d), ["q_doc", "a_doc"])
+    return out.withColumns({c: F.round(c, 6) for c in ("strict", "recall")})
+
+
+@query(
+    "slow_share",
+    """WITH v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL)
+    SELECT user_id, n, max(CASE WHEN k = CAST(floor(n * 0.95) AS BIGINT) THEN value END) AS p95, max(value) AS most FROM v GROUP BY user_id, n""",
+)
+def slow_share(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.slow_share(table(spark, d, "events"), ["user_id"], "value")
+
+
+@query(
+    "located_metrics",
+    f"""WITH {TRUTH_SQL}, {MATCHED_SQL}, hits AS (SELECT q_doc, a_doc, label, q_page, list(a_page) AS a_pages, count(*) AS n FROM mt GROUP BY ALL),
+    qs AS (SELECT DISTINCT q_doc, a_doc, label_id AS label, page AS q_page FROM pairs JOIN ei ON doc_id = q_doc WHERE label_id <> ''),
+    rs AS (SELECT qs.*, coalesce(a_pages, []) AS a_pages, CASE WHEN n = 1 THEN 'AUTO_MATCH' WHEN n <= 5 THEN 'REVIEW' WHEN qs.q_page % 2 = 0 THEN 'LOCATED' ELSE 'REFUSED' END AS rung, qs.q_page - 1 AS from_page, qs.q_page + 1 AS to_page FROM qs LEFT JOIN hits ON hits.q_doc = qs.q_doc AND hits.a_doc = qs.a_doc AND hits.label = qs.label AND hits.q_page IS NOT DISTINCT FROM qs.q_page),
+    rc AS (SELECT DISTINCT q_doc, a_doc, tr.label, true AS reachable FROM tr JOIN ei ON doc_id = a_doc AND page <= a_to AND coalesce(end_page, page) >= a_from),
+    j AS (SELECT rs.*, a_from, coalesce(q_page BETWEEN q_from AND q_to, false) AS known, len(list_filter(a_pages, lambda p: p BETWEEN a_from AND a_to)) > 0 AS hit, coalesce(a_from BETWEEN from_page AND to_page, false) AS there, coalesce(reachable, false) AS reachable FROM rs LEFT JOIN tr USING (q_doc, a_doc, label) LEFT JOIN rc USING (q_doc, a_doc, label))
+    SELECT q_doc, a_doc, count(*) FILTER (known AND rung = 'AUTO_MATCH') AS auto, count(*) FILTER (known AND rung = 'AUTO_MATCH' AND hit) AS auto_correct, count(*) FILTER (known AND rung = 'REVIEW') AS review, count(*) FILTER (known AND rung = 'REVIEW' AND hit) AS review_hit, count(*) FILTER (known AND rung = 'LOCATED') AS located, count(*) FILTER (known AND rung = 'LOCATED' AND there) AS located_correct,
+      count(*) FILTER (known AND rung = 'REFUSED') AS refused, count(*) FILTER (known AND rung = 'REFUSED' AND reachable) AS recoverable, count(*) FILTER (known AND rung = 'REFUSED' AND NOT reachable) AS irreducible, count(*) FILTER (NOT known) AS unidentifiable FROM j GROUP BY ALL""",
+)
+def located_metrics(spark: SparkSession, d: str) -> DataFrame:
+    key = ["q_doc", "a_doc", "label", "q_page"]
+    entries = _entries(spark, d)
+    asked = _pairs(spark, d).join(entries.filter("label_id <> ''").select(F.col("doc_id").alias("q_doc"), F.col("label_id").alias("label"), F.col("page").alias("q_page")), "q_doc").select(*key).distinct()
+    hits = _label_matches(spark, d).groupBy(*key).agg(F.collect_list("a_page").alias("a_pages"), F.count("*").alias("n")).withColumnsRenamed({c: f"h_{c}" for c in key})
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"h_{c}"))
+    rung = F.when(F.col("n") == 1, "AUTO_MATCH").when(F.col("n") <= 5, "REVIEW").when(F.col("q_page") % 2 == 0, "LOCATED").otherwise("REFUSED")
+    rows = asked.join(hits, same, "left").select(*key, F.coalesce("a_pages", F.array().cast("array<int>")).alias("a_pages"), rung.alias("rung"), (F.col("q_page") - 1).alias("from_page"), (F.col("q_page") + 1).alias("to_page"))
+    answers = _pairs(spark, d).join(entries.select(F.col("doc_id").alias("a_doc"), "page", "end_page"), "a_doc")
+    return evaluate.located_metrics(rows, _truth(spark, d), answers, ["q_doc", "a_doc"])
+
+
+@query("outline_truncated", "SELECT doc_id, node_id, depth, CASE WHEN depth = 1 THEN 0 ELSE child_count END AS child_count FROM (SELECT DISTINCT doc_id, node_id, depth, title, page, end_page, child_count FROM outline) WHERE depth < 2")
+def outline_truncated(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.truncated(table(spark, d, "outline").select("doc_id", "node_id", "depth", "title", "page", "end_page", "child_count").distinct()).select("doc_id", "node_id", "depth", "child_count")
+
+
+@query(
+    "page_only",
+    f"""WITH {PLACED_SQL}, {TRUTH_SQL.replace(sx.PAIRS + ', ', '').replace('FROM pairs', 'FROM op')}, qp AS (SELECT DISTINCT q_doc, a_doc, label_id AS label, page FROM op JOIN ei ON doc_id = q_doc WHERE label_id <> '' AND page IS NOT NULL),
+    rg1 AS (SELECT q_doc, a_doc, page, from_page, to_page FROM hit WHERE k = 1), p AS (SELECT q_doc, a_doc, count(*) AS pages, count(from_page) AS with_region FROM (SELECT DISTINCT q_doc, a_doc, page FROM qp) LEFT JOIN rg1 USING (q_doc, a_doc, page) GROUP BY ALL),
+    c AS (SELECT q_doc, a_doc, count(*) AS covered, count(*) FILTER (a_from BETWEEN from_page AND to_page) AS correct, count(DISTINCT CASE WHEN a_from BETWEEN from_page AND to_page THEN label END) AS "distinct" FROM qp JOIN rg1 USING (q_doc, a_doc, page) JOIN tr USING (q_doc, a_doc, label) GROUP BY ALL)
+    SELECT p.q_doc, p.a_doc, pages, with_region, coalesce(covered, 0) AS covered, coalesce(correct, 0) AS correct, coalesce("distinct", 0) AS "distinct" FROM p LEFT JOIN c ON c.q_doc = p.q_doc AND c.a_doc = p.a_doc""",
+)
+def page_only(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d).filter("label_id <> ''")
+    books = _outline_pairs(spark, d)
+    asked = books.join(entries.filter("page is not null").select(F.col("doc_id").alias("q_doc"), F.col("label_id").alias("label"), "page"), "q_doc").distinct()
+    once = entries.groupBy("doc_id", F.col("label_id").alias("label")).agg(F.min("page").alias("f"), F.count("*").alias("n")).filter("n = 1")
+    both = books.join(once.select(F.col("doc_id").alias("q_doc"), "label"), "q_doc").join(once.select(F.col("doc_id").alias("a_doc"), "label", F.col("f").alias("a_from")), ["a_doc", "label"])
+    return evaluate.page_only(region_locate(spark, d).select("q_doc", "a_doc", "page", "from_page", "to_page"), asked, both, ["q_doc", "a_doc"])
+
+
+@query(
+    "corpus_summary",
+    f"""WITH {sx.LINES}, o AS (SELECT DISTINCT doc_id, node_id, title, page FROM outline), r AS (SELECT doc_id, count(*) AS lines, sum(length(coalesce(text, ''))) AS chars, sum({sx.count("coalesce(text, '')", evaluate.HAN)}) AS han FROM (SELECT DISTINCT doc_id, line_no, text FROM lines) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS outline, count(*) FILTER ({sx.matches("coalesce(title, '')", evaluate.EXAMPLE_TITLE)}) AS examples, count(*) FILTER (page IS NULL) AS unresolved FROM o GROUP BY doc_id), b AS (SELECT doc_id, max(num_pages) AS pages FROM docs GROUP BY doc_id)
+    SELECT b.doc_id, pages, coalesce(lines, 0) AS lines, CAST(coalesce(chars, 0) AS BIGINT) AS chars, CASE WHEN coalesce(chars, 0) > 0 THEN round(100 * han / chars, 2) ELSE 0.0 END AS han_percent, coalesce(outline, 0) AS outline, coalesce(examples, 0) AS examples, coalesce(unresolved, 0) AS unresolved FROM b LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)""",
+)
+def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.corpus_summary(table(spark, d, "doc_lines"), table(spark, d, "outline"), table(spark, d, "docs"))
+
+
+@query(
+    "break_examples",
+    """WITH r AS (SELECT user_id, event_type, dense_rank() OVER (ORDER BY event_type) AS rk, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    b AS (SELECT user_id, k, lag(rk) OVER (PARTITION BY user_id ORDER BY k) AS last, rk AS rank FROM r)
+    SELECT user_id, k, last, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS place FROM b WHERE rank < last) WHERE place <= 5""",
+)
+def break_examples(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    kinds = events.select("event_type").distinct().withColumn("rk", F.dense_rank().over(Window.orderBy("event_type")))
+    return audit.break_examples(events.join(kinds, "event_type"), ["user_id"], ["ts", "event_id"], "rk").select("user_id", "k", "last", "rank")
+
+
+@query("glyph_evidence")
+def glyph_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.evidence(glyphs.votes(_ciphered(spark, d)))
+
+
+@query("glyph_progress")
+def glyph_progress(spark: SparkSession, d: str) -> DataFrame:
+    counted = glyphs.votes(_ciphered(spark, d))
+    return glyphs.progress(counted, glyphs.glyph_table(counted))
+
+
+@query("glyph_share")
+def glyph_share(spark: SparkSession, d: str) -> DataFrame:
+    return glyphs.coverage_share(glyph_coverage(spark, d))
