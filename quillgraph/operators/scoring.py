@@ -7,14 +7,17 @@ block of questions is held against a block of entries without a join a token.
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import textfeat as tf
+from quillgraph.runtime import checkpoint
 
 #: Questions that are held against entries at once, and token places at once.
 ROWS, MOST_TOKENS = 64, 4_000_000
@@ -112,3 +115,56 @@ def score_rows(left: Side, right: Side) -> np.ndarray:
     math = np.where(enough, tf.SYMBOL_SHARE * context + (1 - tf.SYMBOL_SHARE) * fragments, fragments)
     without = (left.formulas == "")[:, None] | (right.formulas == "")[None, :]
     return np.where(without, prose, tf.MATH_WEIGHT * math + (1 - tf.MATH_WEIGHT) * prose)
+
+
+#: The most bytes of query texts that a task holds at once; more queries come in further passes.
+MOST_QUERY_BYTES = 16 * 1024 * 1024
+
+
+def top_similar(queries: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(q, t, shared, similarity, k): of each query (q, text) the most similar texts (t, text) by the Dice coefficient of their bigrams.
+
+    Every query is held against every text; a task keeps its own best ones, so
+    what is shuffled is as many rows as there are queries and tasks. Ties fall to
+    the smaller t; a text that shares no bigram is not listed. q and t are numbers.
+    """
+    held = queries.select("q", tf.normalize_for_match(F.col("text")).alias("norm")).filter("length(norm) > 1").distinct()
+    held = checkpoint(held)
+    size = held.agg(F.sum(F.length("norm") * 12)).first()[0] or 0
+    slices = max(1, -(-int(size) // MOST_QUERY_BYTES))
+    spark = queries.sparkSession
+    norms = texts.select("t", tf.normalize_for_match(F.col("text")).alias("norm")).filter("t is not null and length(norm) > 1")
+    out: DataFrame | None = None
+    for k in range(slices):
+        own = held.filter(F.pmod(F.xxhash64("q"), F.lit(slices)) == k).orderBy("q").toArrow()
+        found = norms.mapInArrow(best_of(spark.sparkContext.broadcast((own["q"].to_pylist(), own["norm"].to_pylist())), most), "q long, t long, shared long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.round("similarity", 9).desc(), "t"))
+    return out.distinct().withColumn("k", place).filter(F.col("k") <= most)
+
+
+def best_of(shared: Any, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For a task: the best texts of each query among its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, norms = shared.value
+        left = [numbered(bigram_codes(t)) for t in norms]
+        size = np.array([len(x) for x in left], dtype=np.int64)[:, None]
+        # similarity, text and shared tokens of the best so far
+        best = [np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64), np.zeros((len(names), 0))]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                ids, texts = (batch.column(c).slice(at, 500).to_pylist() for c in ("t", "norm"))
+                right = [numbered(bigram_codes(t)) for t in texts]
+                counts = shared_counts(left, right)
+                similar = 2.0 * counts / (size + np.array([len(x) for x in right], dtype=np.int64)[None, :])
+                joined = [np.concatenate([a, b], axis=1) for a, b in zip(best, (similar, np.broadcast_to(np.array(ids, dtype=np.int64), counts.shape), counts))]
+                # a text that stands twice is listed once, so one place more is kept for each
+                order = np.lexsort((joined[1], -np.round(joined[0], 9)), axis=1)[:, : 4 * most]
+                best = [np.take_along_axis(x, order, axis=1) for x in joined]
+        rows = sorted({(names[i], int(t), int(n), float(s)) for i in range(len(names)) for s, t, n in zip(*(x[i] for x in best)) if n > 0})
+        columns = list(zip(*rows)) if rows else [(), (), (), ()]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["q", "t", "shared", "similarity"])
+
+    return run

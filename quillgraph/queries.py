@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph import sqltext as sx
 from quillgraph.functions import ids
 from quillgraph.functions import textfeat as tf
-from quillgraph.operators import audit, entrytext, evaluate, glyphs, matching, outline, pairs, reconcile, sequence, shred, structure
+from quillgraph.operators import audit, entrytext, evaluate, glyphs, matching, outline, pairs, reconcile, scoring, sequence, shred, structure
 from quillgraph.plans import linkage
 from quillgraph.runtime import table
 from quillgraph.sources import lines as lines_source
@@ -377,17 +377,17 @@ def page_interval_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 DICE_SQL = f"""
-    l AS (SELECT item_id, {sx.normalize_for_match('text')} AS norm FROM benchmark), r AS (SELECT a_item, {sx.normalize_for_match('text')} AS norm FROM (SELECT item_id AS a_item, text FROM benchmark)),
-    lg AS (SELECT item_id, gram, length(norm) - 1 AS total, count(*) AS n FROM (SELECT item_id, norm, unnest({sx.bigrams('norm')}) AS gram FROM l) GROUP BY ALL), rg AS (SELECT a_item, gram, length(norm) - 1 AS total, count(*) AS n FROM (SELECT a_item, norm, unnest({sx.bigrams('norm')}) AS gram FROM r) GROUP BY ALL),
-    sim AS (SELECT item_id, a_item, CAST(sum(least(lg.n, rg.n)) AS BIGINT) AS shared, 2.0 * sum(least(lg.n, rg.n)) / (lg.total + rg.total) AS similarity FROM lg JOIN rg USING (gram) GROUP BY item_id, a_item, lg.total, rg.total)"""
+    l AS (SELECT DISTINCT item_id, {sx.normalize_for_match('text')} AS norm FROM benchmark), r AS (SELECT DISTINCT doc_id, {sx.normalize_for_match('text')} AS norm FROM documents WHERE text <> ''),
+    lg AS (SELECT item_id, gram, length(norm) - 1 AS total, count(*) AS n FROM (SELECT item_id, norm, unnest({sx.bigrams('norm')}) AS gram FROM l) GROUP BY ALL), rg AS (SELECT doc_id, gram, length(norm) - 1 AS total, count(*) AS n FROM (SELECT doc_id, norm, unnest({sx.bigrams('norm')}) AS gram FROM r) GROUP BY ALL),
+    sim AS (SELECT item_id, doc_id, CAST(sum(least(lg.n, rg.n)) AS BIGINT) AS shared, 2.0 * sum(least(lg.n, rg.n)) / (lg.total + rg.total) AS similarity FROM lg JOIN rg USING (gram) GROUP BY item_id, doc_id, lg.total, rg.total)"""
 
 
-@query("dice_topk", f"WITH {DICE_SQL} SELECT item_id, a_item, shared, round(similarity, 6) AS similarity, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, a_item) AS k FROM sim WHERE item_id <> a_item) WHERE k <= 5")
+@query("dice_topk", f"WITH {DICE_SQL} SELECT item_id, doc_id, shared, round(similarity, 6) AS similarity, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, doc_id) AS k FROM sim) WHERE k <= 5")
 def dice_topk(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select("item_id", "text").distinct()
-    met = matching.gram_similarity(items, items.withColumnRenamed("item_id", "a_item"), "item_id", "a_item").filter("item_id <> a_item")
-    ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("similarity", 9).desc(), "a_item")))
-    return ranked.filter("k <= 5").withColumn("similarity", F.round("similarity", 6))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("t"), "text")
+    found = scoring.top_similar(items, texts, 5)
+    return found.select(F.col("q").alias("item_id"), F.col("t").alias("doc_id"), "shared", F.round("similarity", 6).alias("similarity"), "k")
 
 
 def _same_label(spark: SparkSession, d: str) -> DataFrame:

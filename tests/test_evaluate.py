@@ -122,3 +122,21 @@ def test_empty_measures(spark):
     assert evaluate.slow_share(none, ["b"], "v").count() == 0
     some = spark.createDataFrame([(1, k) for k in range(100)] + [(2, None)], "b long, v int")
     assert [tuple(r) for r in evaluate.slow_share(some, ["b"], "v").collect()] == [(1, 100, 95, 99)]
+
+
+def test_top_similar_equals_the_join(spark, monkeypatch):
+    rng = random.Random(9)
+    words = "limit series matrix 函数 极限 kernel f(x)=3x+1".split()
+    texts = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randrange(0, 6)))) for k in range(60)] + [(3, "x"), (70, None), (None, "limit")], "t long, text string").repartition(3)
+    queries = spark.createDataFrame([(k, " ".join(rng.choices(words, k=3))) for k in range(7)] + [(9, ""), (8, None)], "q long, text string")
+    met = matching.gram_similarity(queries, texts.filter("t is not null"), "q", "t")
+    want: dict[int, list] = {}
+    for r in met.collect():
+        want.setdefault(r.q, []).append((-round(r.similarity, 9), r.t, r.shared))
+    want = {q: sorted(x)[:4] for q, x in want.items()}
+    for bytes_ in (scoring.MOST_QUERY_BYTES, 200):
+        monkeypatch.setattr(scoring, "MOST_QUERY_BYTES", bytes_)
+        got: dict[int, list] = {}
+        for r in scoring.top_similar(queries, texts, 4).collect():
+            got.setdefault(r.q, []).append((-round(r.similarity, 9), r.t, r.shared))
+        assert {q: sorted(x) for q, x in got.items()} == want
