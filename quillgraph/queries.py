@@ -14,6 +14,7 @@ from quillgraph.operators import audit, entrytext, evaluate, glyphs, matching, o
 from quillgraph.plans import linkage
 from quillgraph.runtime import table
 from quillgraph.sources import lines as lines_source
+from quillgraph.streaming import glyph_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1075,3 +1076,16 @@ def glyph_progress(spark: SparkSession, d: str) -> DataFrame:
 @query("glyph_share")
 def glyph_share(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.coverage_share(glyph_coverage(spark, d))
+
+
+# Streams, each drained over what is there and held against the same rows read at once.
+
+
+@query(
+    "stream_labels",
+    f"""SELECT doc_id, CAST(floor(epoch(read_at) / 600) * 600 AS BIGINT) AS start, count(*) AS n FROM (SELECT DISTINCT doc_id, line_no, text, read_at FROM doc_lines WHERE read_at IS NOT NULL) WHERE {sx.is_question_line('text')} GROUP BY ALL""",
+)
+def stream_labels(spark: SparkSession, d: str) -> DataFrame:
+    lines = glyph_stream.lines_stream(spark, f"{d}/doc_lines.parquet").filter("doc_id is not null and line_no is not null and read_at is not null")
+    rows = glyph_stream.drained(glyph_stream.labelled_lines(lines))
+    return rows.groupBy("doc_id", F.window("read_at", "10 minutes").alias("w")).agg(F.count("*").alias("n")).select("doc_id", F.unix_timestamp("w.start").alias("start"), "n")

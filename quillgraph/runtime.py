@@ -68,6 +68,11 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a compressed table into the shared folder and read it again.
 
@@ -76,9 +81,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillgraph-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    held = jvm.org.apache.hadoop.fs.Path(path)
-    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
