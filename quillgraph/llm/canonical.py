@@ -136,14 +136,6 @@ def digest(c: Column, salt: int) -> Column:
     return F.xxhash64(F.lit(salt), c)
 
 
-#: Parts in which the documents of one form are expanded.
-SALTS = 16
-
-
-def salt_of(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
-
-
 def field_forms(documents: DataFrame, fields: list[str]) -> DataFrame:
     """(field, doc_id, c1, c2, raw): 128-bit digests of the canonical form of each value and 64-bit ones of the stored form."""
     known: dict[str, str] = {}
@@ -186,8 +178,7 @@ def lookalikes(documents: DataFrame, fields: list[str]) -> DataFrame:
     """(field, doc_id_a, doc_id_b): fields that look the same and are not the same string.
 
     The stored forms of a class are paired, and only then expanded into their
-    documents, so equal strings never meet. The documents of a frequent form are
-    spread over salts where a pair of forms is expanded first.
+    documents, so equal strings never meet.
     """
     values = checkpoint(field_forms(documents, fields))
     key = ["field", "c1", "c2"]
@@ -196,7 +187,7 @@ def lookalikes(documents: DataFrame, fields: list[str]) -> DataFrame:
     members = checkpoint(values.join(broadcast_if_small(checkpoint(mixed), 48), key, "left_semi").distinct())
     own = members.select(*key, "raw").distinct()
     pairs = own.withColumnRenamed("raw", "x").join(own.withColumnRenamed("raw", "y"), key).filter("x < y")
-    salted = checkpoint(pairs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = salted.join(members.withColumnsRenamed({"raw": "x", "doc_id": "i"}).withColumn("salt", salt_of("i")), [*key, "x", "salt"])
+    # few pairs of forms meet their documents where those lie; many are joined by shuffles, whose skewed parts are split
+    left = members.withColumnsRenamed({"raw": "x", "doc_id": "i"}).join(broadcast_if_small(checkpoint(pairs), 56), [*key, "x"])
     out = left.join(members.withColumnsRenamed({"raw": "y", "doc_id": "j"}), [*key, "y"]).filter("i <> j")
     return out.select("field", F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b")).distinct()
