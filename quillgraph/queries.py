@@ -1089,3 +1089,32 @@ def stream_labels(spark: SparkSession, d: str) -> DataFrame:
     lines = glyph_stream.lines_stream(spark, f"{d}/doc_lines.parquet").filter("doc_id is not null and line_no is not null and read_at is not null")
     rows = glyph_stream.drained(glyph_stream.labelled_lines(lines))
     return rows.groupBy("doc_id", F.window("read_at", "10 minutes").alias("w")).agg(F.count("*").alias("n")).select("doc_id", F.unix_timestamp("w.start").alias("start"), "n")
+
+
+# Layers and caches.
+
+
+@query(
+    "layer_or_ocr",
+    f"""WITH {sx.LINES}, l AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY line_no) AS own FROM lines WHERE text IS NOT NULL AND page % 3 <> 0 GROUP BY ALL), o AS (SELECT doc_id, page, string_agg('# ' || text, ' ' ORDER BY line_no) AS read FROM lines WHERE text IS NOT NULL AND page % 2 = 0 GROUP BY ALL),
+    b AS (SELECT coalesce(l.doc_id, o.doc_id) AS doc_id, coalesce(l.page, o.page) AS page, own, read, trim(coalesce(own, '')) <> '' AS has FROM l FULL JOIN o ON l.doc_id = o.doc_id AND l.page = o.page)
+    SELECT doc_id, page, CASE WHEN has THEN own ELSE read END AS text, CASE WHEN has THEN 'LAYER' WHEN read IS NOT NULL THEN 'OCR' ELSE 'NONE' END AS origin FROM b""",
+)
+def layer_or_ocr(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of which two thirds have a text layer and the even ones OCR, marked by a sign."""
+    held = _lines(spark, d).filter("page is not null")
+    return lines_source.layer_or_ocr(held.filter("page % 3 <> 0"), held.filter("page % 2 = 0").withColumn("text", F.concat(F.lit("# "), "text")))
+
+
+@query(
+    "cache_figures",
+    f"""WITH {sx.LINES}, b AS (SELECT doc_id, greatest(coalesce(max(num_pages), 0), 0) AS pages FROM docs GROUP BY doc_id), h AS (SELECT *, length(coalesce(text, '')) AS chars FROM lines),
+    p AS (SELECT h.doc_id, page, CAST(sum(chars) AS BIGINT) AS chars FROM h JOIN b ON b.doc_id = h.doc_id WHERE page BETWEEN 1 AND pages GROUP BY ALL),
+    s AS (SELECT doc_id, list_sort(list(chars)) AS x, count(*) FILTER (chars > 0) AS pages_with_text, count(*) FILTER (chars > 0 AND chars < 20) AS thin FROM p GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS lines FROM h GROUP BY doc_id),
+    k AS (SELECT doc_id, line_no // 256 AS block, sha256(string_agg(line_no || chr(9) || coalesce(text, ''), chr(10) ORDER BY line_no, coalesce(text, ''))) AS d FROM h GROUP BY ALL), d AS (SELECT doc_id, sha256(string_agg(d, '' ORDER BY block)) AS checksum FROM k GROUP BY doc_id),
+    f AS (SELECT b.doc_id, pages, coalesce(lines, 0) AS lines, coalesce(pages_with_text, 0) AS pages_with_text, CASE WHEN pages > 0 THEN round(coalesce(pages_with_text, 0) / pages, 4) ELSE 0.0 END AS coverage, coalesce(x[len(x) // 2 + 1], 0) AS median, coalesce(thin, 0) AS thin, checksum FROM b LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)),
+    g AS (SELECT *, list_filter([CASE WHEN pages_with_text < pages THEN 'EMPTY_PAGES' END, CASE WHEN lines = 0 THEN 'NO_LINES' END, CASE WHEN median < 40 THEN 'LOW_MEDIAN' END], lambda p: p IS NOT NULL) AS found FROM f)
+    SELECT doc_id, pages, lines, pages_with_text, coverage, median, thin, checksum, array_to_string(found, ',') AS problems, len(found) = 0 AS complete FROM g""",
+)
+def cache_figures(spark: SparkSession, d: str) -> DataFrame:
+    return lines_source.cache_figures(table(spark, d, "doc_lines"), table(spark, d, "docs"))

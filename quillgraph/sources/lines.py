@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.ids import WS
-from quillgraph.operators.structure import book_lines
+from quillgraph.operators.pairs import needs_recognizer
+from quillgraph.operators.structure import book_lines, text_quality
 
 # Tolerances, in points or shares of a height, of what stands on one line.
 BASELINE, SMALL, NEAR, GAP, OVERLAP = 2.5, 0.8, 0.7, 0.4, 0.5
@@ -88,6 +89,22 @@ def recognised(pages: DataFrame, recognise, budget: int = 400) -> DataFrame:
     return pages.filter(F.col("page").between(1, budget)).select("doc_id", "page").mapInPandas(run, "doc_id long, page int, line_no long, text string, failed boolean")
 
 
+def recognition_verdicts(read: DataFrame, docs: DataFrame, budget: int = 400) -> DataFrame:
+    """(doc_id, pages_asked, pages_read, pages_failed, quality, usable) of recognised books.
+
+    read: as of recognised(). The text is judged anew over the pages that were
+    asked for; a book is usable if a page was read and its text needs no further recogniser.
+    """
+    asked = docs.groupBy("doc_id").agg(F.least(F.greatest(F.coalesce(F.max("num_pages"), F.lit(0)), F.lit(0)), F.lit(budget)).alias("num_pages"))
+    counts = read.groupBy("doc_id").agg(F.count_distinct(F.when(~F.col("failed"), F.col("page"))).alias("pages_read"), F.count_distinct(F.when(F.col("failed"), F.col("page"))).alias("pages_failed"))
+    none = F.lit(None).cast("double")
+    lines = read.filter("not failed").select("doc_id", (F.col("page").cast("long") * 1_000_000 + F.col("line_no")).alias("line_no"), "page", "text", none.alias("top"), none.alias("bottom"))
+    quality = text_quality(lines, asked).select("doc_id", "quality")
+    out = asked.join(counts, "doc_id", "left").fillna(0, ["pages_read", "pages_failed"]).join(quality, "doc_id", "left")
+    usable = (F.col("pages_read") > 0) & ~needs_recognizer(F.col("quality"))
+    return out.select("doc_id", F.col("num_pages").alias("pages_asked"), "pages_read", "pages_failed", "quality", usable.alias("usable"))
+
+
 def layer_or_ocr(layer: DataFrame, ocr: DataFrame) -> DataFrame:
     """(doc_id, page, text, origin) of pages: the text layer where it has text, else OCR, else none."""
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -124,6 +141,42 @@ def write_cache(lines: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     return figures
 
 
+def cache_figures(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, pages, lines, pages_with_text, coverage, median, thin, checksum, problems, complete) of each book to be cached.
+
+    The median is the upper one over the pages that have lines; problems name what
+    a complete cache must not have. The checksum is taken over blocks of lines, then
+    over the blocks, so no book is one string.
+    """
+    books = docs.groupBy("doc_id").agg(F.greatest(F.coalesce(F.max("num_pages"), F.lit(0)), F.lit(0)).alias("pages"))
+    held = book_lines(lines).withColumn("chars", F.length(F.coalesce("text", F.lit(""))))
+    by_page = held.join(books, "doc_id").filter("page between 1 and pages").groupBy("doc_id", "page").agg(F.sum("chars").alias("chars"))
+    sizes = by_page.groupBy("doc_id").agg(F.array_sort(F.collect_list("chars")).alias("x"), F.count_if(F.col("chars") > 0).alias("pages_with_text"), F.count_if((F.col("chars") > 0) & (F.col("chars") < THIN)).alias("thin"))
+    counts = held.groupBy("doc_id").agg(F.count("*").alias("lines"))
+    row = F.struct("line_no", F.coalesce("text", F.lit("")).alias("text"))
+    blocks = held.groupBy("doc_id", F.floor(F.col("line_no") / 256).alias("block")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.concat(x["line_no"].cast("string"), F.lit("\t"), x["text"])), "\n"), 256).alias("h"))
+    sums = blocks.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ""), 256).alias("checksum"))
+    out = books.join(sizes, "doc_id", "left").join(counts, "doc_id", "left").join(sums, "doc_id", "left").fillna(0, ["pages_with_text", "thin", "lines"])
+    out = out.withColumn("median", F.coalesce(F.try_element_at("x", (F.floor(F.size("x") / 2) + 1).cast("int")), F.lit(0)))
+    problems = F.array_compact(F.array(F.when(F.col("pages_with_text") < F.col("pages"), "EMPTY_PAGES"), F.when(F.col("lines") == 0, "NO_LINES"), F.when(F.col("median") < LEAST_MEDIAN, "LOW_MEDIAN")))
+    coverage = F.when(F.col("pages") > 0, F.round(F.col("pages_with_text") / F.col("pages"), 4)).otherwise(0.0)
+    return out.select("doc_id", "pages", "lines", "pages_with_text", coverage.alias("coverage"), "median", "thin", "checksum", F.array_join(problems, ",").alias("problems"), (F.size(problems) == 0).alias("complete"))
+
+
+def write_checked_cache(lines: DataFrame, docs: DataFrame, path: str, allow_incomplete: bool = False) -> DataFrame:
+    """Write the lines and the figures of books below path, if all books are complete; else nothing is written and ValueError says which are not.
+
+    allow_incomplete: written all the same, with the figures that say so.
+    """
+    figures = cache_figures(lines, docs)
+    bad = figures.filter("not complete").select("doc_id", "problems").orderBy("doc_id").limit(5).collect()
+    if bad and not allow_incomplete:
+        raise ValueError(f"incomplete books: {[(r.doc_id, r.problems) for r in bad]}")
+    book_lines(lines).repartitionByRange("doc_id", "line_no").write.mode("overwrite").parquet(f"{path}/lines")
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
+    return figures
+
+
 def write_corpus(lines: DataFrame, path: str) -> None:
     """Lines of books as JSON lines."""
     book_lines(lines).write.mode("overwrite").json(path)

@@ -86,3 +86,30 @@ def test_votes_of_a_stream_add_up(spark, tmp_path):
     whole = glyphs.votes(spark.createDataFrame([(broken, text)] * 4, "broken string, readable string"))
     key = lambda df: sorted((r.glyph, r.cand, r.n) for r in df.select("glyph", "cand", "n").collect())
     assert key(glyph_stream.read_votes(spark, str(tmp_path / "votes"))) == key(whole)
+
+
+def test_checked_cache_is_closed_to_incomplete_books(spark, tmp_path):
+    rows = [(1, k, k, "x" * 50, None, None) for k in range(1, 4)] + [(2, 1, 1, "x" * 50, None, None), (2, 2, 2, "y", None, None)]
+    lines = spark.createDataFrame(rows + rows[:1], LINES)
+    docs = spark.createDataFrame([(1, 3), (2, 4), (3, None)], "doc_id long, num_pages int")
+    got = {r.doc_id: (r.pages_with_text, r.median, r.thin, r.problems, r.complete) for r in S.cache_figures(lines, docs).collect()}
+    assert got == {1: (3, 50, 0, "", True), 2: (2, 50, 1, "EMPTY_PAGES", False), 3: (0, 0, 0, "NO_LINES,LOW_MEDIAN", False)}
+    with pytest.raises(ValueError, match="EMPTY_PAGES"):
+        S.write_checked_cache(lines, docs, str(tmp_path / "a"))
+    assert not (tmp_path / "a").exists()
+    S.write_checked_cache(lines, docs, str(tmp_path / "b"), allow_incomplete=True)
+    again = S.cache_figures(spark.read.parquet(str(tmp_path / "b" / "lines")), docs).select("doc_id", "checksum").collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, spark.read.parquet(str(tmp_path / "b" / "figures")).select("doc_id", "checksum").collect()), key=repr)
+
+
+def test_recognised_books_are_judged_anew(spark):
+    pages = spark.createDataFrame([(d, p) for d in (1, 2) for p in range(1, 11)], "doc_id long, page int")
+
+    def recognise(doc, page):
+        if page == 3:
+            raise RuntimeError("no")
+        return "a line of forty characters, more or less" if doc == 1 else ""
+
+    docs = spark.createDataFrame([(1, 10), (2, 10), (3, None)], "doc_id long, num_pages int")
+    got = {r.doc_id: (r.pages_read, r.pages_failed, r.quality, r.usable) for r in S.recognition_verdicts(S.recognised(pages, recognise), docs).collect()}
+    assert got == {1: (9, 1, "USABLE", True), 2: (0, 10, "SCANNED", False), 3: (0, 0, "SCANNED", False)}
