@@ -10,6 +10,7 @@ from quillgraph.functions import textfeat as tf
 
 # Character classes and thresholds of the verdict on a text layer.
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{fffd}]"
+# Blocks that follow each other, as Armenian and Hebrew, Arabic and Syriac, are written as one range.
 ODD_SCRIPT = (
     r"[\x{530}-\x{5ff}\x{600}-\x{74f}\x{900}-\x{9ff}\x{a00}-\x{a7f}\x{b80}-\x{bff}\x{c00}-\x{c7f}\x{d00}-\x{d7f}\x{e00}-\x{e7f}\x{f00}-\x{fff}\x{10a0}-\x{10ff}\x{1200}-\x{137f}]"
 )

@@ -9,10 +9,10 @@ from quillgraph.operators import matching, outline, pairs, sequence
 from quillgraph.runtime import checkpoint
 
 
-def verified_pairs(lines: DataFrame, outline: DataFrame, entries: DataFrame, books: DataFrame) -> DataFrame:
-    """(q_doc, a_doc, status, reason) of each pair; entries as of matching.book_entries()."""
+def verified_pairs(lines: DataFrame, outline: DataFrame, entries: DataFrame, books: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """(q_doc, a_doc, status, reason) of each pair; entries as of matching.book_entries(), bound as of pairs.binding_states()."""
     sources = entries.groupBy("doc_id").agg(F.bool_and(F.col("source") == "OUTLINE").alias("by_outline"))
-    return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, outline), pairs.subjects(lines, outline), pairs.anchors(entries, books), sources)
+    return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, outline), pairs.subjects(lines, outline), pairs.anchors(entries, books), sources, bound)
 
 
 def regions(held: DataFrame, open_pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -640,10 +640,7 @@ VERDICT_SQL = f"""{ANCHOR_SQL}, {ROLE_SQL.removeprefix(sx.ENTRIES + ', ')}, {YEA
 
 @query("pair_verdict", f"WITH {VERDICT_SQL} SELECT q_doc, a_doc, status, reason FROM verdicts")
 def pair_verdict(spark: SparkSession, d: str) -> DataFrame:
-    entries, books = _entries(spark, d), _pairs(spark, d)
-    sources = entries.groupBy("doc_id").agg(F.bool_and(F.col("source") == "OUTLINE").alias("by_outline"))
-    lines, tree = table(spark, d, "doc_lines"), table(spark, d, "outline")
-    return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, tree), pairs.subjects(lines, tree), pairs.anchors(entries, books), sources)
+    return linkage.verified_pairs(table(spark, d, "doc_lines"), table(spark, d, "outline"), _entries(spark, d), _pairs(spark, d))
 
 
 @query("pair_matrix", f"WITH {VERDICT_SQL} SELECT status, reason, count(*) AS n FROM verdicts GROUP BY ALL")
@@ -700,10 +697,7 @@ def _stored_bindings(prints: DataFrame, books: DataFrame) -> DataFrame:
     SELECT q_doc, a_doc, CASE WHEN reason IS NULL OR reason = 'PAIR_BOUND_MANUALLY' THEN 'VERIFIED_PAIR' WHEN reason = 'PAIR_IDENTITY_UNKNOWN' THEN 'UNKNOWN_PAIR' ELSE 'REJECTED_PAIR' END AS status, reason FROM r2""",
 )
 def bound_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    entries, books = _entries(spark, d), _pairs(spark, d)
-    sources = entries.groupBy("doc_id").agg(F.bool_and(F.col("source") == "OUTLINE").alias("by_outline"))
-    lines, tree = table(spark, d, "doc_lines"), table(spark, d, "outline")
-    return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, tree), pairs.subjects(lines, tree), pairs.anchors(entries, books), sources, binding_states(spark, d))
+    return linkage.verified_pairs(table(spark, d, "doc_lines"), table(spark, d, "outline"), _entries(spark, d), _pairs(spark, d), binding_states(spark, d))
 
 
 # Glyphs and audits.
