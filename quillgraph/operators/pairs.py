@@ -52,7 +52,7 @@ def roles(entries: DataFrame) -> DataFrame:
 
 
 def first_texts(lines: DataFrame, outline: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text): outline titles and the first lines of each book.
+    """(doc_id, k, text): outline titles, with k 0, and the first lines of each book.
 
     The first lines are found by counts of pages and then lines, so that no book
     is sorted as a whole: pages up to the one that passes the number, and of that
@@ -63,22 +63,29 @@ def first_texts(lines: DataFrame, outline: DataFrame, most: int) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.withColumn("before", before).filter(F.col("before") < most).select("doc_id", "block", "before")
     placed = held.join(blocks, ["doc_id", "block"]).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("line_no")) + F.col("before"))
-    titles = outline.select("doc_id", "node_id", "title").distinct().select("doc_id", F.col("title").alias("text"))
-    return placed.filter(F.col("k") <= most).select("doc_id", "text").unionByName(titles).filter("text is not null")
+    titles = outline.select("doc_id", "node_id", "title").distinct().select("doc_id", F.lit(0).cast("long").alias("k"), F.col("title").alias("text"))
+    return placed.filter(F.col("k") <= most).select("doc_id", F.col("k").cast("long").alias("k"), "text").unionByName(titles).filter("text is not null")
 
 
-def years(lines: DataFrame, outline: DataFrame) -> DataFrame:
-    """(doc_id, year, votes, total): the year named most often, if most namings agree; ties fall to the earlier year."""
-    named = first_texts(lines, outline, YEAR_LINES).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(20[0-9]{2})"), 1)).alias("year"))
+def years(lines: DataFrame, outline: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, year, votes, total): the year named most often, if most namings agree; ties fall to the earlier year.
+
+    texts: the first texts, where they are at hand.
+    """
+    texts = first_texts(lines, outline, YEAR_LINES) if texts is None else texts.filter(F.col("k") <= YEAR_LINES)
+    named = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(20[0-9]{2})"), 1)).alias("year"))
     counts = named.groupBy("doc_id", "year").agg(F.count("*").alias("n"))
     best = counts.groupBy("doc_id").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("year").cast("int")).alias("y"))).alias("b"))
     agrees = F.col("b.n") >= YEAR_AGREES * F.col("total")
     return best.select("doc_id", F.when(agrees, (-F.col("b.y")).cast("string")).alias("year"), F.col("b.n").alias("votes"), "total")
 
 
-def subjects(lines: DataFrame, outline: DataFrame) -> DataFrame:
-    """(doc_id, subject): by names of subjects, else by topics, if the leader is clear; else MIXED."""
-    texts = first_texts(lines, outline, SUBJECT_LINES)
+def subjects(lines: DataFrame, outline: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, subject): by names of subjects, else by topics, if the leader is clear; else MIXED.
+
+    texts: the first texts, where they are at hand.
+    """
+    texts = first_texts(lines, outline, SUBJECT_LINES) if texts is None else texts.filter(F.col("k") <= SUBJECT_LINES)
     sums = [F.count_if(F.col("text").rlike(p)).alias(f"{kind}_{s}") for s, both in SUBJECTS.items() for kind, p in zip(("n", "t"), both)]
     held = texts.groupBy("doc_id").agg(*sums)
 

@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators import matching, outline, pairs, sequence
-from quillgraph.runtime import checkpoint
+from quillgraph.operators import matching, outline, pairs, sequence, structure
+from quillgraph.runtime import broadcast_if_small, checkpoint
 
 
 def verified_pairs(lines: DataFrame, outline: DataFrame, entries: DataFrame, books: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """(q_doc, a_doc, status, reason) of each pair; entries as of matching.book_entries(), bound as of pairs.binding_states()."""
+    # both read the same first lines; the lines are shuffled once for them
+    texts = checkpoint(pairs.first_texts(lines, outline, max(pairs.YEAR_LINES, pairs.SUBJECT_LINES)))
     sources = entries.groupBy("doc_id").agg(F.bool_and(F.col("source") == "OUTLINE").alias("by_outline"))
-    return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, outline), pairs.subjects(lines, outline), pairs.anchors(entries, books), sources, bound)
+    return pairs.verdicts(books, pairs.roles(entries), pairs.years(lines, outline, texts), pairs.subjects(lines, outline, texts), pairs.anchors(entries, books), sources, bound)
+
+
+def gates(lines: DataFrame, docs: DataFrame, books: DataFrame) -> DataFrame:
+    """(q_doc, a_doc, comparable, carries) of each pair; alphabets are compared only where both layers are opaque."""
+    quality = checkpoint(structure.text_quality(lines, docs).select("doc_id", "quality").distinct())
+    opaque = quality.filter("quality = 'OPAQUE'").select("doc_id")
+    both = books.join(opaque.withColumnRenamed("doc_id", "q_doc"), "q_doc", "left_semi").join(opaque.withColumnRenamed("doc_id", "a_doc"), "a_doc", "left_semi")
+    alike = structure.alphabet_overlap(lines.join(broadcast_if_small(opaque, 16), "doc_id", "left_semi"), both).select("q_doc", "a_doc", "comparable")
+    return pairs.text_gates(quality, books.join(alike, ["q_doc", "a_doc"], "left").fillna(False, ["comparable"]))
 
 
 def regions(held: DataFrame, open_pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def alphabet_overlap(spark: SparkSession, d: str) -> DataFrame:
     SELECT q_doc, a_doc, coalesce((xq IN ('USABLE', 'DEGRADED') OR xq = 'OPAQUE' AND alike) AND (yq IN ('USABLE', 'DEGRADED') OR yq = 'OPAQUE' AND alike), false) AS comparable, coalesce(xq = 'USABLE' AND yq = 'USABLE', false) AS carries FROM g""",
 )
 def text_gates(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.text_gates(text_quality(spark, d), alphabet_overlap(spark, d))
+    return linkage.gates(table(spark, d, "doc_lines"), table(spark, d, "docs"), _pairs(spark, d))
 
 
 RUNNING_SQL = f"""{sx.LINES}, placed AS (SELECT *, {sx.boilerplate_form('text')} AS form, {sx.carries_label('text')} AS labelled,

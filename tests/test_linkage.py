@@ -24,3 +24,14 @@ def test_the_rest_of_a_pair_is_aligned_and_located(spark):
     assert got["1.2"] == ("MEDIUM", 1, "AUTO_MATCH") and got["1.3"] == ("MEDIUM", 2, "AUTO_MATCH")
     assert got["1.4"] == ("MEDIUM", 3, "AUTO_MATCH")
     assert got["9.1"] == ("NONE", None, "LOCATED")
+
+
+def test_alphabets_decide_on_opaque_pairs_alone(spark):
+    odd = [chr(c) for c in (*range(0x905, 0x9FE), *range(0xC05, 0xC7E))]
+    rows = [(d, k, 1 + k // 50, f"{c}{c} x+1=2", None, None) for d in (1, 2) for k, c in enumerate(odd)]
+    rows += [(3, k, 1, f"{chr(0x1200 + k % 80)}{chr(0x1200 + k % 80)} x+1=2", None, None) for k in range(200)] + [(4, k, 1, "plain words of a usable layer", None, None) for k in range(40)]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no long, page int, text string, top double, bottom double")
+    docs = spark.createDataFrame([(d, 7) for d in (1, 2, 3, 4)], "doc_id long, num_pages int")
+    books = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 4)], "q_doc long, a_doc long")
+    got = {(r.q_doc, r.a_doc): (r.comparable, r.carries) for r in linkage.gates(lines, docs, books).collect()}
+    assert got == {(1, 2): (True, False), (2, 3): (False, False), (3, 4): (False, False), (4, 4): (True, True)}
