@@ -139,8 +139,8 @@ def folded_ids(word: Column, rank: dict[bytes, int]) -> Column:
     return F.when(whole < NO_RANK, F.array(whole)).otherwise(folded)
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(word, n): distinct words of at most LONGEST_WORD characters."""
+def word_counts(documents: DataFrame, longest: int | None = None) -> DataFrame:
+    """(word, n): every distinct word; with longest, those of at most so many characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(PATTERN)
@@ -158,18 +158,29 @@ def word_counts(documents: DataFrame) -> DataFrame:
         yield flush()
 
     words = documents.select("text").filter("text <> ''").mapInArrow(run, "word string, n long")
-    return words.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n"))
+    if longest is not None:
+        words = words.filter(F.length("word") <= longest)
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def folded_words(documents: DataFrame, directory: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(word, n, ids): every distinct word of at most LONGEST_WORD characters, however rare, with its ids by the fold."""
+    """(word, n, ids): every distinct word, however rare or long, with its ids; by the fold up to LONGEST_WORD characters, beyond by the same merges with a heap."""
     counts = checkpoint(word_counts(documents))
-    return spread(counts, "word").select("word", "n", folded_ids(F.col("word"), ranks(directory, vocabulary)).alias("ids"))
+    rank = ranks(directory, vocabulary)
+    shared = documents.sparkSession.sparkContext.broadcast(rank)
+
+    def run(held: pa.Table) -> pa.Table:
+        ids = [merged(word.encode(), shared.value) for word in held["word"].to_pylist()]
+        return held.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+
+    short = spread(counts.filter(F.length("word") <= LONGEST_WORD), "word").select("word", "n", folded_ids(F.col("word"), rank).alias("ids"))
+    long = mapped(spread(counts.filter(F.length("word") > LONGEST_WORD), "word"), run, "word string, n long, ids array<int>", 500)
+    return short.unionByName(long)
 
 
 def dictionary(documents: DataFrame, directory: str = TOKENIZERS, vocabulary: str = VOCABULARY, most: int = DICTIONARY_WORDS) -> DataFrame:
     """(word, ids) of the most frequent distinct words, at most `most` of them."""
-    counts = checkpoint(word_counts(documents))
+    counts = checkpoint(word_counts(documents, LONGEST_WORD))
     if counts.count() > most:
         counts = counts.orderBy(F.desc("n"), "word").limit(most)
     return checkpoint(counts.select("word", folded_ids(F.col("word"), ranks(directory, vocabulary)).alias("ids")))

@@ -54,3 +54,11 @@ def test_every_distinct_word_is_folded(spark):
 def test_a_piece_is_reached_by_its_merges():
     rank = T.ranks(T.TOKENIZERS, T.VOCABULARY)
     assert all(list(T.merged(piece, rank)) == [r] for piece, r in rank.items())
+
+
+def test_long_words_are_in_the_method(spark):
+    texts = ["数学分析" * 16, "数学分析" * 17, "x" * 3_000 + " " + "x" * 3_000, "é" * 65]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.word: (r.n, list(r.ids)) for r in T.folded_words(df).collect()}
+    assert {w: n for w, (n, _) in got.items()} == {"数学分析" * 16: 1, "数学分析" * 17: 1, "x" * 3_000: 1, " " + "x" * 3_000: 1, "é" * 65: 1}
+    assert all(ids == reference(w) for w, (_, ids) in got.items())
