@@ -23,11 +23,12 @@ import functools
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.textio import mapped
+from quillgraph.llm.textio import code_points, mapped
 from quillgraph.runtime import broadcast_if_small, checkpoint
 
 # Letters of other scripts and the Latin ones they look like.
@@ -118,6 +119,38 @@ def canonical(text: str, known: dict[str, str]) -> str:
     return out
 
 
+#: What stands for a character that goes, and for one whose form depends on its neighbours or is longer.
+GONE, HARD = 0x10FFFF, 0x10FFFE
+
+
+@functools.cache
+def single_forms() -> np.ndarray:
+    """The canonical form of every character that has one by itself, of at most one character."""
+    composing, _, _, mapping = tables()
+    # what may join with the character before it
+    second = {d.split()[1] for c in range(0x30000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    out = np.arange(0x110000, dtype=np.uint32)
+    for c, new in mapping.items():
+        form, first = unicodedata.normalize("NFC", new), unicodedata.normalize("NFD", new)[:1]
+        joins = first and (unicodedata.combining(first) or f"{ord(first):04X}" in second or 0x1161 <= ord(first) <= 0x1175 or 0x11A8 <= ord(first) <= 0x11C2)
+        out[c] = HARD if joins or len(form) > 1 else ord(form) if form else GONE
+    out[[ord(m[0]) for m in composing.finditer("".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))]] = HARD
+    out[[0x0D, GONE]] = HARD
+    return out
+
+
+def canonical_each(texts: list[str], known: dict[str, str]) -> list[str]:
+    """canonical() of every text; at once for those whose characters all have a form by themselves."""
+    points, starts = code_points(texts)
+    new = single_forms()[points]
+    whole = new.tobytes().decode("utf-32-le", "surrogatepass")
+    at = starts.tolist()
+    out = [whole[a:b].replace(chr(GONE), "") for a, b in zip(at, at[1:])]
+    for k in np.unique(np.searchsorted(starts, np.flatnonzero(new == HARD), "right") - 1).tolist():
+        out[k] = canonical(texts[k], known)
+    return out
+
+
 def canonical_texts(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key and the columns in canonical form."""
     known: dict[str, str] = {}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.canonical import canonical, tables
+from quillgraph.llm.canonical import canonical, canonical_each, tables
 from quillgraph.llm.textio import mapped
 from quillgraph.runtime import broadcast_if_small, checkpoint
 
@@ -67,16 +67,19 @@ EMAIL = re.compile(
     r"[A-Za-z0-9-]+(?:\s?(?:\.|[\[({<]\s*(?:dot|DOT|Dot)\s*[\])}>]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]+)*?\s?(?:\.|[\[({<]\s*(?:dot|DOT|Dot)\s*[\])}>]|\s(?:dot|DOT)\s)\s?[A-Za-z]{2,}(?![A-Za-z0-9])",
     re.ASCII,
 )
+# a pattern that begins with a set of characters is looked for from one of them to the next
 #: An @ written out, with signs around it or a dot written out too.
-WRITTEN_AT = re.compile(r"[\[({<]\s*(?:at|At|AT)\s*[\])}>]|\s(?:dot|DOT)\s")
+AT_IN_SIGNS, DOT_WRITTEN = re.compile(r"[\[({<]\s*(?:at|At|AT)\s*[\])}>]"), re.compile(r"\s(?:dot|DOT)\s")
 NUMBER = re.compile(r"(?<![0-9A-Za-z.,/=^_#+-])(?:[A-Z]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[A-D](?![A-Za-z0-9])|(?:\+|00)?\(?[0-9](?:(?:[ ./–-]{0,2}|\)[ -]?|[ ]\()[0-9]){5,20}[Xx]?)(?![0-9A-Za-z^_])(?:\s?(?:ext\.?|x|转|Durchwahl|poste)\s?[0-9]{1,5})?")
+#: The six digits without which there is no number, and the signs that stand before the first of them at most.
+DIGITS, BEFORE_DIGITS = re.compile(r"[0-9](?:[\s./–()-]{0,2}[0-9]){5}"), 4
 DATE_IN_ID = re.compile(r"[0-9]{6}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]")
 # each pattern begins with what is rare in a text, the rest is read from there
-STREET = re.compile(rf"[0-9]{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}(?P<kind>(?:{STREETS})\b\.?)?")
+STREET = re.compile(rf"[0-9][0-9]{{0,3}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}(?P<kind>(?:{STREETS})\b\.?)?")
 BEFORE_STREET = re.compile(r"(?:(?:Flat|Apt\.?|Unit|Suite)\s[0-9]+[A-Z]?,\s)?(?:No\.\s)?$")
-RUE = re.compile(rf"[0-9]{{1,4}}(?:\s(?:bis|ter))?,?\s(?:{RUES})\s(?:(?:de|du|des|la|le|l['’]|d['’])\s?)*{CAP}")
+RUE = re.compile(rf"[0-9][0-9]{{0,3}}(?:\s(?:bis|ter))?,?\s(?:{RUES})\s(?:(?:de|du|des|la|le|l['’]|d['’])\s?)*{CAP}")
 STRASSE = re.compile(rf"[{UP}][{LOW}-]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring)\s[0-9]{{1,4}}[a-z]?(?![0-9])")
-LU = re.compile(r"(?:[路街巷道弄里村]|胡同)\s?[0-9]{1,5}\s?[号弄](?:\s?[0-9]{1,5}\s?(?:号|栋|幢|单元|楼|室))*")
+LU = re.compile(r"[路街巷道弄里村胡](?:(?<!胡)|(?<=胡)同)\s?[0-9]{1,5}\s?[号弄](?:\s?[0-9]{1,5}\s?(?:号|栋|幢|单元|楼|室))*")
 BEFORE_LU = re.compile(rf"(?:[{HAN}]{{2}}[省市])?(?:[{HAN}]{{2}}[市区县镇])?[{HAN}]{{2,3}}$")
 RUE_WORDS, STRASSE_WORDS = RUES.split("|"), ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring")
 
@@ -86,7 +89,8 @@ def addresses(text: str) -> Iterator[tuple[int, int, bool]]:
     for m in STREET.finditer(text):
         a, b = m.span()
         if not (text[a - 1 : a].isalnum() or text[a - 1 : a] in (".", "=", "^", "_")):
-            a = BEFORE_STREET.search(text, max(0, a - 16), a).start()
+            if text[a - 1 : a].isspace() and (text[a - 1] != " " or text[a - 2 : a - 1] in (",", ".")):
+                a = BEFORE_STREET.search(text, max(0, a - 16), a).start()
             yield a, b, m["kind"] is not None
     if any(w in text for w in RUE_WORDS):
         for m in RUE.finditer(text):
@@ -100,39 +104,49 @@ def addresses(text: str) -> Iterator[tuple[int, int, bool]]:
             yield before.start(), m.end(), True
 
 
-STREET_IN_CAPS = re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,4}}[A-Z]?,?\s(?:[A-Z][A-Z-]+\s){{1,3}}(?:{STREETS.upper()})\b")
+STREET_IN_CAPS = re.compile(rf"[0-9](?<![0-9A-Za-z.][0-9])[0-9]{{0,3}}[A-Z]?,?\s(?:[A-Z][A-Z-]+\s){{1,3}}(?:{STREETS.upper()})\b")
+TITLE_ENDS = "|".join(f"(?<={c})(?:{'|'.join(t[1:] for t in TITLES.split('|') if t[0] == c)})" for c in sorted({t[0] for t in TITLES.split("|")}))
+CAP_END = CAP.removeprefix(f"[{UP}]")
 #: Two words or initials in capitals, a title with a name, or a surname before its given name.
 RUN = re.compile(
-    rf"(?:{TITLES})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}(?:[ ]{{1,3}}{CAP})*"
-    rf"|(?:{CAP}|[{UP}]\.)(?:(?:[ ]{{1,3}}(?:{CAP}|[{UP}]\.(?=\W|$)))+|,[ ](?!(?:{TITLES})\b){CAP}(?![ ](?:{CAP}|[{UP}]\.)|,[ ]{CAP}|\w))"
+    rf"[{UP}](?:(?:{TITLE_ENDS})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}(?:[ ]{{1,3}}{CAP})*"
+    rf"|(?:{CAP_END}|\.)(?:(?:[ ]{{1,3}}(?:{CAP}|[{UP}]\.(?=\W|$)))+|,[ ](?!(?:{TITLES})\b){CAP}(?![ ](?:{CAP}|[{UP}]\.)|,[ ]{CAP}|\w)))"
 )
 TITLED = re.compile(rf"\b(?:{TITLES})\b\.?\s+(?:[{UP}]\.\s?)*{CAP}")
 SURNAME_START = re.compile(f"[{SINGLE}{''.join(x[0] for x in COMPOUND)}]")
 HAN_NAME = re.compile(rf"((?:{'|'.join(COMPOUND)})|[{SINGLE}])([{HAN}]{{1,2}})")
 #: Whatever stands alone behind a colon, or before an honorific, may be a name of any surname.
-HAN_ALONE = re.compile(rf"(?<=[：:])[ 　]?([{HAN}]{{2,4}})(?![{HAN}])")
+HAN_ALONE = re.compile(rf"[：:][ 　]?([{HAN}]{{2,4}})(?![{HAN}])")
 HONORIFIC = re.compile(HONORIFICS)
 HAN_ONLY = re.compile(rf"[{HAN}]+")
 # Characters that stand in no name, as particles and pronouns.
 NO_NAME = re.compile("[的了和与及或在是有为对把被从各位你我他她它们这那个之不]")
 
 
+WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[0-9]+|[^\w\s]")
+HAN_OR_COLON, HAN_SIGN, ALL_DIGITS = re.compile(rf"[{HAN}：:]"), re.compile(rf"[{HAN}]"), re.compile("[0-9]+")
+
+
 def left_words(text: str, a: int) -> str:
     part = text[max(0, a - 40) : a].rpartition("\n")[2]
-    if part.strip() and re.match(rf"[{HAN}：:]", part.rstrip()[-1]):
-        return re.sub(r"[0-9]+", "#", part.rstrip()[-2:])
-    words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[0-9]+|[^\w\s]", part)[-2:]
+    bare = part.rstrip()
+    if bare and HAN_OR_COLON.match(bare[-1]):
+        return ALL_DIGITS.sub("#", bare[-2:])
+    words = WORDS.findall(part)[-2:]
     return " ".join("#" if w[0].isdigit() else w.lower() for w in words) or "^"
 
 
 def right_words(text: str, b: int) -> str:
     part = text[b : b + 40].partition("\n")[0]
-    if part.strip() and re.match(rf"[{HAN}]", part.lstrip()[0]):
-        return part.lstrip()[:2]
-    words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[0-9]+|[^\w\s]", part)[:2]
+    bare = part.lstrip()
+    if bare and HAN_SIGN.match(bare):
+        return bare[:2]
+    words = WORDS.findall(part)[:2]
     return " ".join("#" if w[0].isdigit() else w.lower() for w in words) or "$"
 
 
+#: Without which nothing is set in capitals.
+TWO_CAPITALS = re.compile("[A-Z][A-Z]")
 CAPS_LINE = re.compile(r"^(?=[^\na-zß-ÿ]*$)(?:[^\n]*[A-Z]{3}){2}[^\n]*$", re.MULTILINE)
 
 
@@ -172,11 +186,12 @@ def before_honorifics(text: str, found: set[tuple[int, int]]) -> Iterator[Candid
 def candidates(text: str) -> Iterator[Candidate]:
     """(kind, start, end, instance, parts, seed) of a text in canonical form."""
     taken: list[tuple[int, int]] = []
-    if "@" in text or WRITTEN_AT.search(text):
+    if "@" in text or AT_IN_SIGNS.search(text) or ("dot" in text or "DOT" in text) and DOT_WRITTEN.search(text):
         for m in EMAIL.finditer(text):
             taken.append(m.span())
             yield "email", *m.span(), re.sub(r"\s", "", m[0]).lower(), [], True
-    for m in NUMBER.finditer(text):
+    digits_at = DIGITS.search(text)
+    for m in NUMBER.finditer(text, max(0, digits_at.start() - BEFORE_DIGITS)) if digits_at else ():
         a, b = m.span()
         if any(x < b and a < y for x, y in taken[-40:]) or text[b : b + 1] in ("%", "="):
             continue
@@ -200,7 +215,8 @@ def candidates(text: str) -> Iterator[Candidate]:
         if seed:
             taken.append((a, b))
         yield "address", a, b, re.sub(r"\s+", " ", text[a:b]).strip(), [], seed
-    for m in STREET_IN_CAPS.finditer(text):
+    capitals = TWO_CAPITALS.search(text) is not None
+    for m in STREET_IN_CAPS.finditer(text) if capitals else ():
         taken.append(m.span())
         yield "address", *m.span(), m[0].lower(), [], True
     taken.sort()
@@ -229,7 +245,7 @@ def candidates(text: str) -> Iterator[Candidate]:
         parts = [w for w in words if len(w) > 2]
         if parts:
             yield "name", a, b, " ".join(words), parts, False
-    for line in CAPS_LINE.finditer(text):
+    for line in CAPS_LINE.finditer(text) if capitals else ():
         # set in capitals throughout: read as if in title case
         for m in RUN.finditer(line[0].title()):
             words = m[0].split()
@@ -273,11 +289,10 @@ def candidate_table(documents: DataFrame) -> DataFrame:
 
     def run(held: pa.Table) -> pa.Table:
         out: dict[str, list] = {name.split()[0]: [] for name in CANDIDATES.split(", ")}
-        for doc, stored in zip(held["doc_id"].to_pylist(), held["text"].to_pylist()):
-            text = canonical(BREAK.sub(" ", stored), known)
-            ends = [m.start() for m in LINE_END.finditer(text)]
+        texts = canonical_each([BREAK.sub(" ", t) for t in held["text"].to_pylist()], known)
+        for doc, text in zip(held["doc_id"].to_pylist(), texts):
             for kind, a, b, inst, parts, seed in candidates(text):
-                row = (doc, bisect_left(ends, a) + 1, a, b, kind, inst, parts, seed, left_words(text, a), right_words(text, b))
+                row = (doc, text.count("\n", 0, a) + 1, a, b, kind, inst, parts, seed, left_words(text, a), right_words(text, b))
                 for column, x in zip(out.values(), row):
                     column.append(x)
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string()]
@@ -287,7 +302,6 @@ def candidate_table(documents: DataFrame) -> DataFrame:
     return mapped(docs, run, CANDIDATES, 500)
 
 
-LINE_END = re.compile("\n")
 #: Other line ends are blanks here: lines are counted by the line feed alone.
 BREAK = re.compile("[\r\x0b\x0c\x85\u2028\u2029]")
 

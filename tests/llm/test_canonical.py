@@ -59,3 +59,12 @@ def test_classes_and_hot_forms(spark):
     assert {(r.field, r.doc_id, r.forms, r.members) for r in classes} == {("text", k, 3, 302) for k in (*range(300), 900, 901)}
     assert len({r.class_id for r in classes}) == 1 and len({r.form_id for r in classes}) == 3
     assert C.canonical("Ꭺ ⲟ Օ", {}) == "A o O"
+
+
+def test_many_texts_at_once_agree_with_each():
+    signs = [chr(c) for c in (*range(0x20, 0xD800), *range(0xF900, 0x11000), 0x1F600, 0x10FFFE, 0x10FFFF)]
+    texts = signs + ["", "\r\n", "a\rb", "ｶﾞ", "e​́", "ﬁn", "Ｋｅｙ　１，中", "ёж" + "ᅟ" * 3, *("a".join(signs[k : k + 7]) for k in range(0, len(signs), 7))]
+    assert C.canonical_each(texts, {}) == [C.canonical(t, {}) for t in texts]
+    assert C.canonical_each([], {}) == []
+    # only what depends on its neighbours, or becomes several signs, is read sign by sign
+    assert not any(C.single_forms()[ord(c)] == C.HARD for c in "，：　Ａéё​") and all(C.single_forms()[ord(c)] == C.HARD for c in "ﬁ\r\u0301\uff9e")

@@ -74,3 +74,20 @@ def test_a_surname_of_no_list_beside_an_honorific(spark):
 def test_emails_pass_through_the_graph(spark):
     df = spark.createDataFrame([(1, "write to a.b@mail.example", None, None), (2, "a.b@mail.example again", None, None)], SCHEMA)
     assert {(r.doc_id, r.kind, r.l) for r in P.accepted_mentions(df).collect()} == {(1, "email", "write to"), (2, "email", "^")}
+
+
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("胡同5号, 雨花胡同12号 与青云路 3号", ["雨花胡同12号", "与青云路 3号"]),
+        ("No. 172 Dovefold Lane; 4 dots, Flat 3, 8 Mill Road", ["No. 172 Dovefold Lane", "Flat 3, 8 Mill Road"]),
+        ("x9 HIGH STREET or 12 OLD MILL LANE", ["12 OLD MILL LANE"]),
+        ("(020) 7946 0018, +(44) 20 7946 0018", ["(020) 7946 0018", "+(44) 20 7946 0018"]),
+        ("by Prof. Quarn", ["Prof. Quarn"]),
+        ("联系人：仝晓明\n联系人: 万一", ["仝晓明", "万一"]),
+    ],
+)
+def test_spans_of_patterns_that_begin_with_a_set(text, spans):
+    found = {text[a:b] for kind, a, b, *_ in P.candidates(text) if kind in ("address", "phone") or kind == "name" and ("Prof" in text or "联系" in text)}
+    assert set(spans) <= found
+    assert not any(x.startswith(("胡同5", "9 HIGH")) for x in found)
