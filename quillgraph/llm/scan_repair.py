@@ -74,7 +74,8 @@ for _pair in CONFUSIONS.split():
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœŠšŽž"
 HAN = "㐀-䶿一-鿿"
 WORD = re.compile(rf"[0-9]*[{LETTER}][{LETTER}0-9]*")
-COMPOUND = re.compile(rf"(?<![{LETTER}0-9-])[{LETTER}]{{2,}}(?:-[{LETTER}]{{2,}})+(?![{LETTER}0-9-])")
+#: Of a run of letters, digits and hyphens as a whole.
+COMPOUND = re.compile(rf"[{LETTER}]{{2,}}(?:-[{LETTER}]{{2,}})+")
 MARKS = "-‐‑­¬"
 LINE_ENDS_DIVIDED = re.compile(rf"[{MARKS}]\s*$", re.MULTILINE)
 DIVIDED = re.compile(rf"([{LETTER}][{LETTER}0-9]*)([{MARKS}])\s*$")
@@ -95,6 +96,22 @@ NEWLINE, OTHER = 0x0A, 0x23
 # The lexicon.
 
 
+@functools.cache
+def kept_signs(hyphens: bool) -> np.ndarray:
+    """Letters and digits, with hyphens those too, as they are, and a blank for every other sign."""
+    out = np.full(0x110000, 0x20, dtype=np.uint16)
+    held = [ord(c) for c in map(chr, range(0x250)) if re.match(f"[{LETTER}0-9]", c)]
+    out[held] = held
+    if hyphens:
+        out[ord("-")] = ord("-")
+    return out
+
+
+def runs(text: str, hyphens: bool = False) -> list[str]:
+    """The runs of letters and digits, with hyphens of those too; one with a letter is a match of WORD."""
+    return kept_signs(hyphens)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tobytes().decode("utf-16-le").split()
+
+
 def triple_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the character triples of lines around a Chinese one; another character is #."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
@@ -105,33 +122,45 @@ def triple_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes, return_counts=True)
 
 
+def column_values(column: pa.Array | pa.ChunkedArray) -> list[Any]:
+    """As to_pylist(), by numpy where a column holds texts or numbers."""
+    kind = column.type
+    if not (pa.types.is_string(kind) or pa.types.is_floating(kind) or pa.types.is_integer(kind) and not column.null_count):
+        return column.to_pylist()
+    out = np.asarray(column).tolist()
+    if pa.types.is_floating(kind) and column.null_count:
+        for k in np.flatnonzero(np.asarray(column.is_null())).tolist():
+            out[k] = None
+    return out
+
+
 def lexicon(lines: DataFrame) -> DataFrame:
     """(kind, word, n): counts of words, compounds and character triples over all lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
-        compounds: Counter[str] = Counter()
+        found: Counter[str] = Counter()
         grams: Counter[int] = Counter()
 
         def flush() -> pa.RecordBatch:
-            rows = [(WORD_ROW, w, n) for w, n in words.items() if len(w) > 1]
-            rows += [(COMPOUND_ROW, w, n) for w, n in compounds.items()]
+            words: Counter[str] = Counter()
+            for w, n in found.items():
+                for part in w.split("-"):
+                    words[part] += n
+            rows = [(WORD_ROW, w, n) for w, n in words.items() if len(w) > 1 and not w.isdigit()]
+            rows += [(COMPOUND_ROW, w, n) for w, n in found.items() if "-" in w and COMPOUND.fullmatch(w)]
             rows += [(TRIPLE_ROW, "".join(chr(g >> k & 0x1FFFFF) for k in (42, 21, 0)), n) for g, n in grams.items()]
             kind, word, n = zip(*rows) if rows else ((), (), ())
-            for held in (words, compounds, grams):
+            for held in (found, grams):
                 held.clear()
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
 
         for batch in batches:
-            text = "\n".join(t for t in batch.column("text").to_pylist() if t)
-            low = text.lower()
-            words.update(WORD.findall(low))
-            if "-" in low:
-                compounds.update(COMPOUND.findall(low))
+            text = "\n".join(column_values(batch.column("text")))
+            found.update(runs(text.lower(), True))
             if not text.isascii():
                 for g, n in zip(*(x.tolist() for x in triple_codes(text))):
                     grams[g] += n
-            if len(words) + len(compounds) + len(grams) > MOST_COUNTED:
+            if len(found) + len(grams) > MOST_COUNTED:
                 yield flush()
         yield flush()
 
@@ -375,7 +404,7 @@ NEXT_TYPE = pa.list_(pa.struct([("line_no", pa.int64()), ("word", pa.string())])
 READ_TYPES = {
     "kind": pa.int32(), "doc_id": pa.int64(), "page": pa.int32(), "piece": pa.int64(), "line_no": pa.int64(), "word": pa.string(), "mark": pa.string(), "before": pa.string(), "next": NEXT_TYPE, "tops": EDGE_TYPE, "bottoms": EDGE_TYPE,
 }
-#: Kinds of rows: misread lines, divided words, first lines of a piece, edges of a page.
+#: Kinds of rows: misread lines, divided words, first lines of a piece that is no page's first, edges of a page (with the first lines, where it begins).
 MISREAD_ROW, DIVIDED_ROW, FIRST_ROW, PAGE_ROW = range(4)
 #: Lines with text that are looked at for the rest of a divided word: one more than marks can stand at an edge.
 FOLLOWING = EDGE + 1
@@ -441,7 +470,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         n = held.num_rows
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], n)
-        columns = [held[c].to_pylist() for c in held.column_names[2:]]
+        columns = [column_values(held[c]) for c in held.column_names[2:]]
         done = 0
         for s, e in zip(starts.tolist(), ends.tolist()):
             whole = batch is None or e < n
@@ -511,14 +540,12 @@ def edge_faults(found: DataFrame) -> DataFrame:
     is_number = F.transform("own", lambda f: F.coalesce(F.array_contains("forms", f), F.lit(False)))
     sided = sided.withColumn("numbers", is_number)
     # the outermost line that is no page number may be a running title
-    sided = checkpoint(
-        sided.select(
-            "doc_id",
-            "page",
-            "kind",
-            F.filter("x", lambda x, k: F.element_at("numbers", k + 1)).alias("numbered"),
-            F.try_element_at(F.filter("x", lambda x, k: ~F.element_at("numbers", k + 1)), F.lit(1)).alias("outer"),
-        )
+    sided = sided.select(
+        "doc_id",
+        "page",
+        "kind",
+        F.filter("x", lambda x, k: F.element_at("numbers", k + 1)).alias("numbered"),
+        F.try_element_at(F.filter("x", lambda x, k: ~F.element_at("numbers", k + 1)), F.lit(1)).alias("outer"),
     )
     page_no = sided.select("doc_id", F.explode("numbered").alias("x")).select("doc_id", F.col("x.line_no").alias("line_no"))
     outer = sided.filter("outer is not null").select("doc_id", "page", "kind", "outer.*")
@@ -564,18 +591,19 @@ def misread_words(text: str, held: Held, skip_first: bool, skip_last: bool, earl
 def structure_rows(x: Piece) -> list[tuple]:
     """The edges and the first lines of a piece, as rows of READ."""
     rows: list[tuple] = []
-    if x.page is not None and (x.first or x.last):
-        top, bottom = edge_lines(x.numbers, x.texts, x.rest[0])
-        rows.append((PAGE_ROW, x.doc, x.page, 0 if x.first else 1, None, None, None, None, None, top if x.first else [], bottom if x.last else []))
     first = []
     for n, t in zip(x.numbers, x.texts):
         if t and not t.isspace():
             first.append({"line_no": n, "word": s[1] if (s := STARTS.match(t)) else None})
             if len(first) == FOLLOWING:
                 break
-    # the pieces that it goes on from
-    before = [(x.page, x.number - 1)] if x.page is None or not x.first else [(x.page - 1, LAST_PIECE), (x.page - 2, LAST_PIECE)]
-    rows += [(FIRST_ROW, x.doc, page, piece, k, None, None, None, first, None, None) for k, (page, piece) in enumerate(before)]
+    begins = x.page is not None and x.first
+    if x.page is not None and (x.first or x.last):
+        top, bottom = edge_lines(x.numbers, x.texts, x.rest[0])
+        rows.append((PAGE_ROW, x.doc, x.page, 0 if x.first else 1, None, None, None, None, first if begins else None, top if x.first else [], bottom if x.last else []))
+    if not begins:
+        # under the piece that it goes on from
+        rows.append((FIRST_ROW, x.doc, x.page, x.number - 1, 0, None, None, None, first, None, None))
     return rows
 
 
@@ -583,7 +611,7 @@ def read_piece(x: Piece, held: Held, structure: bool) -> list[tuple]:
     """Misread lines, and with structure divided words, edges and first lines, as rows of READ."""
     rows = structure_rows(x) if structure else []
     full = "\n".join(t for t in x.texts if t)
-    doubts = held.words.keys() & WORD.findall(full.lower())
+    doubts = held.words.keys() & runs(full.lower())
     divided = LINE_ENDS_DIVIDED.search(full) is not None
     odd = (s := held.suspect()) is not None and not full.isascii() and s.search(full) is not None
     if not doubts and not (structure and divided) and not odd:
@@ -637,10 +665,16 @@ def divided_words(read: DataFrame, marks: DataFrame, counts: DataFrame) -> DataF
 
     keep says that the mark is the word's own; fixed is what a misread word was printed as.
     """
-    parts = read.filter(f"kind = {DIVIDED_ROW}").join(marks.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
-    over = read.filter(f"kind = {FIRST_ROW}").select("doc_id", F.coalesce("page", F.lit(NO_PAGE)).alias("unit"), "piece", F.col("line_no").alias("k"), "next")
-    over = over.groupBy("doc_id", "unit", "piece").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "next"))), lambda x: x["next"])).alias("over"))
-    parts = parts.withColumn("unit", F.coalesce("page", F.lit(NO_PAGE)))
+    unit = F.coalesce("page", F.lit(NO_PAGE)).cast("long")
+    parts = read.filter(f"kind = {DIVIDED_ROW}").select("doc_id", unit.alias("unit"), "piece", "line_no", "word", "mark", "before", "next")
+    parts = checkpoint(parts.join(marks.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti"))
+    over = read.filter(f"kind = {FIRST_ROW}").select("doc_id", unit.alias("unit"), "piece", F.col("line_no").alias("k"), "next")
+    # a page goes on from the page before it, or from the one before that
+    pages = read.filter(f"kind = {PAGE_ROW} and piece = 0").select("doc_id", "page", F.explode(F.array(*(F.lit(k).cast("long") for k in (0, 1)))).alias("k"), "next")
+    over = over.unionByName(pages.select("doc_id", (F.col("page").cast("long") - 1 - F.col("k")).alias("unit"), F.lit(LAST_PIECE).cast("long").alias("piece"), "k", "next"))
+    # only the first lines that are asked for are gathered
+    looks = parts.filter("piece is not null").select("doc_id", "unit", "piece").distinct()
+    over = over.join(looks, ["doc_id", "unit", "piece"], "left_semi").groupBy("doc_id", "unit", "piece").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "next"))), lambda x: x["next"])).alias("over"))
     # most divided words have their followers in the page; only the others look over its end
     inside, beyond = parts.filter("piece is null").withColumn("over", F.lit(None).cast(NEXT_LINES)), parts.filter("piece is not null").join(over, ["doc_id", "unit", "piece"], "left")
     columns = ["doc_id", "line_no", "word", "mark", "before", "next", "over"]

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
+
+import pyarrow as pa
+import pytest
 
 from quillgraph.llm import scan_repair as S
 
@@ -146,3 +151,35 @@ def test_chinese_characters_by_their_triples(spark):
 def test_method_over_odd_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert S.scan_repairs(empty).count() == 0 and S.paragraphs(empty).count() == 0
+
+
+def test_the_lexicon_counts_every_match_of_the_patterns(spark):
+    texts = ["well-known x-ray a1-b2 -ab-cd- ab--cd ab-cd-ef 12ab3 123 İz Œuvre-d'art é-ü", "٣ab ²x cd­ef A_b\nMid-Line 7-8", "数学-分析 ab-cd 😀ab", "naïve—so self-self- (re-do)"]
+    whole = rf"(?<![{S.LETTER}0-9-])[{S.LETTER}]{{2,}}(?:-[{S.LETTER}]{{2,}})+(?![{S.LETTER}0-9-])"
+    want = Counter((S.WORD_ROW, w) for t in texts for w in S.WORD.findall(t.lower()) if len(w) > 1) + Counter((S.COMPOUND_ROW, w) for t in texts for w in re.findall(whole, t.lower()))
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "doc_id long, line_no long, text string")
+    got = {(r.kind, r.word): r.n for r in S.lexicon(df).collect() if r.kind != S.TRIPLE_ROW}
+    assert got == dict(want)
+
+
+@pytest.mark.parametrize("values, kind", [(["a", None, "数"], pa.string()), ([1.5, None, float("inf")], pa.float64()), ([1, 2], pa.int64()), ([1, None], pa.int64()), ([[{"x": 1}], None], pa.list_(pa.struct([("x", pa.int64())]))), ([], pa.float64())])
+def test_column_values_are_those_of_a_list(values, kind):
+    column = pa.array(values, kind)
+    assert S.column_values(column) == S.column_values(pa.chunked_array([column])) == column.to_pylist()
+
+
+def test_a_page_is_one_row_with_its_edges_and_first_lines():
+    x = S.Piece(1, 5, 0, True, True, [1, 2], ["first words", "second"], [[None, None]])
+    (row,) = S.structure_rows(x)
+    assert row[0] == S.PAGE_ROW and row[2] == 5 and [n["word"] for n in row[8]] == ["first", "second"]
+    (block,) = S.structure_rows(x._replace(page=None, number=3))
+    assert block[0] == S.FIRST_ROW and block[3] == 2
+
+
+def test_only_the_first_lines_that_are_asked_for_are_gathered(spark):
+    lines = [(1, p, 10 * p + k, body(10 * p + k), None) for p in (1, 2, 3, 5, 6, 7) for k in range(5)] + [(1, 4, 40, "  ", None)]
+    lines += [(1, p, 10 * p + 5, body(10 * p + 5) + " theo\u00ad", None) for p in (2, 3, 6, 7)]
+    lines += [(2, None, k, "plain words here" if k % 64 != 63 else "the theo\u00ad", None) for k in range(130)]
+    df = spark.createDataFrame(lines, "doc_id long, page int, line_no long, text string, top double")
+    got = {(r.doc_id, r.line_no) for r in S.scan_faults(df).collect() if r.fault == "hyphen"}
+    assert got == {(1, 25), (1, 35), (1, 65), (2, 63), (2, 127)}
