@@ -34,6 +34,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from operator import sub
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -98,8 +99,8 @@ NEWLINE, OTHER = 0x0A, 0x23
 
 @functools.cache
 def kept_signs(hyphens: bool) -> np.ndarray:
-    """Letters and digits, with hyphens those too, as they are, and a blank for every other sign."""
-    out = np.full(0x110000, 0x20, dtype=np.uint16)
+    """Letters and digits, with hyphens those too, as they are, and a blank for every other unit of UTF-16."""
+    out = np.full(0x10000, 0x20, dtype=np.uint16)
     held = [ord(c) for c in map(chr, range(0x250)) if re.match(f"[{LETTER}0-9]", c)]
     out[held] = held
     if hyphens:
@@ -109,7 +110,7 @@ def kept_signs(hyphens: bool) -> np.ndarray:
 
 def runs(text: str, hyphens: bool = False) -> list[str]:
     """The runs of letters and digits, with hyphens of those too; one with a letter is a match of WORD."""
-    return kept_signs(hyphens)[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tobytes().decode("utf-16-le").split()
+    return kept_signs(hyphens)[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)].tobytes().decode("utf-16-le").split()
 
 
 def triple_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +378,7 @@ def word_repairs(text: str, held: Held, skip_first: bool, skip_last: bool) -> li
 def edge_lines(numbers: list[int], texts: list[str | None], tops: list[float | None]) -> list[list[dict[str, Any]]]:
     """The first and the last lines with text of a page, from the edge inwards, each with its distance to the next one in line pitches."""
     known = [x for x in tops if x is not None]
-    steps = sorted(y - x for x, y in zip(known, known[1:]))
+    steps = sorted(map(sub, known[1:], known))
     pitch = steps[len(steps) // 2] if len(steps) > 2 else 0.0
     sides = []
     for order, step in ((range(len(texts)), 1), (range(len(texts) - 1, -1, -1), -1)):
@@ -530,24 +531,21 @@ def edge_faults(found: DataFrame) -> DataFrame:
 
     sided = checkpoint(sided.withColumn("own", F.transform("x", lambda x: form(x["text"]))))
     lines = sided.filter(F.exists("own", lambda f: f.isNotNull())).select("doc_id", "page", "kind", F.explode(F.arrays_zip("x", "own")).alias("z"))
-    numbered = lines.filter("z.own is not null").select("doc_id", "page", "kind", F.col("z.own").alias("form"), number_value(F.regexp_extract("z.x.text", PAGE_NUMBER, 2)).alias("value"))
+    numbered = lines.filter("z.own is not null").select("doc_id", "page", "kind", F.col("z.own").alias("form"), F.regexp_extract("z.x.text", PAGE_NUMBER, 2).alias("number"))
+    numbered = numbered.withColumn("value", number_value(F.col("number")))
     # pages whose numbers run with the page, by form and edge
     steps = numbered.groupBy("doc_id", "kind", "form", (F.col("value") - F.col("page")).alias("step")).agg(F.count_distinct("page").alias("n"))
     forms = steps.filter("step is not null").groupBy("doc_id", "kind", "form").agg(F.sum(F.when((F.col("n") >= 2) | (F.col("step") == 0), F.col("n"))).alias("running"))
     forms = forms.join(book, "doc_id").filter("running >= greatest(1, 0.4 * pages)").groupBy("doc_id", "kind").agg(F.collect_set("form").alias("forms"))
     forms = broadcast_if_small(checkpoint(forms), 96)
+    page_no = sided.select("doc_id", "kind", "own", F.col("x.line_no").alias("line_no")).join(forms, ["doc_id", "kind"]).select("doc_id", "forms", F.explode(F.arrays_zip("own", "line_no")).alias("z"))
+    page_no = page_no.filter(F.array_contains("forms", F.col("z.own"))).select("doc_id", "z.line_no")
     sided = sided.join(forms, ["doc_id", "kind"], "left").withColumn("forms", F.coalesce("forms", F.array().cast("array<string>")))
     is_number = F.transform("own", lambda f: F.coalesce(F.array_contains("forms", f), F.lit(False)))
     sided = sided.withColumn("numbers", is_number)
     # the outermost line that is no page number may be a running title
-    sided = sided.select(
-        "doc_id",
-        "page",
-        "kind",
-        F.filter("x", lambda x, k: F.element_at("numbers", k + 1)).alias("numbered"),
-        F.try_element_at(F.filter("x", lambda x, k: ~F.element_at("numbers", k + 1)), F.lit(1)).alias("outer"),
-    )
-    page_no = sided.select("doc_id", F.explode("numbered").alias("x")).select("doc_id", F.col("x.line_no").alias("line_no"))
+    outer = F.try_element_at(F.filter("x", lambda x, k: ~F.element_at("numbers", k + 1)), F.lit(1))
+    sided = sided.select("doc_id", "page", "kind", outer.alias("outer"))
     outer = sided.filter("outer is not null").select("doc_id", "page", "kind", "outer.*")
     outer = outer.withColumns({"key": title_key(F.col("text")), "chapter": opens_chapter(F.col("text"))}).filter("key <> ''")
     outer = checkpoint(outer.select("doc_id", "kind", "line_no", "gap", "key", "chapter"))
@@ -734,7 +732,8 @@ def scan_faults(lines: DataFrame) -> DataFrame:
         misread = misread.unionByName(read_pages(lines, further, False))
     marks = checkpoint(edge_faults(read))
     words = misread.select("doc_id", "line_no", F.lit("misread").alias("fault")).unionByName(joined_words(checkpoint(divided_words(read, marks, counts)))).join(marks.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
-    return marks.unionByName(words).distinct()
+    # the marks are distinct, and of other faults
+    return marks.unionByName(words.distinct())
 
 
 # Repaired text.
