@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import ids
 from quillgraph.functions import textfeat as tf
-from quillgraph.runtime import checkpoint
+from quillgraph.operators import scoring
+from quillgraph.runtime import spread
 
 #: Rungs from the strongest to the weakest.
 RUNGS = ("AUTO_MATCH", "REVIEW", "LOCATED", "REFUSED", "BLOCKED")
@@ -64,43 +65,20 @@ def gram_similarity(left: DataFrame, right: DataFrame, lkey: str, rkey: str, blo
     return out.select(*block, lkey, rkey, "shared", (2.0 * F.col("shared") / (F.col("l_total") + F.col("r_total"))).alias("similarity"))
 
 
-def profiles(texts: DataFrame, key: str) -> DataFrame:
-    """texts (key, text) with what is compared: norm, its formulas as one text, and the tokens of the three channels."""
-    norm = texts.select(key, tf.normalize_for_match(F.col("text")).alias("norm"))
-    held = norm.withColumn("formulas", tf.normalize_for_match(F.array_join(tf.math_fragments(F.col("norm")), " ")))
-    none = F.array().cast("array<string>")
-    tokens = {"prose": tf.bigrams(F.col("norm")), "math": tf.bigrams(F.col("formulas")), "context": F.when(F.col("formulas") != "", tf.symbol_contexts(F.col("norm"))).otherwise(none)}
-    return held.withColumns(tokens)
-
-
 def content_scores(candidates: DataFrame, left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
     """candidates (lkey, rkey) with their content score, weighted toward formulas where both texts have some.
 
-    Shared tokens are counted by joins on the tokens of the candidates' texts, so a
-    text is profiled once however many candidates it has.
+    Each candidate meets both normalised texts and is scored by itself; a join on
+    tokens would hold some hundred rows a text. The texts are never broadcast by
+    the size of their files, which says little of them.
     """
-    sides = {}
+    pairs = candidates
     for df, key, name in ((left, lkey, "l"), (right, rkey, "r")):
-        made = checkpoint(profiles(df, key))
-        channels = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("tokens")) for c in ("prose", "math", "context")])).alias("c")
-        tokens = made.select(key, channels).select(key, "c.channel", F.explode("c.tokens").alias("token")).groupBy(key, "channel", "token").agg(F.count("*").alias(f"{name}_n"))
-        facts = made.select(key, F.col("norm").alias(f"{name}_norm"), F.col("formulas").alias(f"{name}_formulas"), *[F.size(c).alias(f"{name}_{c}") for c in ("prose", "math", "context")])
-        sides[name] = tokens, facts
-    met = candidates.select(lkey, rkey).join(sides["l"][0], lkey).join(sides["r"][0], [rkey, "channel", "token"])
-    shared = met.groupBy(lkey, rkey).pivot("channel", ["prose", "math", "context"]).agg(F.sum(F.least("l_n", "r_n")))
-    out = candidates.join(sides["l"][1], lkey).join(sides["r"][1], rkey).join(shared, [lkey, rkey], "left")
-
-    def dice(a: Column, b: Column, common: Column, na: Column, nb: Column) -> Column:
-        short = (F.length(a) < 2) | (F.length(b) < 2)
-        return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(short, 0.0).otherwise(2.0 * F.coalesce(common, F.lit(0)) / (na + nb))
-
-    prose = dice(F.col("l_norm"), F.col("r_norm"), F.col("prose"), F.col("l_prose"), F.col("r_prose"))
-    fragments = dice(F.col("l_formulas"), F.col("r_formulas"), F.col("math"), F.col("l_math"), F.col("r_math"))
-    enough = (F.col("l_context") >= tf.LEAST_CONTEXTS) & (F.col("r_context") >= tf.LEAST_CONTEXTS)
-    context = F.when(enough, 2.0 * F.coalesce("context", F.lit(0)) / (F.col("l_context") + F.col("r_context")))
-    math = F.coalesce(tf.SYMBOL_SHARE * context + (1 - tf.SYMBOL_SHARE) * fragments, fragments)
-    score = F.when((F.col("l_formulas") == "") | (F.col("r_formulas") == ""), prose).otherwise(tf.MATH_WEIGHT * math + (1 - tf.MATH_WEIGHT) * prose)
-    return out.select(*candidates.columns, score.alias("score"))
+        texts = scoring.profiled(df.select(key, "text")).select(key, F.col("norm").alias(f"{name}_norm"), F.col("formulas").alias(f"{name}_formulas"))
+        pairs = pairs.join(texts.hint("merge"), key)
+    held = ", ".join(f"`{c}` {kind}" for c, kind in candidates.dtypes)
+    pairs = pairs.select(*candidates.columns, *scoring.PAIR_TEXTS)
+    return spread(pairs, lkey, rkey).mapInArrow(scoring.pair_scores, f"{held}, score double")
 
 
 def rank_of(rung: Column) -> Column:

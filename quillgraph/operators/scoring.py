@@ -3,10 +3,13 @@
 The texts are profiled in Spark (normalised text, formulas, operator contexts);
 here the tokens that two profiles share are counted through incidence rows, so a
 block of questions is held against a block of entries without a join a token.
+Pairs that are known beforehand are scored one by one (pair_scores).
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
@@ -117,6 +120,56 @@ def score_rows(left: Side, right: Side) -> np.ndarray:
     return np.where(without, prose, tf.MATH_WEIGHT * math + (1 - tf.MATH_WEIGHT) * prose)
 
 
+#: The normalised texts and formulas of a pair.
+PAIR_TEXTS = ("l_norm", "l_formulas", "r_norm", "r_formulas")
+OPERATOR = re.compile(f"[{tf.SKELETON}()]")
+
+
+def bigram_dice(a: str, b: str) -> float:
+    """Multiset Dice of two normalised strings over their bigrams."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    if len(a) < 2 or len(b) < 2:
+        return 0.0
+    x, y = ([t[k : k + 2] for k in range(len(t) - 1)] for t in (a, b))
+    return 2.0 * common(x, y) / (len(x) + len(y))
+
+
+def common(x: list[str], y: list[str]) -> int:
+    """How many elements two multisets share."""
+    a, b = Counter(x), Counter(y)
+    return sum(min(a[t], b[t]) for t in a.keys() & b.keys())
+
+
+def operator_contexts(norm: str) -> list[str]:
+    """What tf.symbol_contexts() finds, by code points."""
+    padded = tf.PAD * tf.RADIUS + norm + tf.PAD * tf.RADIUS
+    return [padded[m.start() : m.start() + 2 * tf.RADIUS + 1] for m in OPERATOR.finditer(norm)]
+
+
+def pair_score(l_norm: str, l_formulas: str, r_norm: str, r_formulas: str) -> float:
+    """What score_rows() gives for one pair."""
+    prose = bigram_dice(l_norm, r_norm)
+    if not l_formulas or not r_formulas:
+        return prose
+    math = bigram_dice(l_formulas, r_formulas)
+    x, y = operator_contexts(l_norm), operator_contexts(r_norm)
+    if min(len(x), len(y)) >= tf.LEAST_CONTEXTS:
+        math = tf.SYMBOL_SHARE * (2.0 * common(x, y) / (len(x) + len(y))) + (1 - tf.SYMBOL_SHARE) * math
+    return tf.MATH_WEIGHT * math + (1 - tf.MATH_WEIGHT) * prose
+
+
+def pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content score of each row's two texts, in place of PAIR_TEXTS."""
+    for batch in batches:
+        texts = (batch.column(c).to_pylist() for c in PAIR_TEXTS)
+        scores = pa.array([pair_score(*t) for t in zip(*texts)], pa.float64())
+        kept = [c for c in batch.schema.names if c not in PAIR_TEXTS]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], names=[*kept, "score"])
+
+
 #: The most bytes of query texts that a task holds at once; more queries come in further passes.
 MOST_QUERY_BYTES = 16 * 1024 * 1024
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import textfeat as tf
 from quillgraph.operators import scoring
 from quillgraph.operators.matching import gram_similarity
+from quillgraph.operators.scoring import bigram_dice
 
 TITLE_GAP, TITLE_LEAST = -0.05, 0.45
 GAP, LEAST_PAIR, LABEL_BONUS, MOST_CANDIDATES, BAND = -0.18, 0.12, 0.45, 400, 64
@@ -175,20 +176,6 @@ def aligned_entries(questions: DataFrame, answers: DataFrame, block: list[str],
     return sides[0].groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(run, schema)
 
 
-def bigram_dice(a: str, b: str) -> float:
-    """Multiset Dice of two normalised strings over their bigrams."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if len(a) < 2 or len(b) < 2:
-        return 0.0
-    from collections import Counter
-
-    x, y = (Counter(s[k : k + 2] for k in range(len(s) - 1)) for s in (a, b))
-    return 2 * (x & y).total() / (x.total() + y.total())
-
-
 def compared_formulas(question: list[str], candidate: list[str], skeletons: dict[str, str]) -> tuple[int, int, int]:
     """(matched, conflicts, missing): each expression takes the best unused partner, else an unused one of its shape conflicts."""
     free = list(range(len(candidate)))

@@ -428,7 +428,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     texts = entries.select("doc_id", "ordinal", "label_id", "text", F.xxhash64("text").alias("t"))
     left = texts.select(F.col("doc_id").alias("q_doc"), "label_id", F.col("ordinal").alias("q_ordinal"), F.col("t").alias("lt"))
     right = texts.select(F.col("doc_id").alias("a_doc"), "label_id", F.col("ordinal").alias("a_ordinal"), F.col("t").alias("rt"))
-    candidates = _pairs(spark, d).join(left, "q_doc").join(right, ["a_doc", "label_id"])
+    candidates = _pairs(spark, d).join(left, "q_doc").join(right.hint("merge"), ["a_doc", "label_id"])
     once = texts.select("t", "text").distinct()
     scored = matching.content_scores(candidates.select("lt", "rt").distinct(), once.withColumnRenamed("t", "lt"), once.withColumnRenamed("t", "rt"), "lt", "rt")
     return candidates.join(scored, ["lt", "rt"]).select("q_doc", "a_doc", "label_id", "q_ordinal", "a_ordinal", "score")

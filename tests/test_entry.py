@@ -60,3 +60,12 @@ def test_query_without_sql_runs(spark, name):
     df = queries.QUERIES[name](spark, str(DATA))
     assert len(df.columns) > 0
     df.collect()
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["content_similarity"])
+def test_scores_broadcast_pairs_of_books_alone(spark, name):
+    from quillgraph import queries
+
+    plan = queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == plan.count("Window [lead(")

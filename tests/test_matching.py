@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -122,3 +123,30 @@ def test_levels_of_outlines(spark):
     d = spark.createDataFrame([(1, 10), (2, 20)], "doc_id long, num_pages int")
     got = {(r.doc_id, r.depth): r.kind for r in outline.level_verdicts(outline.spanned(o, d)).collect()}
     assert got == {(1, 0): "BOOK", (1, 1): "QUESTION", (2, 0): "PAGE_MARKER"}
+
+
+def test_texts_of_candidates_are_not_broadcast(spark, tmp_path):
+    # letters beyond the basic plane count as one character each
+    texts = ["𝑥𝑦+𝑧=ab 𝑥-1", "𝑥𝑦+𝑧=ac 𝑥-1", "𝑥𝑥𝑥 升 (𝑦)", "𝑥𝑥 降"]
+    spark.createDataFrame(list(enumerate(texts)), "x long, text string").write.parquet(f"{tmp_path}/texts")
+    once = spark.read.parquet(f"{tmp_path}/texts")
+    both = once.select("x").join(once.select(F.col("x").alias("y")), F.lit(True))
+    out = matching.content_scores(both, once, once.withColumnRenamed("x", "y"), "x", "y")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == plan.count("BroadcastNestedLoopJoin")
+    got = {(r.x, r.y): r.score for r in out.collect()}
+
+    def dice(a, b):
+        return 2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
+
+    def bigrams(t):
+        return [t[k : k + 2] for k in range(len(t) - 1)]
+
+    norms = [t.replace(" ", "") for t in texts]
+    assert len(got) == 16 and all(got[k, k] == 1 for k in range(4))
+    # no formula in one of them: bigrams alone
+    assert abs(got[0, 3] - dice(bigrams(norms[0]), bigrams(norms[3]))) < 1e-9 and abs(got[2, 3] - dice(bigrams(norms[2]), bigrams(norms[3]))) < 1e-9
+    contexts = [[f"···{t}···"[k : k + 7] for k, c in enumerate(t) if c in "+-=()"] for t in norms]
+    fragments = ["".join(re.findall("[a-z0-9+=()-]{2,}", t)) for t in norms]
+    math = 0.6 * dice(contexts[0], contexts[1]) + 0.4 * dice(bigrams(fragments[0]), bigrams(fragments[1]))
+    assert abs(got[0, 1] - 0.75 * math - 0.25 * dice(bigrams(norms[0]), bigrams(norms[1]))) < 1e-9
