@@ -11,7 +11,7 @@ from quillgraph.functions import ids
 from quillgraph.functions import textfeat as tf
 from quillgraph.operators import scoring
 from quillgraph.operators.structure import book_lines
-from quillgraph.runtime import checkpoint
+from quillgraph.runtime import checkpoint, large
 
 # Language of worked solutions, subjects by their names and by their topics.
 SOLUTION = rf"(答案|解答|解[：:]|证明|综上|因此|所以|故{ids.WS}|得证|证毕|由此可得)"
@@ -105,7 +105,7 @@ def anchors(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     their content score, in chunks of bounded size. Ties fall to the first in book order.
     """
     held = entries.filter("text <> ''").select("doc_id", "ordinal", "id", "label_id", "text").distinct()
-    held = checkpoint(scoring.profiled(held.withColumn("e", F.xxhash64("doc_id", "ordinal", "id", "text"))))
+    held = large(scoring.profiled(held.withColumn("e", F.xxhash64("doc_id", "ordinal", "id", "text"))))
     labels = held.filter("label_id <> ''").select(F.col("doc_id").alias("a_doc"), "label_id").distinct()
     shared = pairs.join(held.filter("label_id <> ''").withColumnRenamed("doc_id", "q_doc"), "q_doc").join(labels, ["a_doc", "label_id"], "left_semi")
     w = Window.partitionBy("q_doc", "a_doc")

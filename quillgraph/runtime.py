@@ -85,6 +85,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """checkpoint(df), joined by merging wherever it stands.
+
+    For tables that grow with the texts: Spark would broadcast them by the bytes
+    of their compressed files, which are a small part of what the driver then holds.
+    """
+    return checkpoint(df).hint("merge")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df by the hash of its keys in as many partitions as the session sets.
 

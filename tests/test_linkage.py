@@ -35,3 +35,15 @@ def test_alphabets_decide_on_opaque_pairs_alone(spark):
     books = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 4)], "q_doc long, a_doc long")
     got = {(r.q_doc, r.a_doc): (r.comparable, r.carries) for r in linkage.gates(lines, docs, books).collect()}
     assert got == {(1, 2): (True, False), (2, 3): (False, False), (3, 4): (False, False), (4, 4): (True, True)}
+
+
+def test_tables_of_entries_are_not_broadcast(spark):
+    rows = [entry(d, f"1.{k + 1}", k, 1 + k, t) for d in (1, 2) for k, t in enumerate(TEXTS)]
+    entries = matching.book_entries(spark.createDataFrame(rows, "doc_id long, id string, label string, ordinal int, page int, end_page int, text string, scoped_text string, answer string, source string, structural boolean"))
+    docs = spark.createDataFrame([(1, 20), (2, 20)], "doc_id long, num_pages int")
+    nodes = outline.classified(spark.createDataFrame([(d, 1, 0, "第1章 极限", 1, None, 1) for d in (1, 2)], "doc_id long, node_id long, depth int, title string, page int, end_page int, child_count int"), docs)
+    verdicts = spark.createDataFrame([(1, 2, "VERIFIED_PAIR", None)], "q_doc long, a_doc long, status string, reason string")
+    out = linkage.linked(entries, verdicts, nodes, docs)
+    # the verdicts of the pairs of books alone
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= 1
+    assert {r.label: r.rung for r in out.collect()} == {f"1.{k + 1}": "AUTO_MATCH" for k in range(4)}
