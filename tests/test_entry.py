@@ -63,7 +63,7 @@ def test_query_without_sql_runs(spark, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["content_similarity", "assign_rungs", "positional_support", "rung_histogram"])
+@pytest.mark.parametrize("name", ["content_similarity", "assign_rungs", "positional_support", "rung_histogram", "match_confidence"])
 def test_scores_broadcast_pairs_of_books_alone(spark, name):
     from quillgraph import queries
 
